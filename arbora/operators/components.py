@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,23 @@ def one_group(df: DataFrame, run, schema: str) -> DataFrame:
     return whole.groupBy("__all").applyInArrow(lambda table: run(table.drop(["__all"])), schema)
 
 
-def chase(parents: DataFrame, rows: int) -> DataFrame:
-    """Replace each ``parent`` by the root of its chain, by pointer doubling."""
+def chase(parents: DataFrame, rows: int, local_rows: int | None = None) -> DataFrame:
+    """Replace each ``parent`` by the root of its chain, by pointer doubling.
+
+    ``parents`` has one row per ``node``; ``rows`` is their counted number.
+    """
+    if rows <= (LOCAL_EDGES if local_rows is None else local_rows):
+
+        def finish(table: pa.Table) -> pa.Table:
+            node, parent = table["node"].to_numpy(), table["parent"].to_numpy()
+            order = np.argsort(node)
+            at = np.minimum(np.searchsorted(node[order], parent), len(node) - 1)
+            known = node[order][at] == parent
+            up = np.where(known, order[at], np.arange(len(node)))
+            root = kernels.compress(up)
+            return pa.table({"node": node, "parent": parent[root]})
+
+        return cut(one_group(parents, finish, "node long, parent long"))
     for _ in range(MAX_ROUNDS):
         up = parents.select(F.col("node").alias("__at"), F.col("parent").alias("__up"))
         parents = cut(
@@ -53,7 +69,7 @@ def edge_components(edges: DataFrame, local_edges: int | None = None) -> DataFra
         pointing = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))
         pointing = cut(pointing.select("node", F.least("node", "parent").alias("parent")))
         nodes = pointing.count()
-        roots = chase(pointing, nodes)
+        roots = chase(pointing, nodes, limit)
         rounds.append((roots, nodes))
         for end in ("a", "b"):
             edges = lookup(edges, end, roots, "node", nodes, "inner")

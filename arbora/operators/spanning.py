@@ -120,7 +120,7 @@ def mst_of_edges(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
         picks = cut(lightest_outgoing(live))
         count = picks.count()
         chosen.append(picks.select("left", "right", "weight"))
-        roots = chase(merge_parents(picks, count), count)
+        roots = chase(merge_parents(picks, count), count, limit)
         for end in ("cl", "cr"):
             live = lookup(live, end, roots, "node", count).withColumn(
                 end, F.coalesce("parent", end)

@@ -49,9 +49,10 @@ def mst(
     if blocks is not None:
         trees = spanning.subgraph_mst(assign_blocks(points, blocks), blocks)
         return spanning.merge_tree(trees, k, subgraph_count(blocks), local_edges)
-    points = cut(points)
-    reps, stars = fold_copies(points, n)
-    tree = _grown(reps, reps.count(), dim, block_points, local_edges)
+    reps, distinct, stars = fold_copies(points, n)
+    if distinct < 2:
+        return cut(stars)
+    tree = _grown(reps, distinct, dim, block_points, local_edges)
     return cut(tree if stars is None else tree.unionAll(stars))
 
 
@@ -65,7 +66,7 @@ def _trivial(points: DataFrame, n: int) -> DataFrame:
     )
 
 
-def fold_copies(points: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+def fold_copies(points: DataFrame, n: int) -> tuple[DataFrame, int, DataFrame | None]:
     """Points with equal coordinates folded into the one with the smallest id.
 
     Under the edge order the copies hang on that point by zero edges, and every other
@@ -83,15 +84,16 @@ def fold_copies(points: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]
         )
     )
     reps = whole.select(F.col("first").alias("id"), "coords")
-    if whole.count() == n:
-        return reps, None
+    distinct = whole.count()
+    if distinct == n:
+        return reps, distinct, None
     spread = whole.select("coords", "first", F.explode("salts").alias("salt"))
     stars = (
         salted.join(spread, ["coords", "salt"])
         .where("id > first")
         .select(F.col("first").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("weight"))
     )
-    return reps, stars
+    return reps, distinct, stars
 
 
 def curve_key(points: DataFrame, dim: int) -> Column:
