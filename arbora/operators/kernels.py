@@ -232,7 +232,7 @@ def outgoing(left, right) -> dict[str, np.ndarray]:
     # Lightest edge of each right point towards any left point outside its component.
     back_w, back_id = np.full(len(right), np.inf), np.full(len(right), NO_PARENT)
     back_c = np.zeros(len(right), dtype=np.int64)
-    for i, row in enumerate(distance_rows(left.coords, right.coords)):
+    for i, row in enumerate(left.distance_rows(right)):
         out = np.where(other == mine[i], np.inf, row)
         w = out.min(initial=np.inf)
         if np.isfinite(w):
@@ -254,3 +254,107 @@ def outgoing(left, right) -> dict[str, np.ndarray]:
         "right": high[seen],
         "weight": weight[seen],
     }
+
+
+def sparse_distance_rows(x, y):
+    """Like ``distance_rows`` for sparse rows ``(starts, columns, values)``.
+
+    Uses the norms of the rows and, for rows that share columns, their dot products;
+    the shared entries of the tile are found by one sorted match on the column.
+    """
+    (x_start, x_col, x_val), (y_start, y_col, y_val) = x, y
+    x_row = np.repeat(np.arange(len(x_start) - 1), np.diff(x_start))
+    y_row = np.repeat(np.arange(len(y_start) - 1), np.diff(y_start))
+    x_norm = np.bincount(x_row, x_val * x_val, len(x_start) - 1)
+    y_norm = np.bincount(y_row, y_val * y_val, len(y_start) - 1)
+    order = np.argsort(y_col, kind="stable")
+    y_col, y_val, y_row = y_col[order], y_val[order], y_row[order]
+    first = np.searchsorted(y_col, x_col, "left")
+    count = np.searchsorted(y_col, x_col, "right") - first
+    for i in range(len(x_start) - 1):
+        square = x_norm[i] + y_norm
+        for e in range(x_start[i], x_start[i + 1]):
+            hit = slice(first[e], first[e] + count[e])
+            square[y_row[hit]] -= 2 * (x_val[e] * y_val[hit])
+        yield np.sqrt(np.maximum(square, 0.0))
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and values of the runs of equal values in a sorted array."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return starts, values[starts]
+
+
+def pair_summary(left, right) -> dict[str, np.ndarray]:
+    """Number, extremes and sum of the distances of a tile, each pair once."""
+    count, low, high, total = 0, np.inf, -np.inf, 0.0
+    other = left if right is None else right
+    for i, row in enumerate(left.distance_rows(other)):
+        row = row[i + 1 :] if right is None else row
+        if len(row):
+            count += len(row)
+            low, high, total = min(low, row.min()), max(high, row.max()), total + row.sum()
+    if not count:
+        return {name: np.empty(0) for name in ("pairs", "shortest", "longest", "total")}
+    found = {"pairs": count, "shortest": low, "longest": high, "total": total}
+    return {name: np.array([value]) for name, value in found.items()}
+
+
+def silhouette_sums(left, right) -> dict[str, np.ndarray]:
+    """Distance sums of a tile's points to the clusters on the other side.
+
+    Extra columns: ``label``, ``copies`` (points folded into a row) and ``size`` of the
+    cluster. Per point there is one row for its own cluster, with ``best`` the smallest
+    mean distance to a cluster that lies wholly in the other block, and one row for
+    each other cluster that lies only partly in it. Blocks hold runs of clusters, so at
+    most two of those exist.
+    """
+    sides = [left] if right is None else [left, right]
+    data = []
+    for side in sides:
+        order = np.argsort(side.extra["label"], kind="stable")
+        starts, names = runs(side.extra["label"][order])
+        copies = side.extra["copies"].astype("f8")
+        inside = np.add.reduceat(copies[order], starts)
+        data.append((order, starts, names, copies, inside, side.extra["size"][order][starts]))
+    other = left if right is None else right
+    order, starts, names, copies = data[-1][:4]
+    towards = np.empty((len(left), len(names)))
+    back = np.zeros((len(data[0][2]), len(other))) if right is not None else None
+    at = np.searchsorted(data[0][2], left.extra["label"])
+    for i, row in enumerate(left.distance_rows(other)):
+        towards[i] = np.add.reduceat((row * copies)[order], starts)
+        if back is not None:
+            back[at[i]] += row * data[0][3][i]
+    found = [_silhouette_rows(left, towards, data[-1])]
+    if back is not None:
+        found.append(_silhouette_rows(right, back.T, data[0]))
+    return {name: np.concatenate([f[name] for f in found]) for name in found[0]}
+
+
+def _silhouette_rows(side, sums: np.ndarray, clusters) -> dict[str, np.ndarray]:
+    names, inside, size = clusters[2], clusters[4], clusters[5]
+    label = side.extra["label"]
+    mine = label[:, None] == names[None, :]
+    whole = inside == size
+    means = np.where(mine | ~whole, np.inf, sums / size)
+    found = {
+        "id": [side.ids],
+        "label": [label],
+        "own": [np.ones(len(side), dtype=bool)],
+        "size": [side.extra["size"]],
+        "total": [np.where(mine, sums, 0.0).sum(axis=1)],
+        "best": [means.min(axis=1)],
+        "copies": [side.extra["copies"]],
+    }
+    for k in np.flatnonzero(~whole):
+        rest = ~mine[:, k]
+        n = int(rest.sum())
+        found["id"].append(side.ids[rest])
+        found["label"].append(np.full(n, names[k]))
+        found["own"].append(np.zeros(n, dtype=bool))
+        found["size"].append(np.full(n, size[k]))
+        found["total"].append(sums[rest, k])
+        found["best"].append(np.full(n, np.inf))
+        found["copies"].append(np.zeros(n, dtype=np.int64))
+    return {name: np.concatenate(parts) for name, parts in found.items()}

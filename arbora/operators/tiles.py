@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.operators import kernels
 from arbora.operators.blocks import pair_subgraph, subgraph_count
 from arbora.runtime import parallelism
 
@@ -28,15 +29,26 @@ SMALL_BLOCK = 128
 
 @dataclass
 class Block:
-    """The decoded columns of one packed block, rows in id order."""
+    """The decoded columns of one packed block, rows in id order.
+
+    Either ``coords`` is set (dense points) or ``sparse``: row starts, columns and
+    values of the entries, concatenated.
+    """
 
     ids: np.ndarray
-    coords: np.ndarray
+    coords: np.ndarray | None
+    sparse: tuple[np.ndarray, np.ndarray, np.ndarray] | None
     extra: dict[str, np.ndarray]
 
     def __len__(self) -> int:
         return len(self.ids)
 
+    def distance_rows(self, other: Block):
+        """Distances to all rows of ``other``, one row of this block after the other."""
+        if self.sparse is None:
+            return kernels.distance_rows(self.coords, other.coords)
+        return kernels.sparse_distance_rows(self.sparse, other.sparse)
+
 
 def block_count(n: int, dim: int, cores: int, most: int | None = None) -> int:
     """Number of blocks: bounded blocks first, then enough tiles for all cores."""
@@ -46,35 +58,44 @@ def block_count(n: int, dim: int, cores: int, most: int | None = None) -> int:
 
 
 def pack(blocked: DataFrame, extra: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per block: point ids, coordinates and ``extra`` columns as buffers.
+    """One row per block: ids, coordinates and ``extra`` columns as buffers.
 
-    ``extra`` maps a column to ``"i8"`` or ``"f8"``. The box of the block is kept
-    beside the buffers as plain arrays for pruning in the JVM. One shuffle, by block;
-    callers assign blocks of bounded size.
+    ``extra`` maps a column to ``"i8"`` or ``"f8"``. Points are dense (``coords``) or
+    sparse rows (``cols``, ``vals``). The box of dense points is kept beside the buffers
+    as plain arrays, for pruning in the JVM. One shuffle, by block; callers assign blocks
+    of bounded size.
     """
     extra = dict(extra or {})
+    dense = "coords" in blocked.columns
+    payload = ["coords"] if dense else ["cols", "vals"]
+    buffers = ["ids", "coords"] if dense else ["ids", "starts", "cols", "vals"]
 
     def encode(table: pa.Table) -> pa.Table:
         table = table.sort_by("id").combine_chunks()
         ids = table["id"].to_numpy()
-        lists = table["coords"].combine_chunks()
-        coords = np.asarray(lists.flatten(), dtype="f8").reshape(len(ids), -1)
-        row = {
-            "block": pa.array([table["block"][0].as_py()], pa.int32()),
-            "rows": pa.array([len(ids)], pa.int32()),
-            "lo": pa.array([coords.min(axis=0)], pa.list_(pa.float64())),
-            "hi": pa.array([coords.max(axis=0)], pa.list_(pa.float64())),
-            "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-            "coords": pa.array([coords.astype("<f8").tobytes()], pa.binary()),
-        }
+        row = {"block": pa.array([table["block"][0].as_py()], pa.int32())}
+        found = {"ids": ids.astype("<i8")}
+        if dense:
+            flat = table["coords"].combine_chunks().flatten()
+            coords = np.asarray(flat, dtype="<f8").reshape(len(ids), -1)
+            row["lo"] = pa.array([coords.min(axis=0)], pa.list_(pa.float64()))
+            row["hi"] = pa.array([coords.max(axis=0)], pa.list_(pa.float64()))
+            found["coords"] = np.ascontiguousarray(coords)
+        else:
+            cols, vals = table["cols"].combine_chunks(), table["vals"].combine_chunks()
+            lengths = cols.value_lengths().to_numpy(zero_copy_only=False)
+            found["starts"] = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
+            found["cols"] = np.asarray(cols.flatten(), dtype="<i8")
+            found["vals"] = np.asarray(vals.flatten(), dtype="<f8")
         for name, kind in extra.items():
-            values = table[name].to_numpy().astype("<" + kind)
+            found[name] = table[name].to_numpy().astype("<" + kind)
+        for name, values in found.items():
             row[name] = pa.array([values.tobytes()], pa.binary())
         return pa.table(row)
 
-    schema = "block int, rows int, lo array<double>, hi array<double>, ids binary, coords binary"
-    schema += "".join(f", {name} binary" for name in extra)
-    columns = blocked.select("block", "id", "coords", *extra)
+    schema = "block int" + (", lo array<double>, hi array<double>" if dense else "")
+    schema += "".join(f", {name} binary" for name in [*buffers, *extra])
+    columns = blocked.select("block", "id", *payload, *extra)
     return columns.groupBy("block").applyInArrow(encode, schema)
 
 
@@ -133,8 +154,11 @@ def map_tiles(
             return np.frombuffer(table[name][i].as_buffer(), dtype="<" + kind)
 
         ids = buffer("ids", "i8")
-        coords = buffer("coords", "f8").reshape(len(ids), -1)
-        return Block(ids, coords, {name: buffer(name, kind) for name, kind in extra.items()})
+        more = {name: buffer(name, kind) for name, kind in extra.items()}
+        if "coords" in table.column_names:
+            return Block(ids, buffer("coords", "f8").reshape(len(ids), -1), None, more)
+        sparse = buffer("starts", "i8"), buffer("cols", "i8"), buffer("vals", "f8")
+        return Block(ids, None, sparse, more)
 
     def run(table: pa.Table) -> pa.Table:
         side = {s: i for i, s in enumerate(table["side"].to_pylist())}
@@ -159,7 +183,7 @@ def map_tiles(
 
 
 def _arrow_schema(text: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
     fields = [field.split() for field in text.split(",")]
     return pa.schema([(name, kinds[kind]) for name, kind in fields])
 
