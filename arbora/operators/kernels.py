@@ -358,3 +358,189 @@ def _silhouette_rows(side, sums: np.ndarray, clusters) -> dict[str, np.ndarray]:
         found["best"].append(np.full(n, np.inf))
         found["copies"].append(np.zeros(n, dtype=np.int64))
     return {name: np.concatenate(parts) for name, parts in found.items()}
+
+
+# Linkage methods (fixed names): how distances of points combine to one of clusters.
+METHODS = ("single", "complete", "average", "weighted", "ward")
+
+
+def combine(method: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unite partial linkages between the same clusters from different tiles."""
+    if method == "single":
+        return np.minimum(a, b)
+    if method == "complete":
+        return np.maximum(a, b)
+    return a + b
+
+
+def linkage_value(method: str, found, size_a, spread_a, size_b, spread_b):
+    """Height at which two clusters merge, from their complete linkage.
+
+    ``found`` is the least or greatest distance, or the weighted mean of the distances
+    (of their squares for Ward, whose ``spread`` is the mean squared distance of a
+    cluster's points to its centre).
+    """
+    if method != "ward":
+        return found
+    gap = np.maximum(found - spread_a - spread_b, 0.0)
+    return np.sqrt(2.0 * size_a * size_b / (size_a + size_b) * gap)
+
+
+def cluster_linkages(method: str, left, right):
+    """Linkage of every cluster of one side with every cluster of the other.
+
+    Returns the matrix and, per side, the row order by cluster, the cluster names, and
+    one row index per cluster.
+    """
+    sides = []
+    for side in (left, right):
+        order = np.argsort(side.extra["cluster"], kind="stable")
+        starts, names = runs(side.extra["cluster"][order])
+        sides.append((order, starts, names, order[starts]))
+    (_, _, names, _), (order, starts, other_names, _) = sides
+    at = np.searchsorted(names, left.extra["cluster"])
+    empty = {"single": np.inf, "complete": -np.inf}.get(method, 0.0)
+    fold = {"single": np.minimum, "complete": np.maximum}.get(method, np.add)
+    table = np.full((len(names), len(other_names)), empty)
+    share, other_share = left.extra["share"], right.extra["share"]
+    for i, row in enumerate(left.distance_rows(right)):
+        if fold is np.add:
+            row = (row * row if method == "ward" else row) * other_share * share[i]
+        k = at[i]
+        table[k] = fold(table[k], fold.reduceat(row[order], starts))
+    return table, sides
+
+
+def linkage_tile(method: str, every: bool, left, right) -> dict[str, np.ndarray]:
+    """Candidate merges of a tile.
+
+    ``node`` and ``to`` are cluster names. For two clusters that lie wholly in the tile
+    the linkage is final, and only each cluster's best one is kept (``whole``); with
+    ``every`` all are. A cluster spread over blocks gives partial linkages.
+    """
+    same = right is None
+    other = left if same else right
+    table, (a, b) = cluster_linkages(method, left, other)
+    facts = []
+    for block, (_, starts, names, pick) in ((left, a), (other, b)):
+        inside = np.diff(np.append(starts, len(block)))
+        e = block.extra
+        facts.append((names, inside == e["members"][pick], e["size"][pick], e["spread"][pick]))
+    (names_a, whole_a, size_a, spread_a), (names_b, whole_b, size_b, spread_b) = facts
+    apart = names_a[:, None] != names_b[None, :]
+    final = whole_a[:, None] & whole_b[None, :] & apart
+    value = linkage_value(
+        method, table, size_a[:, None], spread_a[:, None], size_b[None, :], spread_b[None, :]
+    )
+    out = []
+    if every:
+        rows, cols = np.nonzero(final & (names_a[:, None] < names_b[None, :]) if same else final)
+        out.append((rows, cols, value[rows, cols], True))
+    else:
+        ranked = np.where(final, value, np.inf)
+        for by_row in (True, False) if not same else (True,):
+            out.append(_best_of(ranked if by_row else ranked.T, names_a, names_b, by_row))
+    partial = apart & ~(whole_a[:, None] & whole_b[None, :])
+    if same:
+        partial &= names_a[:, None] < names_b[None, :]
+    rows, cols = np.nonzero(partial)
+    out.append((rows, cols, table[rows, cols], False))
+    rows = np.concatenate([o[0] for o in out])
+    cols = np.concatenate([o[1] for o in out])
+    turned = np.concatenate([np.full(len(o[0]), len(o) > 4 and o[4]) for o in out])
+    ends = [
+        (names_a[rows], size_a[rows], spread_a[rows]),
+        (names_b[cols], size_b[cols], spread_b[cols]),
+    ]
+    first = [np.where(turned, y, x) for x, y in zip(*ends)]
+    second = [np.where(turned, x, y) for x, y in zip(*ends)]
+    return {
+        "node": first[0], "node_size": first[1], "node_spread": first[2],
+        "to": second[0], "to_size": second[1], "to_spread": second[2],
+        "value": np.concatenate([o[2] for o in out]),
+        "whole": np.concatenate([np.full(len(o[0]), o[3]) for o in out]),
+    }
+
+
+def _best_of(ranked, names_a, names_b, by_row: bool):
+    mine, theirs = (names_a, names_b) if by_row else (names_b, names_a)
+    low = ranked.min(axis=1, initial=np.inf)
+    tied = (ranked == low[:, None]) & np.isfinite(ranked)
+    # Among equal values the pair with the smallest (lower name, higher name) wins.
+    # Names ascend, so for one cluster that is simply the smallest other name.
+    has = np.flatnonzero(tied.any(axis=1))
+    pick = tied[has].argmax(axis=1)
+    if by_row:
+        return has, pick, ranked[has, pick], True, False
+    return pick, has, ranked[has, pick], True, True
+
+
+def merge_matrix(method: str, names, sizes, pairs_a, pairs_b, values):
+    """Merge a bounded number of clusters to one, nearest pair first.
+
+    Returns per merge: the two names, the height and the size. A merged cluster keeps
+    the smaller name.
+    """
+    k = len(names)
+    table = np.full((k, k), np.inf)
+    a, b = np.searchsorted(names, pairs_a), np.searchsorted(names, pairs_b)
+    table[a, b] = table[b, a] = values
+    size, live = sizes.astype("f8"), np.ones(k, dtype=bool)
+    nearest = table.argmin(axis=1)
+    low = table[np.arange(k), nearest]
+    merges = []
+    for _ in range(k - 1):
+        i = int(low.argmin())
+        j = int(nearest[i])
+        i, j = min(i, j), max(i, j)
+        height, si, sj = table[i, j], size[i], size[j]
+        if method == "single":
+            row = np.minimum(table[i], table[j])
+        elif method == "complete":
+            row = np.maximum(table[i], table[j])
+        elif method == "average":
+            row = (si * table[i] + sj * table[j]) / (si + sj)
+        elif method == "weighted":
+            row = (table[i] + table[j]) / 2
+        else:
+            square = (si + size) * table[i] ** 2 + (sj + size) * table[j] ** 2 - size * height**2
+            row = np.sqrt(np.maximum(square, 0.0) / (si + sj + size))
+        live[j] = False
+        row[~live] = np.inf
+        row[i] = np.inf
+        table[i], table[:, i] = row, row
+        table[j], table[:, j] = np.inf, np.inf
+        size[i] = si + sj
+        low[j] = np.inf
+        merges.append((names[i], names[j], height, int(si + sj)))
+        # Clusters that pointed at either end look again; others may move to the new one.
+        again = np.flatnonzero(live & ((nearest == i) | (nearest == j)))
+        again = np.union1d(again, [i])
+        nearest[again] = table[again].argmin(axis=1)
+        low[again] = table[again, nearest[again]]
+        closer = live & ((row < low) | ((row == low) & (i < nearest)))
+        nearest[closer], low[closer] = i, row[closer]
+    return merges
+
+
+def grown_tree(ids: np.ndarray, metric):
+    """Minimum spanning tree under ``metric(i, rest)``, distances from row i to rows."""
+    rest = np.arange(len(ids))
+    weight, parent = np.full(len(ids), np.inf), np.full(len(ids), NO_PARENT)
+    at, edges = 0, []
+    while True:
+        rest = rest[rest != at]
+        if not rest.size:
+            break
+        found = metric(at, rest)
+        mine = np.full(rest.size, ids[at])
+        better = (found < weight[rest]) | (
+            (found == weight[rest]) & before(mine, ids[rest], parent[rest], ids[rest])
+        )
+        weight[rest[better]], parent[rest[better]] = found[better], ids[at]
+        low, high = np.minimum(ids[rest], parent[rest]), np.maximum(ids[rest], parent[rest])
+        k = np.lexsort((high, low, weight[rest]))[0]
+        at = rest[k]
+        edges.append((low[k], high[k], weight[at]))
+    found = np.array(edges, dtype=[("l", "i8"), ("r", "i8"), ("w", "f8")])
+    return found["l"], found["r"], found["w"]

@@ -12,8 +12,9 @@ from arbora.functions.points import box_distance
 from arbora.operators import spanning, tiles
 from arbora.operators.blocks import assign_blocks, pair_subgraph, subgraph_count
 from arbora.operators.components import edge_components
+from arbora.operators.copies import fold_copies
 from arbora.operators.features import checked_points, with_dense_id
-from arbora.runtime import LOCAL_EDGES, MAX_ROUNDS, SALTS, cut, lookup, parallelism
+from arbora.runtime import MAX_ROUNDS, cut, lookup, parallelism
 
 # Blocks are pruned through at most this many groups of neighbouring blocks.
 GROUPS = 512
@@ -49,51 +50,27 @@ def mst(
     if blocks is not None:
         trees = spanning.subgraph_mst(assign_blocks(points, blocks), blocks)
         return spanning.merge_tree(trees, k, subgraph_count(blocks), local_edges)
-    reps, distinct, stars = fold_copies(points, n)
+    # Under the edge order copies hang on the first of them by zero edges, and every
+    # other tree edge touches the first: the rest can be solved without the copies.
+    folded, distinct, copies = fold_copies(points, ["coords"])
+    stars = None if copies is None else _star(copies)
     if distinct < 2:
         return cut(stars)
+    reps = folded.select(F.col("first").alias("id"), "coords")
     tree = _grown(reps, distinct, dim, block_points, local_edges)
     return cut(tree if stars is None else tree.unionAll(stars))
 
 
 def _trivial(points: DataFrame, n: int) -> DataFrame:
-    # Without dimensions all points coincide: a star of zero edges around the first.
-    first = points.agg(F.min("id").alias("first"))
-    return (
-        points.crossJoin(F.broadcast(first))
-        .where("id > first")
-        .select(F.col("first").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("weight"))
-    )
-
+    """No edges for fewer than two points; points without dimensions all coincide."""
+    first = points.agg(F.min("id")).first()[0]
+    return _star(points.where(F.col("id") > first).select(F.lit(first).cast("bigint").alias("first"), "id"))
 
-def fold_copies(points: DataFrame, n: int) -> tuple[DataFrame, int, DataFrame | None]:
-    """Points with equal coordinates folded into the one with the smallest id.
 
-    Under the edge order the copies hang on that point by zero edges, and every other
-    tree edge touches it and none of its copies, so the rest can be solved without
-    them. A hot group of copies is reduced per salt before it is reduced as a whole,
-    and joined back per salt.
-    """
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
-    salted = points.select("id", "coords", salt)
-    partial = salted.groupBy("coords", "salt").agg(F.min("id").alias("first"))
-    # At most SALTS entries per array.
-    whole = cut(
-        partial.groupBy("coords").agg(
-            F.min("first").alias("first"), F.collect_list("salt").alias("salts")
-        )
-    )
-    reps = whole.select(F.col("first").alias("id"), "coords")
-    distinct = whole.count()
-    if distinct == n:
-        return reps, distinct, None
-    spread = whole.select("coords", "first", F.explode("salts").alias("salt"))
-    stars = (
-        salted.join(spread, ["coords", "salt"])
-        .where("id > first")
-        .select(F.col("first").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("weight"))
+def _star(copies: DataFrame) -> DataFrame:
+    return copies.select(
+        F.col("first").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("weight")
     )
-    return reps, distinct, stars
 
 
 def curve_key(points: DataFrame, dim: int) -> Column:
