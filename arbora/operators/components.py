@@ -114,10 +114,9 @@ def component_count(labels: DataFrame) -> DataFrame:
 
 def connected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """For each ``(u, v)`` whether both lie in one component. Unknown ids give null."""
-    first = labels.select(F.col("id").alias("u"), F.col("component").alias("__cu"))
-    second = labels.select(F.col("id").alias("v"), F.col("component").alias("__cv"))
-    return (
-        pairs.join(first, "u", "left")
-        .join(second, "v", "left")
-        .select("u", "v", (F.col("__cu") == F.col("__cv")).alias("connected"))
-    )
+    labels = cut(labels)
+    count = labels.count()
+    for end, name in (("u", "cu"), ("v", "cv")):
+        named = labels.select("id", F.col("component").alias(name))
+        pairs = lookup(pairs, end, named, "id", count)
+    return pairs.select("u", "v", (F.col("cu") == F.col("cv")).alias("connected"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from arbora.operators import kernels
 from arbora.operators.blocks import subgraph_count
-from arbora.operators.tiles import all_tiles, map_tiles, pack
+from arbora.operators.tiles import all_tiles, bounded_blocks, coarse_subgraph, map_tiles, pack
 
 SUMMARY = "pairs long, shortest double, longest double, total double"
 
@@ -22,30 +22,40 @@ def _kernel(subgraph, left, right):
 
 def pairs_within(blocked: DataFrame, s: int) -> DataFrame:
     """Facts on the pairs inside each block, keyed by its subgraph."""
-    tiles = all_tiles(pack(blocked), s).where("not pair")
-    return map_tiles(tiles, _kernel, SUMMARY, s)
+    return _folded(blocked, s, lambda subgraph: subgraph >= subgraph_count(s) - s)
 
 
 def pairs_between(blocked: DataFrame, s: int, low: int | None = None, high: int | None = None) -> DataFrame:
     """Facts on the pairs across blocks, of all block pairs or of ``low`` and ``high``."""
-    packed = pack(blocked)
-    if low is not None:
-        packed = packed.where(F.col("block").isin(low, high))
-    tiles = all_tiles(packed, s).where("pair")
-    if low is not None:
-        number = max(low, high) * (max(low, high) - 1) // 2 + min(low, high)
-        tiles = tiles.where(F.col("subgraph") == number)
-    return map_tiles(tiles, _kernel, SUMMARY, subgraph_count(s) - s)
+    if low is None:
+        return _folded(blocked, s, lambda subgraph: subgraph < subgraph_count(s) - s)
+    low, high = min(low, high), max(low, high)
+    chosen = blocked.where(F.col("block").isin(low, high))
+    return _folded(chosen, s, lambda subgraph: subgraph == high * (high - 1) // 2 + low)
 
 
 def complete_graph(blocked: DataFrame, s: int) -> DataFrame:
     """Facts on all pairs, per subgraph."""
-    return map_tiles(all_tiles(pack(blocked), s), _kernel, SUMMARY, subgraph_count(s))
+    return _folded(blocked, s, lambda subgraph: F.lit(True))
+
+
+def _folded(blocked: DataFrame, s: int, wanted) -> DataFrame:
+    fine, parts = bounded_blocks(blocked, s)
+    tiles = all_tiles(pack(fine), s * parts)
+    subgraph = coarse_subgraph("subgraph", s, parts) if parts > 1 else F.col("subgraph")
+    found = map_tiles(tiles.where(wanted(subgraph)), _kernel, SUMMARY, subgraph_count(s * parts))
+    if parts == 1:
+        return found
+    return _united(found.withColumn("subgraph", subgraph).groupBy("subgraph"))
 
 
 def united(summary: DataFrame) -> DataFrame:
     """The facts of several subgraphs as those of one graph."""
-    return summary.agg(
+    return _united(summary.groupBy())
+
+
+def _united(groups) -> DataFrame:
+    return groups.agg(
         F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"),
         F.min("shortest").alias("shortest"),
         F.max("longest").alias("longest"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,17 @@ from arbora.functions.points import edge_order
 from arbora.operators import kernels
 from arbora.operators.blocks import assign_blocks, regroup, subgraph_count
 from arbora.operators.components import chase, one_group
-from arbora.operators.features import checked_points
-from arbora.operators.tiles import Block, all_tiles, block_count, fold_all, map_tiles, pack
+from arbora.operators.features import checked_points, with_dense_id
+from arbora.operators.tiles import (
+    Block,
+    all_tiles,
+    block_count,
+    bounded_blocks,
+    coarse_subgraph,
+    fold_all,
+    map_tiles,
+    pack,
+)
 from arbora.runtime import LOCAL_EDGES, MAX_ROUNDS, cut, lookup, parallelism
 
 EDGE = "left long, right long, weight double"
@@ -26,24 +36,44 @@ def tree_kernel(subgraph: int, left: Block, right: Block | None) -> dict:
     return {"left": a, "right": b, "weight": weight}
 
 
-def subgraph_mst(blocked: DataFrame, s: int) -> DataFrame:
+def subgraph_mst(
+    blocked: DataFrame, s: int, which: str = "all", block_points: int | None = None
+) -> DataFrame:
     """``(subgraph, left, right, weight)``: the tree of every subgraph of ``s`` blocks.
 
-    One grouped map over all subgraphs. A block must fit a task: see ``block_count``.
+    One grouped map over all subgraphs; ``which`` restricts it to those inside blocks
+    ("within") or across ("between"). A subgraph needs both of its blocks: across an
+    empty one there are no edges. Blocks too big for a task are solved in parts, and the
+    trees of the parts are merged per subgraph.
     """
-    return map_tiles(all_tiles(pack(blocked), s), tree_kernel, EDGE, subgraph_count(s))
+    fine, parts = bounded_blocks(blocked, s, block_points)
+    total = s * parts
+    tiles = all_tiles(pack(fine), total)
+    subgraph = coarse_subgraph("subgraph", s, parts) if parts > 1 else F.col("subgraph")
+    inside = subgraph >= subgraph_count(s) - s
+    tiles = {"all": tiles, "within": tiles.where(inside), "between": tiles.where(~inside)}[which]
+    trees = map_tiles(tiles, tree_kernel, EDGE, subgraph_count(total))
+    if parts == 1:
+        return trees
+    return merge_msts(cut(trees.withColumn("subgraph", subgraph)))
 
 
 def clique_mst(blocked: DataFrame, s: int) -> DataFrame:
     """Trees of the subgraphs within one block."""
-    tiles = all_tiles(pack(blocked), s).where("not pair")
-    return map_tiles(tiles, tree_kernel, EDGE, s)
+    return subgraph_mst(blocked, s, "within")
 
 
 def bipartite_mst(blocked: DataFrame, s: int) -> DataFrame:
     """Trees of the subgraphs between two blocks."""
-    tiles = all_tiles(pack(blocked), s).where("pair")
-    return map_tiles(tiles, tree_kernel, EDGE, subgraph_count(s) - s)
+    return subgraph_mst(blocked, s, "between")
+
+
+def square_forest(pairs: list[tuple[Block, Block]]) -> dict:
+    """Spanning forest of all edges across the listed block pairs."""
+    trees = [kernels.spanning_tree((a.ids, a.coords), (b.ids, b.coords)) for a, b in pairs]
+    left, right, weight = (np.concatenate([t[i] for t in trees]) for i in range(3))
+    kept = kernels.forest(left, right, weight, left, right)
+    return {"left": left[kept], "right": right[kept], "weight": weight[kept]}
 
 
 def sort_edges(edges: DataFrame) -> DataFrame:
@@ -68,9 +98,21 @@ def _forest_of(table: pa.Table) -> pa.Table:
     return pa.table({"left": left[kept], "right": right[kept], "weight": weight[kept]})
 
 
-def merge_msts(edges: DataFrame) -> DataFrame:
-    """Spanning forest of each ``subgraph`` group's edges: cycle edges are dropped."""
+def merge_msts(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
+    """Spanning forest of each ``subgraph`` group's edges: cycle edges are dropped.
 
+    The largest group is measured first. Groups that fit a task are merged in one; when
+    one does not, all groups are merged together by :func:`mst_of_edges`, over nodes
+    numbered per group.
+    """
+    limit = LOCAL_EDGES if local_edges is None else local_edges
+    sizes = edges.groupBy("subgraph").agg(F.count(F.lit(1)).alias("edges"))
+    if (sizes.agg(F.max("edges")).first()[0] or 0) > limit:
+        return _merge_big(edges, local_edges)
+    return _merge_small(edges)
+
+
+def _merge_small(edges: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         merged = _forest_of(table)
         key = pa.array([table["subgraph"][0].as_py()] * merged.num_rows, pa.int64())
@@ -79,6 +121,23 @@ def merge_msts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("subgraph").applyInArrow(run, "subgraph long, " + EDGE)
 
 
+def _merge_big(edges: DataFrame, local_edges: int | None) -> DataFrame:
+    ends = edges.select("subgraph", F.explode(F.array("left", "right")).alias("id")).distinct()
+    numbered = with_dense_id(ends, ["subgraph", "id"], name="node")
+    count = numbered.count()
+    key = F.struct("subgraph", "id")
+    table = numbered.select(key.alias("key"), "node")
+    for end in ("left", "right"):
+        edges = edges.withColumn("at", F.struct("subgraph", F.col(end).alias("id")))
+        edges = lookup(edges, "at", table, "key", count, "inner").drop("at", end)
+        edges = edges.withColumnRenamed("node", end)
+    forest = mst_of_edges(edges.select("left", "right", "weight"), local_edges)
+    for end in ("left", "right"):
+        forest = lookup(forest, end, numbered.select("node", "subgraph", "id"), "node", count, "inner")
+        forest = forest.drop(end, *(["subgraph"] if end == "left" else [])).withColumnRenamed("id", end)
+    return forest.select("subgraph", "left", "right", "weight")
+
+
 def merge_tree(
     edges: DataFrame, k: int, subgraphs: int, local_edges: int | None = None
 ) -> DataFrame:
@@ -93,10 +152,9 @@ def merge_tree(
     while subgraphs > 1:
         grouped = regroup(level, k)
         sizes = grouped.groupBy("subgraph").agg(F.count(F.lit(1)).alias("edges"))
-        largest = sizes.agg(F.max("edges")).first()[0] or 0
-        if largest > limit:
+        if (sizes.agg(F.max("edges")).first()[0] or 0) > limit:
             return mst_of_edges(level, local_edges)
-        level = cut(merge_msts(grouped))
+        level = cut(_merge_small(grouped))
         subgraphs = -(-subgraphs // k)
     return level.select("left", "right", "weight")
 
@@ -184,6 +242,8 @@ def nearest_outside(blocked: DataFrame, s: int) -> DataFrame:
     ``blocked`` has ``(block, id, coords, component)``. Each tile keeps one edge per
     component it sees, in one pass over its distances; pairs are never rows.
     """
+    blocked, parts = bounded_blocks(blocked, s)
+    s *= parts
 
     def kernel(subgraph: int, left: Block, right: Block | None) -> dict:
         return kernels.outgoing(left, left if right is None else right)

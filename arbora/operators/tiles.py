@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.operators import kernels
@@ -50,9 +50,14 @@ class Block:
         return kernels.sparse_distance_rows(self.sparse, other.sparse)
 
 
+def block_cap(dim: int, most: int | None = None) -> int:
+    """Most points of a dimension that may share a block."""
+    return min(most or BLOCK_POINTS, max(16, BLOCK_BYTES // (8 * max(dim, 1))))
+
+
 def block_count(n: int, dim: int, cores: int, most: int | None = None) -> int:
     """Number of blocks: bounded blocks first, then enough tiles for all cores."""
-    cap = min(most or BLOCK_POINTS, max(16, BLOCK_BYTES // (8 * max(dim, 1))))
+    cap = block_cap(dim, most)
     busy = math.ceil(math.sqrt(4 * cores))
     return max(1, math.ceil(n / cap), min(busy, math.ceil(n / SMALL_BLOCK)))
 
@@ -111,20 +116,6 @@ def own_tiles(packed: DataFrame) -> DataFrame:
     return _as_tiles(copies, F.col("block").cast("bigint"))
 
 
-def chosen_tiles(packed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Copy blocks to the tiles listed in ``pairs(subgraph, low, high)``."""
-    ends = pairs.select(
-        "subgraph",
-        F.explode(
-            F.array(
-                F.struct(F.col("low").alias("block"), F.col("high").alias("other")),
-                F.struct(F.col("high").alias("block"), F.col("low").alias("other")),
-            )
-        ).alias("end"),
-    ).select("subgraph", "end.block", "end.other")
-    return _as_tiles(packed.join(ends, "block"), F.col("subgraph"))
-
-
 def _as_tiles(copies: DataFrame, subgraph) -> DataFrame:
     return copies.select(
         subgraph.alias("subgraph"),
@@ -149,24 +140,17 @@ def map_tiles(
     """
     extra = dict(extra or {})
 
-    def decode(table: pa.Table, i: int) -> Block:
-        def buffer(name: str, kind: str) -> np.ndarray:
-            return np.frombuffer(table[name][i].as_buffer(), dtype="<" + kind)
-
-        ids = buffer("ids", "i8")
-        more = {name: buffer(name, kind) for name, kind in extra.items()}
-        if "coords" in table.column_names:
-            return Block(ids, buffer("coords", "f8").reshape(len(ids), -1), None, more)
-        sparse = buffer("starts", "i8"), buffer("cols", "i8"), buffer("vals", "f8")
-        return Block(ids, None, sparse, more)
-
     def run(table: pa.Table) -> pa.Table:
         side = {s: i for i, s in enumerate(table["side"].to_pylist())}
         pair = table["pair"][0].as_py()
         if pair and len(side) < 2:
             return output.empty_table()
         subgraph = table["subgraph"][0].as_py()
-        found = kernel(subgraph, decode(table, side[0]), decode(table, side[1]) if pair else None)
+        found = kernel(
+            subgraph,
+            _decode(table, side[0], extra),
+            _decode(table, side[1], extra) if pair else None,
+        )
         size = len(next(iter(found.values())))
         columns = {"subgraph": np.full(size, subgraph), **found}
         return pa.table({f.name: pa.array(columns[f.name], f.type) for f in output})
@@ -182,12 +166,99 @@ def map_tiles(
     )
 
 
+def _decode(table: pa.Table, i: int, extra: Mapping[str, str]) -> Block:
+    def buffer(name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(table[name][i].as_buffer(), dtype="<" + kind)
+
+    ids = buffer("ids", "i8")
+    more = {name: buffer(name, kind) for name, kind in extra.items()}
+    if "coords" in table.column_names:
+        return Block(ids, buffer("coords", "f8").reshape(len(ids), -1), None, more)
+    sparse = buffer("starts", "i8"), buffer("cols", "i8"), buffer("vals", "f8")
+    return Block(ids, None, sparse, more)
+
+
 def _arrow_schema(text: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
     fields = [field.split() for field in text.split(",")]
     return pa.schema([(name, kinds[kind]) for name, kind in fields])
 
 
+def map_squares(
+    packed: DataFrame,
+    pairs: DataFrame,
+    kernel: Callable[[list[tuple[Block, Block]]], Mapping[str, np.ndarray]],
+    schema: str,
+    squares: int,
+) -> DataFrame:
+    """Run ``kernel`` once per square on the listed block pairs that lie in it.
+
+    ``pairs`` has ``(square, low, high)``. A square gets each of its blocks once, however
+    many of its pairs are listed, so blocks are copied less often than pairs are solved.
+    """
+    ends = F.array(
+        F.struct(F.col("low").alias("block"), F.col("high").alias("partner")),
+        F.struct(F.col("high").alias("block"), F.lit(None).cast("int").alias("partner")),
+    )
+    # At most one entry per block of the square.
+    wanted = (
+        pairs.select("square", F.inline(ends))
+        .groupBy("square", "block")
+        .agg(F.collect_list("partner").alias("partners"))
+    )
+    tasks = max(1, min(squares, 4 * parallelism(packed.sparkSession)))
+    output = _arrow_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        blocks = {b: _decode(table, i, {}) for i, b in enumerate(table["block"].to_pylist())}
+        listed = [
+            (blocks[low], blocks[high])
+            for low, partners in zip(blocks, table["partners"].to_pylist())
+            for high in partners
+        ]
+        found = kernel(listed)
+        return pa.table({f.name: pa.array(found[f.name], f.type) for f in output})
+
+    rows = packed.drop("lo", "hi").join(wanted, "block")
+    slot = F.pmod(F.xxhash64("square"), F.lit(tasks)).cast("int")
+    return (
+        rows.withColumn("slot", slot)
+        .repartitionById(tasks, F.col("slot"))
+        .groupBy("slot", "square")
+        .applyInArrow(run, schema)
+    )
+
+
+def bounded_blocks(blocked: DataFrame, s: int, most: int | None = None) -> tuple[DataFrame, int]:
+    """Split blocks that are too big for a task into parts.
+
+    Returns points with ``block`` replaced by ``block * parts + part``, and ``parts``,
+    which is 1 when the largest of the ``s`` blocks is small enough.
+    """
+    sizes = blocked.groupBy("block").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("coords")).alias("dim")
+    )
+    row = sizes.agg(F.max("rows").alias("rows"), F.max("dim").alias("dim")).first()
+    parts = math.ceil((row["rows"] or 1) / block_cap(row["dim"] or 1, most))
+    if parts == 1:
+        return blocked, 1
+    part = F.pmod(F.xxhash64("id", F.lit(s)), F.lit(parts))
+    return blocked.withColumn("block", (F.col("block") * parts + part).cast("int")), parts
+
+
+def coarse_subgraph(fine: str, s: int, parts: int) -> Column:
+    """Subgraph of ``s`` blocks that a subgraph of ``s * parts`` block parts belongs to."""
+    number, pairs = F.col(fine), (s * parts) * (s * parts - 1) // 2
+    guess = F.shiftright(F.floor(F.sqrt((number * 8 + 1).cast("double"))).cast("bigint") + 1, 1)
+    guess = F.when(F.shiftright(guess * (guess - 1), 1) > number, guess - 1).otherwise(guess)
+    high = F.when(number < pairs, guess).otherwise(number - pairs)
+    low = F.when(number < pairs, number - F.shiftright(guess * (guess - 1), 1)).otherwise(
+        number - pairs
+    )
+    return pair_subgraph(F.floor(low / parts), F.floor(high / parts), s)
+
+
 def fold_all(
     blocked: DataFrame,
     s: int,

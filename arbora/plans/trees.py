@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.points import box_distance
 from arbora.operators import spanning, tiles
-from arbora.operators.blocks import assign_blocks, pair_subgraph, subgraph_count
+from arbora.operators.blocks import assign_blocks, subgraph_count
 from arbora.operators.components import edge_components
 from arbora.operators.copies import fold_copies
 from arbora.operators.features import checked_points, with_dense_id
@@ -18,7 +18,7 @@ from arbora.runtime import MAX_ROUNDS, cut, lookup, parallelism
 
 # Blocks are pruned through at most this many groups of neighbouring blocks.
 GROUPS = 512
-# Blocks per side of a square of block pairs whose trees are merged in one task.
+# Most blocks per side of a square of block pairs that one task solves and merges.
 SQUARE = 8
 # A box distance is a sum of rounded terms; this much slack keeps it a lower bound.
 SLACK = 1 - 1e-9
@@ -133,11 +133,11 @@ def _grown(
     done, radius, homes = -1.0, _first_radius(own, boxes), None
     for _ in range(MAX_ROUNDS):
         pairs = cut(_pairs_within(boxes, homes, s, done, radius))
-        count = pairs.count()
-        if count:
-            visit = tiles.chosen_tiles(packed, pairs)
-            found = tiles.map_tiles(visit, spanning.tree_kernel, spanning.EDGE, count)
-            new = spanning.merge_msts(_by_square(found, pairs)).drop("subgraph")
+        facts = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("square").alias("squares")).first()
+        if facts["pairs"]:
+            new = tiles.map_squares(
+                packed, pairs, spanning.square_forest, spanning.EDGE, facts["squares"]
+            )
             tree = cut(spanning.mst_of_edges(tree.unionAll(new), local_edges))
         done = radius
         row = tree.agg(F.count(F.lit(1)).alias("edges"), F.max("weight").alias("longest")).first()
@@ -160,15 +160,6 @@ def _first_radius(own: DataFrame, boxes: DataFrame) -> float:
     return radius or 1.0
 
 
-def _by_square(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Key trees by squares of neighbouring block pairs: few blocks, many shared points."""
-    x, y = F.floor(F.col("low") / SQUARE), F.floor(F.col("high") / SQUARE)
-    square = pairs.select("subgraph", F.shiftleft(x, 32).bitwiseOR(y).alias("square"))
-    return found.join(square, "subgraph").select(
-        F.col("square").alias("subgraph"), "left", "right", "weight"
-    )
-
-
 def _single_components(
     members: DataFrame, tree: DataFrame, n: int, radius: float, local_edges: int | None
 ) -> DataFrame:
@@ -189,7 +180,7 @@ def _single_components(
 def _pairs_within(
     boxes: DataFrame, homes: DataFrame | None, s: int, done: float, radius: float
 ) -> DataFrame:
-    """Block pairs whose boxes are more than ``done`` and at most ``radius`` apart.
+    """``(square, low, high)`` of block pairs more than ``done``, at most ``radius`` apart.
 
     Pairs that lie in one component already are left out: an edge between them closes
     a cycle of edges no longer than ``done``. Blocks are paired through groups of
@@ -198,6 +189,8 @@ def _pairs_within(
     """
     spark = boxes.sparkSession
     per = math.ceil(s / GROUPS)
+    # Squares as big as leaves a few tasks per core.
+    side = max(1, min(SQUARE, math.isqrt(subgraph_count(s) // (4 * parallelism(spark)))))
     table = boxes.withColumn("group", F.floor(F.col("block") / per).cast("int"))
     if homes is not None:
         table = table.join(homes, "block", "left")
@@ -226,7 +219,9 @@ def _pairs_within(
         .where(F.col("block_a") < F.col("block_b"))
         .where(~joined & (apart > done) & (apart <= radius))
         .select(
-            pair_subgraph(F.col("block_a"), F.col("block_b"), s).alias("subgraph"),
+            F.shiftleft(F.floor(F.col("block_a") / side), 32)
+            .bitwiseOR(F.floor(F.col("block_b") / side))
+            .alias("square"),
             F.col("block_a").alias("low"),
             F.col("block_b").alias("high"),
         )

@@ -122,6 +122,30 @@ ROW_PAIRS = with_(
   sqrt(greatest(a.n2 + b.n2 - 2 * coalesce(d, 0.0), 0.0)) AS w
   FROM norm a JOIN norm b ON a.id < b.id LEFT JOIN dot ON dot.l = a.id AND dot.r = b.id)""",
 )
+
+
+def average(edges: str) -> str:
+    """CTE ``merges``: greedy average linkage over pairs ``(l, r, w)`` of nodes 0..n-1.
+
+    A row of the recursion is a pair of clusters with the sum of its distances; each
+    step merges the pair of least mean and adds up the rows that become the same pair.
+    """
+    return f"""total AS MATERIALIZED (SELECT count(*) AS n FROM pts),
+g(step, a, b, d, na, nb, ma, mb, md, ms) AS (
+  SELECT 0::BIGINT, l, r, w, 1::BIGINT, 1::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::BIGINT FROM {edges}
+  UNION ALL
+  SELECT step + 1, least(x, y), greatest(x, y), sum(d), any_value(CASE WHEN x < y THEN nx ELSE ny END),
+    any_value(CASE WHEN x < y THEN ny ELSE nx END), any_value(e.a), any_value(e.b), any_value(e.h), any_value(e.na + e.nb)
+  FROM (SELECT g.step, g.d, e, n, CASE WHEN g.a IN (e.a, e.b) THEN n + g.step ELSE g.a END AS x,
+      CASE WHEN g.b IN (e.a, e.b) THEN n + g.step ELSE g.b END AS y,
+      CASE WHEN g.a IN (e.a, e.b) THEN e.na + e.nb ELSE g.na END AS nx,
+      CASE WHEN g.b IN (e.a, e.b) THEN e.na + e.nb ELSE g.nb END AS ny
+    FROM g, (SELECT min({{'h': d / (na * nb), 'a': a, 'b': b, 'na': na, 'nb': nb}}) AS e FROM g WHERE a <> b), total)
+  WHERE e IS NOT NULL GROUP BY step, least(x, y), greatest(x, y)),
+merges AS MATERIALIZED (SELECT step - 1 AS step, any_value(ma) AS child_a, any_value(mb) AS child_b,
+  any_value(md) AS height, any_value(ms) AS size FROM g WHERE step > 0 GROUP BY step)"""
+
+
 SQUARED = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
@@ -167,7 +191,7 @@ SELECT CASE WHEN id % s = o THEN s * (s - 1) // 2 + o ELSE greatest(id % s, o) *
 SELECT CASE WHEN id % s = o THEN s * (s - 1) // 2 + o ELSE greatest(id % s, o) * (greatest(id % s, o) - 1) // 2 + least(id % s, o) END AS subgraph,
   count(*) AS points FROM ({EMB}), b, k GROUP BY ALL""",
     "d1_euclidean": f"WITH e AS ({EMB}) SELECT a.id, round({dist('a.x', 'b.x')}, 6) AS weight FROM e a JOIN e b ON b.id = a.id + 1",
-    "d2_distance": f"""WITH e AS ({EMB}) SELECT a.id, step, CASE WHEN step = 0 THEN 0.0 ELSE round({dist('a.x', 'b.x')}, 6) END AS weight
+    "d2_distance": f"""WITH e AS ({EMB}) SELECT a.id, step, CASE WHEN step = 0 THEN 0.0::DOUBLE ELSE round({dist('a.x', 'b.x')}, 6) END AS weight
 FROM e a JOIN e b ON b.id = a.id + 1, (SELECT unnest([0, 1]) AS step)""",
     "d3_pairs_within": with_(by_subgraph()) + f"SELECT sg AS subgraph, {PAIR_FACTS} FROM q WHERE lo = hi GROUP BY sg",
     "d4_pairs_between": with_(by_subgraph()) + f"SELECT sg AS subgraph, {PAIR_FACTS} FROM q WHERE lo < hi GROUP BY sg",
@@ -220,6 +244,14 @@ UNION ALL SELECT 'b', l, r, round(w, 6), 1 FROM (SELECT * FROM cliques EXCEPT SE
 FROM (SELECT w, s, least(l % s, r % s) AS lo, greatest(l % s, r % s) AS hi FROM rp, (SELECT {BLOCKS} AS s)) GROUP BY subgraph""",
     "h2_adjacency_row_tree": ROW_PAIRS.rstrip() + ",\n" + forest("rp", "rows", "r") + "\nSELECT round(sum(w), 4) AS total_weight FROM rows",
     "h3_linkage": LINKAGE + "SELECT step, child_a, child_b, round(height, 6) AS height, size FROM link JOIN sizes USING (step)",
+    "h4_agglomerate": with_(all_pairs(EMB), average("p")) + "SELECT step, child_a, child_b, round(height, 6) AS height, size FROM merges",
+    "h5_adjacency_linkage": ROW_PAIRS.rstrip() + ",\n" + average("rp") + "\nSELECT step, child_a, child_b, round(height, 6) AS height, size FROM merges",
+    "h6_dendrogram_layout": LINKAGE.rstrip() + """,
+whole AS MATERIALIZED (SELECT id AS node, 1 AS size, 0.0::DOUBLE AS height FROM pts UNION ALL SELECT n + step, sizes.size, height FROM link JOIN sizes USING (step), size),
+kids AS MATERIALIZED (SELECT n + step AS node, child_a, child_b, whole.size AS skip FROM link JOIN whole ON whole.node = child_a, size),
+place(node, first) AS (SELECT max(node), 0::BIGINT FROM whole UNION ALL
+  SELECT unnest([child_a, child_b]), unnest([first, first + skip]) FROM place JOIN kids USING (node))
+SELECT node, first, size::BIGINT AS size, round(height, 6) AS x, round(first * 10 + size * 5, 6)::DOUBLE AS y FROM place JOIN whole USING (node)""",
     "h7_cut_clusters": CUT10 + "SELECT id, component FROM comp",
     "h8_cut_threshold": with_(all_pairs(EMB), forest(), labels("SELECT id FROM pts", "SELECT * FROM mst WHERE w < 1.15")) + "SELECT id, component FROM comp",
     "h9_labels": CUT10 + "SELECT id, dense_rank() OVER (ORDER BY component) - 1 AS label FROM comp",
@@ -231,6 +263,16 @@ FROM (SELECT w, s, least(l % s, r % s) AS lo, greatest(l % s, r % s) AS hi FROM
     "h11_cut_linkage": CUT10 + "SELECT id, component FROM comp",
     "h12_cluster_sizes": CUT10 + "SELECT label, count(*) AS points FROM (SELECT dense_rank() OVER (ORDER BY component) - 1 AS label FROM comp) GROUP BY label",
     "i1_silhouette": silhouette(dist("a.x", "b.x"), "silhouette"),
+    "i2_adjacency_silhouette": ROW_PAIRS.rstrip() + ",\n" + forest("rp", "rows", "r") + """,
+kept AS MATERIALIZED (SELECT * FROM rows ORDER BY w DESC, l DESC, r DESC OFFSET 2),
+""" + labels("SELECT id FROM pts", "SELECT * FROM kept") + """,
+k AS (SELECT component AS label, count(*) AS k FROM comp GROUP BY ALL),
+d AS MATERIALIZED (SELECT id, own, other, sum(w) AS total FROM (
+  SELECT l AS id, a.component AS own, b.component AS other, w FROM rp JOIN comp a ON a.id = l JOIN comp b ON b.id = r
+  UNION ALL SELECT r, b.component, a.component, w FROM rp JOIN comp a ON a.id = l JOIN comp b ON b.id = r) GROUP BY ALL),
+s AS (SELECT d.id, max(CASE WHEN own = other THEN total / (k - 1) END) AS a,
+  min(CASE WHEN own <> other THEN total / k END) AS b FROM d JOIN k ON k.label = d.other GROUP BY ALL)
+SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""",
     "i3_silhouette_fast": silhouette(SQUARED, "silhouette_squared"),
 }
 
