@@ -16,6 +16,9 @@ GENDER_CODES = {"Male": 1.0, "Female": 0.0}
 LITERAL_CODES = 500
 BROADCAST_CODES = 200_000
 
+# Coordinates beyond this overflow when squared.
+LARGEST = 1e150
+
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
     """Drop every row with a null or NaN in any column."""
@@ -138,7 +141,7 @@ def preview(df: DataFrame, k: int) -> DataFrame:
 
 def checked_points(points: DataFrame) -> tuple[int, int]:
     """``(rows, dimension)`` of a points table, or an error that says what is wrong."""
-    bad_value = F.exists("coords", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    bad_value = F.exists("coords", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) > LARGEST))
     row = points.agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.size("coords")).alias("lo"),
@@ -146,7 +149,7 @@ def checked_points(points: DataFrame) -> tuple[int, int]:
         F.count_if(F.col("id").isNull() | F.col("coords").isNull() | bad_value).alias("bad"),
     ).first()
     if row["bad"]:
-        raise ValueError(f"{row['bad']} points have a missing id or a coordinate that is not finite")
+        raise ValueError(f"{row['bad']} points have a missing id or a coordinate that is not finite or too large")
     if row["n"] and row["lo"] != row["hi"]:
         raise ValueError(f"points have between {row['lo']} and {row['hi']} dimensions; all must agree")
     return row["n"], row["hi"] if row["n"] else 0

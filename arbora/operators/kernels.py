@@ -46,81 +46,81 @@ def before(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.nda
     return (low1 < low2) | ((low1 == low2) & (high1 < high2))
 
 
-class Frontier:
-    """Points not yet in the tree, each with its lightest edge into the tree."""
-
-    def __init__(self, ids: np.ndarray, coords: np.ndarray):
-        self.ids = ids.copy()
-        self.xt = np.array(coords.T, order="C")
-        self.weight = np.full(len(ids), np.inf)
-        self.parent = np.full(len(ids), NO_PARENT)
-        self.buf = np.empty_like(self.xt)
-        self.out = np.empty(len(ids))
-        self.live = len(ids)
-
-    def take(self, k: int) -> tuple[int, np.ndarray]:
-        """Remove point ``k``; the last live point moves into its place."""
-        id_, point = self.ids[k], self.xt[:, k].copy()
-        self.live -= 1
-        for column in (self.ids, self.weight, self.parent):
-            column[k] = column[self.live]
-        self.xt[:, k] = self.xt[:, self.live]
-        return id_, point
-
-    def relax(self, id_: int, point: np.ndarray) -> None:
-        r = self.live
-        weight, parent, ids = self.weight[:r], self.parent[:r], self.ids[:r]
-        found = distances(self.xt[:, :r], point, self.buf[:, :r], self.out[:r])
-        better = found < weight
-        tied = np.flatnonzero(found == weight)
-        if tied.size:
-            mine = np.full(tied.size, id_)
-            better[tied] = before(mine, ids[tied], parent[tied], ids[tied])
-        np.copyto(weight, found, where=better)
-        parent[better] = id_
-
-    def best(self) -> int:
-        r = self.live
-        weight = self.weight[:r]
-        k = int(weight.argmin())
-        tied = np.flatnonzero(weight == weight[k])
-        if tied.size > 1:
-            low = np.minimum(self.ids[tied], self.parent[tied])
-            high = np.maximum(self.ids[tied], self.parent[tied])
-            k = int(tied[np.lexsort((high, low))[0]])
-        return k
-
-    def edge(self, k: int) -> tuple[float, int, int]:
-        a, b = self.ids[k], self.parent[k]
-        return self.weight[k], min(a, b), max(a, b)
+class Side:
+    """Points of one side of a tile, each with its lightest edge out of its component."""
+
+    def __init__(self, table: np.ndarray, rows: np.ndarray, cols: np.ndarray):
+        self.table, self.rows, self.cols = table, rows, cols
+        self.weight = np.full(len(rows), np.inf)
+        self.to = rows.copy()
+
+    def refresh(self, label: np.ndarray) -> None:
+        """Look again for the rows whose lightest edge ends in their own component."""
+        stale = np.flatnonzero(label[self.rows] == label[self.to])
+        part = self.table[stale]
+        part[label[self.rows[stale]][:, None] == label[self.cols][None, :]] = np.inf
+        # Columns are in id order, so of equal weights the first is the least edge.
+        k = part.argmin(axis=1)
+        self.weight[stale] = part[np.arange(len(stale)), k]
+        self.to[stale] = self.cols[k]
 
 
 def spanning_tree(left, right=None):
     """Minimum spanning tree of one block, or of all edges between two blocks.
 
-    ``left`` and ``right`` are ``(ids, coords)``. Grows one tree point by point; in
-    the two-block case a new point updates only the other block. Memory is linear in
-    the points, and ties go by ``(weight, smaller id, larger id)``.
+    ``left`` and ``right`` are ``(ids, coords)`` in id order. Boruvka rounds over the
+    distance table of the tile, which the bound on blocks keeps at some tens of MB.
+    Ties go by ``(weight, smaller id, larger id)``.
     """
-    if right is not None and (len(left[0]) == 0 or len(right[0]) == 0):
-        sides = []
+    ids = left[0] if right is None else np.concatenate([left[0], right[0]])
+    n, m = len(ids), len(left[0])
+    table = np.empty((m, m if right is None else n - m))
+    for i, row in enumerate(distance_rows(left[1], left[1] if right is None else right[1])):
+        table[i] = row
+    every = np.arange(n)
+    if right is None:
+        sides = [Side(table, every, every)]
     else:
-        sides = [Frontier(*left)] if right is None else [Frontier(*left), Frontier(*right)]
-    edges = []
-    if sides and sides[0].live:
-        id_, point = sides[0].take(0)
-        at = 0
-        while any(side.live for side in sides):
-            other = sides[at] if right is None else sides[1 - at]
-            if other.live:
-                other.relax(id_, point)
-            options = [(i, side.best()) for i, side in enumerate(sides) if side.live]
-            at, k = min(options, key=lambda o: sides[o[0]].edge(o[1]))
-            weight, a, b = sides[at].edge(k)
-            edges.append((a, b, weight))
-            id_, point = sides[at].take(k)
-    found = np.array(edges, dtype=[("l", "i8"), ("r", "i8"), ("w", "f8")])
-    return found["l"], found["r"], found["w"]
+        sides = [
+            Side(table, every[:m], every[m:]),
+            Side(np.ascontiguousarray(table.T), every[m:], every[:m]),
+        ]
+    label, found = every, []
+    while table.size:
+        for side in sides:
+            side.refresh(label)
+        u, v, weight = (
+            np.concatenate([getattr(s, name) for s in sides]) for name in ("rows", "to", "weight")
+        )
+        out = np.isfinite(weight)
+        if not out.any():
+            break
+        u, v, weight = u[out], v[out], weight[out]
+        low, high = np.minimum(ids[u], ids[v]), np.maximum(ids[u], ids[v])
+        order = np.lexsort((high, low, weight))
+        names, first = np.unique(label[u][order], return_index=True)
+        pick = order[first]
+        found.append((low[pick], high[pick], weight[pick]))
+        label = unite(label, names, label[v[pick]])
+    if not found:
+        return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0)
+    low, high, weight = (np.concatenate(part) for part in zip(*found))
+    # Two components may have chosen the same edge.
+    _, once = np.unique(np.stack([low, high]), axis=1, return_index=True)
+    return low[once], high[once], weight[once]
+
+
+def unite(label: np.ndarray, names: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Follow each component's chosen neighbour and relabel by the roots.
+
+    Under a total order only two components that chose each other form a cycle; the
+    smaller of them becomes the root.
+    """
+    to = np.arange(len(label))
+    to[names] = chosen
+    mutual = to[to] == np.arange(len(label))
+    to = np.where(mutual, np.minimum(to, np.arange(len(label))), to)
+    return compress(to)[label]
 
 
 def compress(label: np.ndarray) -> np.ndarray:
@@ -169,16 +169,12 @@ def forest(u, v, weight, left, right) -> np.ndarray:
         np.minimum.at(lightest, lb, rank)
         chosen = np.flatnonzero((lightest[la] == rank) | (lightest[lb] == rank))
         kept.append(rank[chosen])
-        # Follow each component's lightest edge; of two that chose each other the
-        # smaller one becomes the root.
         to = np.arange(len(nodes))
         mine = lightest[la] == rank
         to[la[mine]] = lb[mine]
         mine = lightest[lb] == rank
         to[lb[mine]] = la[mine]
-        mutual = to[to] == np.arange(len(nodes))
-        to = np.where(mutual, np.minimum(to, np.arange(len(nodes))), to)
-        label = compress(to)[label]
+        label = unite(label, np.arange(len(nodes)), to)
     return np.sort(order[np.concatenate(kept)]) if kept else np.empty(0, dtype=np.int64)
 
 
@@ -544,3 +540,34 @@ def grown_tree(ids: np.ndarray, metric):
         edges.append((low[k], high[k], weight[at]))
     found = np.array(edges, dtype=[("l", "i8"), ("r", "i8"), ("w", "f8")])
     return found["l"], found["r"], found["w"]
+
+
+def gap_to_box(coords: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Distance of every point to the box around the points of ``other``."""
+    low, high = other.min(axis=0), other.max(axis=0)
+    gap = np.maximum(0.0, np.maximum(low - coords, coords - high))
+    return np.sqrt((gap * gap).sum(axis=1))
+
+
+def close_pairs(left, right, radius: float, slack: float):
+    """Parts of two blocks between which every edge up to ``radius`` can be found.
+
+    Each is ``(ids, coords)`` twice. Points farther than the radius from the other block
+    are left out. So are, where ``component`` is known, the edges within the most common
+    component: they close cycles of shorter edges.
+    """
+    parts = []
+    for side, other in ((left, right), (right, left)):
+        near = gap_to_box(side.coords, other.coords) * slack <= radius
+        component = side.extra["component"][near] if "component" in side.extra else None
+        parts.append((side.ids[near], side.coords[near], component))
+    (ids_a, a, of_a), (ids_b, b, of_b) = parts
+    if of_a is None or not len(ids_a) or not len(ids_b):
+        return [((ids_a, a), (ids_b, b))]
+    names, counts = np.unique(np.concatenate([of_a, of_b]), return_counts=True)
+    common = names[counts.argmax()]
+    out_a, out_b = of_a != common, of_b != common
+    return [
+        ((ids_a[out_a], a[out_a]), (ids_b, b)),
+        ((ids_a[~out_a], a[~out_a]), (ids_b[out_b], b[out_b])),
+    ]

@@ -68,9 +68,21 @@ def bipartite_mst(blocked: DataFrame, s: int) -> DataFrame:
     return subgraph_mst(blocked, s, "between")
 
 
-def square_forest(pairs: list[tuple[Block, Block]]) -> dict:
-    """Spanning forest of all edges across the listed block pairs."""
-    trees = [kernels.spanning_tree((a.ids, a.coords), (b.ids, b.coords)) for a, b in pairs]
+def square_forest(
+    pairs: list[tuple[Block, Block]], radius: float | None = None, slack: float = 1.0
+) -> dict:
+    """Spanning forest of the edges across the listed block pairs.
+
+    Of all edges, or with ``radius`` of a part that holds every edge up to that length
+    between points of different components.
+    """
+    trees = [(np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))]
+    for a, b in pairs:
+        if radius is None:
+            trees.append(kernels.spanning_tree((a.ids, a.coords), (b.ids, b.coords)))
+        else:
+            parts = kernels.close_pairs(a, b, radius, slack)
+            trees += [kernels.spanning_tree(p, q) for p, q in parts if len(p[0]) and len(q[0])]
     left, right, weight = (np.concatenate([t[i] for t in trees]) for i in range(3))
     kept = kernels.forest(left, right, weight, left, right)
     return {"left": left[kept], "right": right[kept], "weight": weight[kept]}

@@ -190,6 +190,7 @@ def map_squares(
     kernel: Callable[[list[tuple[Block, Block]]], Mapping[str, np.ndarray]],
     schema: str,
     squares: int,
+    extra: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Run ``kernel`` once per square on the listed block pairs that lie in it.
 
@@ -211,7 +212,7 @@ def map_squares(
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        blocks = {b: _decode(table, i, {}) for i, b in enumerate(table["block"].to_pylist())}
+        blocks = {b: _decode(table, i, extra or {}) for i, b in enumerate(table["block"].to_pylist())}
         listed = [
             (blocks[low], blocks[high])
             for low, partners in zip(blocks, table["partners"].to_pylist())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,12 @@ from arbora.runtime import MAX_ROUNDS, cut, lookup, parallelism
 
 # Blocks are pruned through at most this many groups of neighbouring blocks.
 GROUPS = 512
+# In few dimensions distances are cheap and boxes tight, so finer blocks prune better.
+FEW_DIMENSIONS, FINE_BLOCK = 8, 512
 # Most blocks per side of a square of block pairs that one task solves and merges.
 SQUARE = 8
+# Factor by which the search radius grows from round to round.
+GROWTH = 2.0
 # A box distance is a sum of rounded terms; this much slack keeps it a lower bound.
 SLACK = 1 - 1e-9
 
@@ -117,10 +122,12 @@ def _grown(
     points: DataFrame, n: int, dim: int, block_points: int | None, local_edges: int | None
 ) -> DataFrame:
     cores = parallelism(points.sparkSession)
+    if block_points is None and dim <= FEW_DIMENSIONS:
+        block_points = FINE_BLOCK
     s = tiles.block_count(n, dim, cores, block_points)
     size = math.ceil(n / s)
     s = math.ceil(n / size)
-    if subgraph_count(s) <= 4 * cores and block_points is None:
+    if subgraph_count(s) <= 4 * cores:
         # So few tiles that a few waves of tasks visit them all.
         trees = spanning.subgraph_mst(assign_blocks(points, s), s)
         return spanning.mst_of_edges(trees, local_edges)
@@ -130,14 +137,14 @@ def _grown(
     own = cut(tiles.map_tiles(tiles.own_tiles(packed), spanning.tree_kernel, spanning.EDGE, s))
     boxes = packed.select("block", "lo", "hi")
     tree = own.select("left", "right", "weight")
-    done, radius, homes = -1.0, _first_radius(own, boxes), None
+    strips = dim <= FEW_DIMENSIONS
+    done, radius, labelled = -1.0, _first_radius(own, boxes), None
     for _ in range(MAX_ROUNDS):
-        pairs = cut(_pairs_within(boxes, homes, s, done, radius))
+        homes = None if labelled is None else _single_components(labelled)
+        pairs = cut(_pairs_within(boxes, homes, s, -1.0 if strips else done, radius))
         facts = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("square").alias("squares")).first()
         if facts["pairs"]:
-            new = tiles.map_squares(
-                packed, pairs, spanning.square_forest, spanning.EDGE, facts["squares"]
-            )
+            new = _solved(packed, pairs, facts["squares"], labelled, radius if strips else None)
             tree = cut(spanning.mst_of_edges(tree.unionAll(new), local_edges))
         done = radius
         row = tree.agg(F.count(F.lit(1)).alias("edges"), F.max("weight").alias("longest")).first()
@@ -145,45 +152,76 @@ def _grown(
         if spans and row["longest"] <= done:
             return tree
         # Once the tree spans all points, its longest edge bounds what can still matter.
-        radius = min(3 * done, row["longest"]) if spans else 3 * done
-        homes = _single_components(members, tree, n, done, local_edges)
+        radius = min(GROWTH * done, row["longest"]) if spans else GROWTH * done
+        labelled = _labelled(members, tree, n, done, local_edges)
     raise RuntimeError(f"the search radius did not settle in {MAX_ROUNDS} rounds")
 
 
+def _solved(
+    packed: DataFrame, pairs: DataFrame, squares: int, labelled: DataFrame | None, radius: float | None
+) -> DataFrame:
+    """Forests of the listed block pairs, per square."""
+    extra = {}
+    if radius is not None and labelled is not None:
+        packed, extra = packed.join(_packed_labels(labelled), "block"), {"component": "i8"}
+
+    def kernel(listed):
+        return spanning.square_forest(listed, radius, SLACK)
+
+    return tiles.map_squares(packed, pairs, kernel, spanning.EDGE, squares, extra)
+
+
 def _first_radius(own: DataFrame, boxes: DataFrame) -> float:
-    """Median over the blocks of the longest edge of their own trees."""
-    longest = own.groupBy("subgraph").agg(F.max("weight").alias("w"))
-    radius = longest.agg(F.percentile_approx("w", 0.5)).first()[0]
+    """A length that most edges of the blocks' own trees do not exceed."""
+    radius = own.agg(F.percentile_approx("weight", 0.9)).first()[0]
     if not radius:
         sides = F.zip_with("hi", "lo", lambda h, low: h - low)
         radius = boxes.agg(F.max(F.aggregate(sides, F.lit(0.0), lambda a, x: a + x))).first()[0]
     return radius or 1.0
 
 
-def _single_components(
+def _labelled(
     members: DataFrame, tree: DataFrame, n: int, radius: float, local_edges: int | None
 ) -> DataFrame:
-    """``(block, home)`` of the blocks whose points are all joined by edges <= radius."""
+    """``(id, block, component)`` with the components of the tree's edges <= radius."""
     short = tree.where(F.col("weight") <= radius)
     labels = edge_components(short.select(F.col("left").alias("a"), F.col("right").alias("b")), local_edges)
-    labels = labels.withColumnRenamed("id", "__id")
-    label = F.coalesce("component", "id")
+    found = lookup(members, "id", labels.withColumnRenamed("id", "__id"), "__id", n)
+    return cut(found.withColumn("component", F.coalesce("component", "id")))
+
+
+def _single_components(labelled: DataFrame) -> DataFrame:
+    """``(block, home)`` of the blocks that lie in one component."""
     return cut(
-        lookup(members, "id", labels, "__id", n)
-        .groupBy("block")
-        .agg(F.min(label).alias("home"), F.max(label).alias("last"))
+        labelled.groupBy("block")
+        .agg(F.min("component").alias("home"), F.max("component").alias("last"))
         .where("home = last")
         .select("block", "home")
     )
 
 
+def _packed_labels(labelled: DataFrame) -> DataFrame:
+    """``(block, component)`` buffers in id order, to go with the packed blocks."""
+
+    def encode(table: pa.Table) -> pa.Table:
+        label = table.sort_by("id")["component"].to_numpy().astype("<i8")
+        return pa.table(
+            {"block": table["block"].slice(0, 1), "component": pa.array([label.tobytes()], pa.binary())}
+        )
+
+    return labelled.groupBy("block").applyInArrow(encode, "block int, component binary")
+
+
 def _pairs_within(
     boxes: DataFrame, homes: DataFrame | None, s: int, done: float, radius: float
 ) -> DataFrame:
     """``(square, low, high)`` of block pairs more than ``done``, at most ``radius`` apart.
 
+    In few dimensions a round looks only at the edges up to its radius, so that pairs
+    are visited again; otherwise a pair is solved whole, once.
+
     Pairs that lie in one component already are left out: an edge between them closes
-    a cycle of edges no longer than ``done``. Blocks are paired through groups of
+    a cycle of shorter edges. Blocks are paired through groups of
     neighbours: at most ``GROUPS`` group boxes are compared on the driver, and only
     blocks of groups near each other meet, by an equi-join on the group.
     """

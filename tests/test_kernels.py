@@ -29,10 +29,13 @@ def test_trees_of_tied_points_match_kruskal():
     for _ in range(150):
         n, dim = rng.integers(0, 25), rng.integers(1, 4)
         x = rng.integers(0, 4, size=(n, dim)).astype(float)
-        ids = rng.permutation(99)[:n].astype(np.int64)
+        ids = np.sort(rng.permutation(99)[:n])
         left, right, weight = kernels.spanning_tree((ids, x))
         assert sorted(zip(left, right, weight)) == brute_tree(x, ids)
         cut = rng.integers(0, n + 1)
+        mixed = rng.permutation(n)
+        mixed = np.concatenate([np.sort(mixed[:cut]), np.sort(mixed[cut:])])
+        x, ids = x[mixed], ids[mixed]
         pair = [
             (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), float(np.sqrt(((x[i] - x[j]) ** 2).sum())))
             for i in range(cut)
