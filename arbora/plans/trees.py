@@ -24,7 +24,7 @@ FEW_DIMENSIONS, FINE_BLOCK = 8, 512
 # Most blocks per side of a square of block pairs that one task solves and merges.
 SQUARE = 8
 # Factor by which the search radius grows from round to round.
-GROWTH = 2.0
+GROWTH = 4.0
 # A box distance is a sum of rounded terms; this much slack keeps it a lower bound.
 SLACK = 1 - 1e-9
 

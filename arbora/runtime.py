@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Edges (or rows of a few longs) one task may finish on its own: some tens of MB.
-LOCAL_EDGES = 500_000
-# Rows of a two- or three-column lookup table that may be broadcast.
-BROADCAST_ROWS = 500_000
-# How many ways a hot lookup key is split when the table is too big to broadcast.
+LOCAL_EDGES = 2_000_000
+# Rows of a lookup table of a few longs that may be broadcast: likewise.
+BROADCAST_ROWS = 1_000_000
+# How many ways a hot key is split.
 SALTS = 32
 # Rounds after which a loop that should take log(n) rounds is reported as stuck.
 MAX_ROUNDS = 128
@@ -59,17 +59,19 @@ def lookup(
     """Join ``rows`` to a ``table`` that has one row per ``table_key``.
 
     ``table_rows`` is the counted size of the table. Up to ``broadcast_rows`` the
-    table is broadcast. Beyond that a hot key in ``rows`` is split over ``SALTS``
-    partitions, and the table is copied only to the (key, salt) combinations that
-    occur, so a table row is never copied for keys that are not hot.
+    table is broadcast. Beyond that the two are shuffled, and a key that is hot in
+    ``rows`` is split: by adaptive execution, which cuts a skewed partition of ``rows``
+    and reads the matching one of the table several times, or by ``SALTS`` where that is
+    switched off. Salted, the table is copied only to the (key, salt) combinations that
+    occur, so never for keys that are not hot.
     The remaining columns of the table are appended; ``table_key`` is not.
     """
     bound = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     table = table.withColumnRenamed(table_key, "__key")
     if table_rows <= bound:
-        return rows.join(
-            F.broadcast(table), rows[key] == table["__key"], how
-        ).drop("__key")
+        return rows.join(F.broadcast(table), rows[key] == table["__key"], how).drop("__key")
+    if splits_skew(rows.sparkSession):
+        return rows.join(table, rows[key] == table["__key"], how).drop("__key")
     columns = [c for c in rows.columns if c != key]
     salt = F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int") if columns else F.lit(0)
     salted = rows.withColumn("__salt", salt)
@@ -80,3 +82,9 @@ def lookup(
         (salted[key] == spread["__key"]) & (salted["__salt"] == spread["__side"]),
         how,
     ).drop("__key", "__salt", "__side")
+
+
+def splits_skew(spark: SparkSession) -> bool:
+    """Whether adaptive execution splits skewed join partitions in this session."""
+    settings = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(spark.conf.get(name).lower() == "true" for name in settings)
