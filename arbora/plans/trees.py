@@ -19,6 +19,8 @@ from arbora.runtime import MAX_ROUNDS, cut, lookup, parallelism
 
 # Blocks are pruned through at most this many groups of neighbouring blocks.
 GROUPS = 512
+# Tiles per core up to which all block pairs are simply solved.
+WAVES = 16
 # In few dimensions distances are cheap and boxes tight, so finer blocks prune better.
 FEW_DIMENSIONS, FINE_BLOCK = 8, 512
 # Most blocks per side of a square of block pairs that one task solves and merges.
@@ -122,15 +124,15 @@ def _grown(
     points: DataFrame, n: int, dim: int, block_points: int | None, local_edges: int | None
 ) -> DataFrame:
     cores = parallelism(points.sparkSession)
-    if block_points is None and dim <= FEW_DIMENSIONS:
-        block_points = FINE_BLOCK
     s = tiles.block_count(n, dim, cores, block_points)
-    size = math.ceil(n / s)
-    s = math.ceil(n / size)
-    if subgraph_count(s) <= 4 * cores:
-        # So few tiles that a few waves of tasks visit them all.
+    if block_points is None and subgraph_count(s) <= WAVES * cores:
+        # So few tiles that visiting all of them is quicker than choosing.
         trees = spanning.subgraph_mst(assign_blocks(points, s), s)
         return spanning.mst_of_edges(trees, local_edges)
+    if block_points is None and dim <= FEW_DIMENSIONS:
+        s = tiles.block_count(n, dim, cores, FINE_BLOCK)
+    size = math.ceil(n / s)
+    s = math.ceil(n / size)
     blocked = cut(curve_blocks(points, dim, size))
     members = cut(blocked.select("id", "block"))
     packed = cut(tiles.pack(blocked))
