@@ -6,12 +6,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.functions.points import edge_order
 from arbora.operators import kernels
 from arbora.operators.components import components, edge_components
 from arbora.operators.features import with_dense_id
 from arbora.runtime import LOCAL_EDGES, MAX_ROUNDS, cut, lookup
 
+# Most edges that a cut finds by a top-k instead of a sort.
+TOP_EDGES = 10_000
+
 STEP = "step long, child_a long, child_b long, height double, size long"
 
 
@@ -137,14 +139,19 @@ def cut_tree(
 def _without_heaviest(edges: DataFrame, count: int) -> DataFrame:
     """All but the ``count`` last edges in edge order, with no join.
 
-    The lightest removed edge is found by a top-k, which keeps ``count`` rows per task.
+    For few, the lightest removed edge is found by a top-k, which keeps ``count`` rows
+    per task; for many, edges are numbered by a range sort.
     """
+    if count > TOP_EDGES:
+        numbered = with_dense_id(edges.select("left", "right", "weight"), ["weight", "left", "right"], name="rank")
+        total = numbered.count()
+        _enough(total, count)
+        return numbered.where(F.col("rank") < total - count).drop("rank")
     heaviest = [F.desc("weight"), F.desc("left"), F.desc("right")]
     top = edges.orderBy(*heaviest).limit(count).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("weight", "left", "right")).alias("e")
     ).first()
-    if top["n"] < count:
-        raise ValueError(f"cannot cut {top['n']} edges into {count + 1} clusters")
+    _enough(top["n"], count)
     last = top["e"]
     w, left, right = (F.lit(last[c]) for c in ("weight", "left", "right"))
     same = F.col("weight") == w
@@ -155,6 +162,11 @@ def _without_heaviest(edges: DataFrame, count: int) -> DataFrame:
     )
 
 
+def _enough(edges: int, count: int) -> None:
+    if edges < count:
+        raise ValueError(f"cannot cut {edges} edges into {count + 1} clusters")
+
+
 def labels(clusters: DataFrame) -> DataFrame:
     """``(id, label)`` with labels 0..k-1 in order of each component's smallest id."""
     clusters = cut(clusters)

@@ -41,7 +41,9 @@ def test_bisected_ranks_give_the_sequential_table(spark, shape):
     assert rows(hierarchy.linkage(df, n, leaf_edges=12)) == sequential(edges, n)
 
 
-def test_cuts_and_labels(p6):
+@pytest.mark.parametrize("top_edges", [10_000, 0])
+def test_cuts_and_labels(p6, monkeypatch, top_edges):
+    monkeypatch.setattr(hierarchy, "TOP_EDGES", top_edges)
     tree = mst(p6)
 
     def cut(**by):
