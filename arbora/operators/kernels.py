@@ -360,15 +360,6 @@ def _silhouette_rows(side, sums: np.ndarray, clusters) -> dict[str, np.ndarray]:
 METHODS = ("single", "complete", "average", "weighted", "ward")
 
 
-def combine(method: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Unite partial linkages between the same clusters from different tiles."""
-    if method == "single":
-        return np.minimum(a, b)
-    if method == "complete":
-        return np.maximum(a, b)
-    return a + b
-
-
 def linkage_value(method: str, found, size_a, spread_a, size_b, spread_b):
     """Height at which two clusters merge, from their complete linkage.
 
