@@ -57,20 +57,21 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def unique_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """``(doc, id, text)``: a BIGINT key per row, in the order of the ids, and no null text.
+def unique_rows(docs: DataFrame, id: str, text: str, *more: str) -> DataFrame:
+    """``(doc, id, text)`` and columns ``more``: a BIGINT key per row, in the order of the
+    ids, and no null text.
 
     Where ids are unique and not null, the key is the id. Else rows are numbered by id
     and text hash in a written table, nulls first, so that rows with one id count as
     documents of their own.
     """
-    rows = docs.select(F.col(id).cast("bigint").alias("id"), text_or_empty(text).alias("text"))
+    rows = docs.select(F.col(id).cast("bigint").alias("id"), text_or_empty(text).alias("text"), *more)
     counted = docs.select(F.col(id).cast("bigint").alias("id")).groupBy("id").count()
     if counted.filter("count > 1 or id is null").isEmpty():
-        return rows.select(F.col("id").alias("doc"), "id", "text")
+        return rows.select(F.col("id").alias("doc"), "id", "text", *more)
     ordered = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange("id", "mark")
     ordered = ordered.sortWithinPartitions("id", "mark")
-    return stored(ordered.select(F.monotonically_increasing_id().alias("doc"), "id", "text"))
+    return stored(ordered.select(F.monotonically_increasing_id().alias("doc"), "id", "text", *more))
 
 
 def delivered(docs: DataFrame, notes: DataFrame, key: str, size: Column, limit: int | None = None) -> DataFrame:

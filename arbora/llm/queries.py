@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arbora.llm import exact, host_rules
+from arbora.llm import bitsliced, compression, exact, host_rules
 from arbora.llm.common import table
 
 
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return compression.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return host_rules.host_rules(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -19,7 +24,14 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf, "documents"), digests=True)
 
 
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    found = bitsliced.near_components(table(spark, sf, "documents"))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
 QUERIES = {
+    "op4_quality_classifier": op4,
     "op6_host_rules": op6,
     "op7_exact_dedup": op7,
+    "op9_simhash_near_dedup": op9,
 }
