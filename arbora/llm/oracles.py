@@ -1,5 +1,14 @@
 """DuckDB SQL of the queries in ``arbora.llm.queries``, over whole tables."""
 
+OP5 = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) n, sha256(coalesce(html, '')) d FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END f FROM p)
+SELECT page_id, n::BIGINT payload_bytes, d payload_digest,
+  CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END record_type,
+  CASE WHEN f <> page_id THEN f END refers_to, NULL::VARCHAR problem
+FROM f
+"""
+
 OP6 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') t FROM documents),
 w AS (SELECT doc_id, generate_subscripts(ws, 1) i, unnest(ws) w FROM
@@ -40,6 +49,7 @@ FROM n
 """
 
 ORACLES: dict[str, str] = {
+    "op5_warc": OP5,
     "op6_host_rules": OP6,
     "op7_exact_dedup": OP7,
 }

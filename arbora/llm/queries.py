@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import bitsliced, compression, exact, host_rules
+from arbora.llm import bitsliced, compression, exact, host_rules, warc
 from arbora.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return compression.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return host_rules.host_rules(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -31,6 +35,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op4_quality_classifier": op4,
+    "op5_warc": op5,
     "op6_host_rules": op6,
     "op7_exact_dedup": op7,
     "op9_simhash_near_dedup": op9,
