@@ -74,12 +74,14 @@ def unique_rows(docs: DataFrame, id: str, text: str, *more: str) -> DataFrame:
     return stored(ordered.select(F.monotonically_increasing_id().alias("doc"), "id", "text", *more))
 
 
-def delivered(docs: DataFrame, notes: DataFrame, key: str, size: Column, limit: int | None = None) -> DataFrame:
-    """Left join of ``docs`` to ``notes``, a written table with one row per ``key``.
+def delivered(
+    docs: DataFrame, notes: DataFrame, key: str, size: Column, limit: int | None = None, how: str = "left"
+) -> DataFrame:
+    """Join of ``docs`` to ``notes``, a written table with one row per ``key``.
 
     The sum of ``size`` over the notes is measured. Up to ``limit`` bytes they are
     broadcast and texts stay where they are; beyond it both sides are shuffled.
     """
     limit = BROADCAST_BYTES if limit is None else limit
     total = notes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    return docs.join(F.broadcast(notes) if total <= limit else notes, key, "left")
+    return docs.join(F.broadcast(notes) if total <= limit else notes, key, how)

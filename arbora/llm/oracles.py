@@ -1,5 +1,20 @@
 """DuckDB SQL of the queries in ``arbora.llm.queries``, over whole tables."""
 
+OP2 = r"""
+WITH w AS (SELECT doc_id, generate_subscripts(ws, 1) i, unnest(ws) w FROM
+      (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents)),
+g AS (SELECT doc_id, i, w, string_agg(w, ' ') OVER s g, count(*) OVER s n
+      FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, i, n = 20 AND row_number() OVER (PARTITION BY n = 20, md5(g) ORDER BY doc_id, i) > 1 again FROM g),
+c AS (SELECT doc_id, i, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i
+      ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) gone FROM r),
+k AS (SELECT w.doc_id, count(*) n_words, count(*) FILTER (gone) n_removed,
+      string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) kept FROM w JOIN c USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT n_words, coalesce(n_removed, 0)::BIGINT n_removed,
+  sha256(coalesce(kept, '')) kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
 OP5 = r"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) n, sha256(coalesce(html, '')) d FROM pages),
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END f FROM p)
@@ -49,6 +64,7 @@ FROM n
 """
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2,
     "op5_warc": OP5,
     "op6_host_rules": OP6,
     "op7_exact_dedup": OP7,

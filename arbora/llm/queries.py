@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import bitsliced, compression, exact, host_rules, warc
+from arbora.llm import bitsliced, compression, exact, host_rules, substring, suffix, warc
 from arbora.llm.common import table
 
 
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return compression.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -34,6 +42,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2,
+    "op3_suffix_array_dedup": op3,
     "op4_quality_classifier": op4,
     "op5_warc": op5,
     "op6_host_rules": op6,

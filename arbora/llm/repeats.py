@@ -14,8 +14,6 @@ prefix sums in one multiplication.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 # Two odd multipliers, and the shifts and factor of the final mixing.
@@ -32,16 +30,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-@lru_cache(maxsize=4)
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base ** i`` and its inverse modulo 2**64 for i below ``n``."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for factor in (base, inverse):
-        row = np.full(n, factor, dtype=np.uint64)
-        row[0] = 1
-        out.append(np.multiply.accumulate(row))
-    return out[0], out[1]
+class Powers(dict):
+    """``base ** i`` and its inverse modulo 2**64 for i below n, by (base, n); travels empty."""
+
+    def __missing__(self, key: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        base, n = key
+        out = []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            row = np.full(n, factor, dtype=np.uint64)
+            row[0] = 1
+            out.append(np.multiply.accumulate(row))
+        self[key] = tuple(out)
+        return self[key]
+
+    def __reduce__(self):
+        return (Powers, ())
+
+
+POWERS = Powers()
 
 
 class Rolling:
@@ -51,7 +57,7 @@ class Rolling:
         size = 1 << 12
         while size < len(symbols) + 1:
             size *= 2
-        up, self.down = powers(base, size)
+        up, self.down = POWERS[base, size]
         self.sums = np.zeros(len(symbols) + 1, dtype=np.uint64)
         np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:])
 
@@ -119,3 +125,81 @@ def runs(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = first[1:] > reach[:-1]
     at = np.flatnonzero(new)
     return first[at], reach[np.append(at[1:], len(first)) - 1]
+
+
+# Symbols of the 256 byte values: fixed random-looking numbers, made by the mixing itself.
+BYTE_SYMBOLS = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[1])))
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A symbol per word of the texts that ``offsets`` mark in ``data``, and their ends."""
+    inside = ~SPACE[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    edge = offsets[:-1][(offsets[:-1] < len(data)) & (offsets[:-1] < offsets[1:])]
+    begin[edge] |= inside[edge]
+    end = inside.copy()
+    end[:-1] &= ~inside[1:]
+    tail = edge[edge > 0] - 1
+    end[tail] |= inside[tail]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    symbols = Rolling(BYTE_SYMBOLS[data]).at(starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
+    return symbols, np.searchsorted(starts, offsets[1:])
+
+
+def long_word_symbols(data: np.ndarray) -> np.ndarray:
+    """Symbols of one long text, taken in pieces that end between words."""
+    spaces = np.flatnonzero(SPACE[data])
+    parts, at = [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > PIECE:
+            i = np.searchsorted(spaces, at + PIECE)
+            end = int(spaces[i]) if i < len(spaces) else end
+            end = max(end, at + 1)
+        parts.append(word_symbols(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(parts)
+
+
+def symbol_pieces(data: np.ndarray, offsets: np.ndarray, words: bool, length: int):
+    """Symbols of texts, about ``PIECE`` bytes at once.
+
+    Yields ``(texts, bases, symbols, ends)``: the numbers of the texts that follow each
+    other in ``symbols``, and how many symbols of the text come before. Pieces of a longer
+    text overlap by a window less one, so that each window lies in exactly one.
+    """
+    n, i = len(offsets) - 1, 0
+    while i < n:
+        if offsets[i + 1] - offsets[i] > PIECE:
+            text = data[offsets[i] : offsets[i + 1]]
+            symbols = long_word_symbols(text) if words else None
+            count = len(symbols) if words else len(text)
+            for base in range(0, max(1, count - length + 1), PIECE):
+                upto = min(count, base + PIECE + length - 1)
+                part = symbols[base:upto] if words else BYTE_SYMBOLS[text[base:upto]]
+                yield np.array([i]), np.array([base]), part, np.array([len(part)])
+            i += 1
+            continue
+        j = int(np.searchsorted(offsets, offsets[i] + PIECE, side="right")) - 1
+        j = min(max(j, i + 1), n)
+        part, marks = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if words:
+            symbols, ends = word_symbols(part, marks)
+        else:
+            symbols, ends = BYTE_SYMBOLS[part], marks[1:]
+        yield np.arange(i, j), np.zeros(j - i, dtype=np.int64), symbols, ends
+        i = j
+
+
+def text_buffers(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of an Arrow array of strings without nulls."""
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
