@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import bitsliced, compression, exact, host_rules, substring, suffix, warc
+from arbora.llm import bitsliced, compression, exact, host_rules, substring, suffix, token_files, warc
 from arbora.llm.common import table
 
 
@@ -36,6 +36,12 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf, "documents"), digests=True)
 
 
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     found = bitsliced.near_components(table(spark, sf, "documents"))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
@@ -48,5 +54,6 @@ QUERIES = {
     "op5_warc": op5,
     "op6_host_rules": op6,
     "op7_exact_dedup": op7,
+    "op8_token_files": op8,
     "op9_simhash_near_dedup": op9,
 }
