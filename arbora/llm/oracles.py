@@ -1,5 +1,52 @@
 """DuckDB SQL of the queries in ``arbora.llm.queries``, over whole tables."""
 
+def shares(level: str, parent: str, name: str, nodes: str) -> str:
+    """CTEs that share the budget of each ``parent`` among ``nodes(parent, name, cap, w, budget)``."""
+    return f"""
+{level}a AS (SELECT *, coalesce(sum(cap) OVER o, 0) cb, sum(w) OVER p - coalesce(sum(w) OVER o, 0) wl FROM ({nodes})
+  WINDOW p AS (PARTITION BY {parent}), o AS (PARTITION BY {parent} ORDER BY cap::DOUBLE / w, {name}
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{level}b AS (SELECT *, cap::HUGEINT * wl <= (budget - cb)::HUGEINT * w AS is_full FROM {level}a),
+{level}c AS (SELECT *, budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER p rest,
+  sum(CASE WHEN is_full THEN 0 ELSE w END) OVER p ws FROM {level}b WINDOW p AS (PARTITION BY {parent})),
+{level}d AS (SELECT *, CASE WHEN is_full THEN cap ELSE (w::HUGEINT * rest::HUGEINT) // nullif(ws, 0)::HUGEINT END part
+  FROM {level}c),
+{level} AS (SELECT * REPLACE ((part + CASE WHEN NOT is_full AND rank <= lost THEN 1 ELSE 0 END)::BIGINT AS budget) FROM
+  (SELECT *, budget - sum(part) OVER (PARTITION BY {parent}) lost,
+   sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER (PARTITION BY {parent} ORDER BY {name}) rank FROM {level}d))"""
+
+
+DOMAIN_NODES = """SELECT 0 r, d, sum(cap)::BIGINT cap,
+  CASE d WHEN 'web' THEN 5 WHEN 'news' THEN 3 WHEN 'books' THEN 2 ELSE 1 END w,
+  (SELECT sum(tokens)::BIGINT FROM leaf) budget FROM leaf GROUP BY d"""
+LANG_NODES = """SELECT d, l, sum(leaf.cap)::BIGINT cap,
+  CASE l WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END w,
+  any_value(x.budget) budget FROM leaf JOIN x USING (d) GROUP BY d, l"""
+SOURCE_NODES = """SELECT d, l, s, leaf.cap, leaf.w, leaf.tokens, y.budget FROM leaf JOIN y USING (d, l)"""
+
+# The table ``mixed`` from a table ``input`` with the columns of documents.
+MIXED = rf"""
+t AS (SELECT *, coalesce(lang, '') l, coalesce(source, '') s,
+  CASE TRY_CAST(regexp_extract(coalesce(source, ''), '(\d+)$', 1) AS BIGINT) % 3
+    WHEN 0 THEN 'web' WHEN 1 THEN 'news' WHEN 2 THEN 'books' ELSE '' END d,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT n FROM input),
+leaf AS (SELECT d, l, s, sum(n)::BIGINT tokens, 2 * sum(n)::BIGINT cap, 1 w FROM t GROUP BY ALL),
+{shares("x", "r", "d", DOMAIN_NODES)},
+{shares("y", "d", "l", LANG_NODES)},
+{shares("z", "d, l", "s", SOURCE_NODES)},
+e AS (SELECT t.*, unnest(range(0, budget // tokens + CASE WHEN budget % tokens > 0 THEN 1 ELSE 0 END)) epoch, budget,
+  tokens FROM t JOIN z USING (d, l, s) WHERE budget > 0),
+f AS (SELECT *, CASE WHEN epoch < budget // tokens THEN tokens ELSE budget % tokens END room,
+  coalesce(sum(n) OVER (PARTITION BY d, l, s, epoch ORDER BY md5('7:' || epoch || ':' || doc_id), n
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) start FROM e),
+mixed AS (SELECT *, CASE WHEN epoch < budget // tokens THEN n ELSE least(n, room - start) END::BIGINT used
+  FROM f WHERE start < room OR epoch < budget // tokens)"""
+
+OP1 = f"""
+WITH input AS (SELECT * FROM documents), {MIXED}
+SELECT doc_id, d AS domain, l AS lang, s AS source, epoch::BIGINT epoch, n n_tokens, used tokens_used FROM mixed
+"""
+
 OP2 = r"""
 WITH w AS (SELECT doc_id, generate_subscripts(ws, 1) i, unnest(ws) w FROM
       (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents)),
@@ -64,6 +111,7 @@ FROM n
 """
 
 ORACLES: dict[str, str] = {
+    "op1_mixing": OP1,
     "op2_substring_dedup": OP2,
     "op5_warc": OP5,
     "op6_host_rules": OP6,

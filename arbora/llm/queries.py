@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import bitsliced, compression, exact, host_rules, substring, suffix, token_files, warc
+from arbora.llm import (
+    bitsliced,
+    compression,
+    exact,
+    host_rules,
+    mixing,
+    pieces,
+    substring,
+    suffix,
+    token_files,
+    warc,
+)
 from arbora.llm.common import table
 
 
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    used = mixing.mix(table(spark, sf, "documents"), mixing.document_tree(), mixing.WEIGHTS)
+    return used.select("doc.doc_id", "node.*", "epoch", "n_tokens", "tokens_used")
+
+
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf, "documents")).drop("kept")
 
@@ -47,7 +63,15 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.segmented(table(spark, sf, "documents"), path).drop("ids")
+
+
 QUERIES = {
+    "op1_mixing": op1,
     "op2_substring_dedup": op2,
     "op3_suffix_array_dedup": op3,
     "op4_quality_classifier": op4,
@@ -56,4 +80,5 @@ QUERIES = {
     "op7_exact_dedup": op7,
     "op8_token_files": op8,
     "op9_simhash_near_dedup": op9,
+    "op10_sentencepiece": op10,
 }
