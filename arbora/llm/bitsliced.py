@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import stored, text_or_empty
+from arbora.llm.common import stored, text_or_empty, without_ids
 from arbora.operators.components import edge_components
 from arbora.runtime import lookup
 
@@ -246,5 +246,4 @@ def near_components(
 def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component of ``docs``, that with its smallest id, with all columns."""
     found = near_components(docs, id, text)
-    dropped = found.where(~F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__id"))
-    return docs.join(dropped, docs[id].eqNullSafe(dropped["__id"]), "left_anti")
+    return without_ids(docs, found.where(~F.col(id).eqNullSafe(F.col("component_id"))), id)

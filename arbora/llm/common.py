@@ -74,6 +74,17 @@ def unique_rows(docs: DataFrame, id: str, text: str, *more: str) -> DataFrame:
     return stored(ordered.select(F.monotonically_increasing_id().alias("doc"), "id", "text", *more))
 
 
+def without_ids(docs: DataFrame, dropped: DataFrame, id: str, limit: int | None = None) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``dropped``, a table with that one column.
+
+    Ids counted to fit in ``limit`` bytes are broadcast, so that texts stay where they are.
+    """
+    limit = BROADCAST_BYTES if limit is None else limit
+    gone = stored(dropped.select(F.col(id).alias("__id")))
+    gone = F.broadcast(gone) if 16 * gone.count() <= limit else gone
+    return docs.join(gone, docs[id].eqNullSafe(gone["__id"]), "left_anti")
+
+
 def delivered(
     docs: DataFrame, notes: DataFrame, key: str, size: Column, limit: int | None = None, how: str = "left"
 ) -> DataFrame:

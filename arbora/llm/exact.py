@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import SPACES, stored, text_or_empty
+from arbora.llm.common import SPACES, stored, text_or_empty, without_ids
 
 # Characters that the second key reads.
 PREFIX = 64
@@ -84,5 +84,4 @@ def exact_dedup(
 
 def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_dedup(docs, id, text).filter("not kept").select(F.col(id).alias("__id"))
-    return docs.join(dropped, docs[id].eqNullSafe(dropped["__id"]), "left_anti")
+    return without_ids(docs, exact_dedup(docs, id, text).filter("not kept"), id)

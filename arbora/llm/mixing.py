@@ -166,3 +166,8 @@ def document_tree(source: str = "source", lang: str = "lang") -> dict[str, Colum
     for i, name in enumerate(DOMAINS):
         domain = F.when(number == i, F.lit(name)).otherwise(domain)
     return {"domain": domain, "lang": F.col(lang), "source": F.col(source)}
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix of ``document_tree`` uses them, with all columns."""
+    return mix(docs, document_tree(), WEIGHTS).select("doc.*")
