@@ -86,7 +86,8 @@ def page_records(key, page_id, url, payload, digest, first, segment_bytes) -> It
     """The records of a page: a revisit, a response, or a response and its continuations."""
     name = record_name(key)
     fields = [(b"WARC-Record-ID", name), (b"WARC-Date", DATE), (b"WARC-Target-URI", clean_url(url, name))]
-    fields += [(b"WARC-Page-ID", b"%d" % page_id)] * (page_id is not None)
+    if page_id is not None:
+        fields.append((b"WARC-Page-ID", b"%d" % page_id))
     fields += [(b"WARC-Payload-Digest", b"sha256:" + digest), (b"Content-Type", b"application/http; msgtype=response")]
     if first is not None:
         fields += [(b"WARC-Refers-To", record_name(first)), (b"WARC-Profile", PROFILE)]
