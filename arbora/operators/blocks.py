@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def subgraph_count(s: int) -> int:
+def subgraph_count(s: int | Column) -> int | Column:
+    """How many subgraphs ``s`` blocks have; a number, or a column for a column."""
+    if isinstance(s, Column):
+        s = s.cast("bigint")
+        return F.shiftright(s * (s - 1), 1) + s
     return s * (s - 1) // 2 + s
 
 
@@ -73,6 +77,16 @@ def subgraph_sizes(delivered: DataFrame) -> DataFrame:
     return delivered.groupBy("subgraph").agg(F.count(F.lit(1)).alias("points"))
 
 
+def block_subgraph_sizes(blocked: DataFrame, s: int) -> DataFrame:
+    """:func:`subgraph_sizes` without delivery: points are counted per block, and only the
+    counts go to the block's subgraphs."""
+    counts = blocked.groupBy("block").agg(F.count(F.lit(1)).alias("points"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("other")
+    ends = counts.select("points", "block", other)
+    key = pair_subgraph(F.col("block"), F.col("other"), s).alias("subgraph")
+    return ends.groupBy(key).agg(F.sum("points").alias("points"))
+
+
 def regroup(edges: DataFrame, k: int, key: str = "subgraph") -> DataFrame:
     """Merge group of each subgraph for a fan-in of ``k``: the key divided by k."""
     if k < 2:

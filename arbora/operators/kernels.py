@@ -398,6 +398,17 @@ def cluster_linkages(method: str, left, right):
     return table, sides
 
 
+# Bits of a linkage that count when linkages are compared: sums of distances depend on
+# their order in the last few bits only.
+STEADY_BITS = 32
+
+
+def steady(x: np.ndarray) -> np.ndarray:
+    """``x`` rounded to ``STEADY_BITS`` significant bits."""
+    part, power = np.frexp(x)
+    return np.ldexp(np.rint(np.ldexp(part, STEADY_BITS)), power - STEADY_BITS)
+
+
 def linkage_tile(method: str, every: bool, left, right) -> dict[str, np.ndarray]:
     """Candidate merges of a tile.
 
@@ -424,7 +435,7 @@ def linkage_tile(method: str, every: bool, left, right) -> dict[str, np.ndarray]
         rows, cols = np.nonzero(final & (names_a[:, None] < names_b[None, :]) if same else final)
         out.append((rows, cols, value[rows, cols], True))
     else:
-        ranked = np.where(final, value, np.inf)
+        ranked = np.where(final, steady(value), np.inf)
         for by_row in (True, False) if not same else (True,):
             out.append(_best_of(ranked if by_row else ranked.T, names_a, names_b, by_row))
     partial = apart & ~(whole_a[:, None] & whole_b[None, :])
@@ -466,15 +477,16 @@ def merge_matrix(method: str, names, sizes, pairs_a, pairs_b, values):
     """Merge a bounded number of clusters to one, nearest pair first.
 
     Returns per merge: the two names, the height and the size. A merged cluster keeps
-    the smaller name.
+    the smaller name. Linkages are compared by their steady bits, updated in full.
     """
     k = len(names)
     table = np.full((k, k), np.inf)
     a, b = np.searchsorted(names, pairs_a), np.searchsorted(names, pairs_b)
     table[a, b] = table[b, a] = values
     size, live = sizes.astype("f8"), np.ones(k, dtype=bool)
-    nearest = table.argmin(axis=1)
-    low = table[np.arange(k), nearest]
+    ranked = steady(table)
+    nearest = ranked.argmin(axis=1)
+    low = ranked[np.arange(k), nearest]
     merges = []
     for _ in range(k - 1):
         i = int(low.argmin())
@@ -497,14 +509,17 @@ def merge_matrix(method: str, names, sizes, pairs_a, pairs_b, values):
         row[i] = np.inf
         table[i], table[:, i] = row, row
         table[j], table[:, j] = np.inf, np.inf
+        merges.append((names[i], names[j], ranked[i, j], int(si + sj)))
+        row = steady(row)
+        ranked[i], ranked[:, i] = row, row
+        ranked[j], ranked[:, j] = np.inf, np.inf
         size[i] = si + sj
         low[j] = np.inf
-        merges.append((names[i], names[j], height, int(si + sj)))
         # Clusters that pointed at either end look again; others may move to the new one.
         again = np.flatnonzero(live & ((nearest == i) | (nearest == j)))
         again = np.union1d(again, [i])
-        nearest[again] = table[again].argmin(axis=1)
-        low[again] = table[again, nearest[again]]
+        nearest[again] = ranked[again].argmin(axis=1)
+        low[again] = ranked[again, nearest[again]]
         closer = live & ((row < low) | ((row == low) & (i < nearest)))
         nearest[closer], low[closer] = i, row[closer]
     return merges

@@ -88,6 +88,17 @@ def square_forest(
     return {"left": left[kept], "right": right[kept], "weight": weight[kept]}
 
 
+def checked_edges(edges: DataFrame) -> DataFrame:
+    """``edges`` that fail when read if an end is null or a weight is null or NaN.
+
+    Such rows have no place in the order of edges; every path would treat them its own way.
+    """
+    weight = F.col("weight").cast("double")
+    bad = F.col("left").isNull() | F.col("right").isNull() | weight.isNull() | F.isnan(weight)
+    refused = F.raise_error(F.lit("edges need both ends and a weight that is a number")).cast("double")
+    return edges.withColumn("weight", F.when(bad, refused).otherwise(weight))
+
+
 def sort_edges(edges: DataFrame) -> DataFrame:
     """Edges in their total order (a range sort)."""
     return edges.orderBy(*edge_order())
@@ -118,6 +129,7 @@ def merge_msts(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
     numbered per group.
     """
     limit = LOCAL_EDGES if local_edges is None else local_edges
+    edges = checked_edges(edges)
     sizes = edges.groupBy("subgraph").agg(F.count(F.lit(1)).alias("edges"))
     if (sizes.agg(F.max("edges")).first()[0] or 0) > limit:
         return _merge_big(edges, local_edges)
@@ -160,7 +172,7 @@ def merge_tree(
     :func:`mst_of_edges`, which has no single-task stage. Both give the same tree.
     """
     limit = LOCAL_EDGES if local_edges is None else local_edges
-    level = cut(edges)
+    level = cut(checked_edges(edges))
     while subgraphs > 1:
         grouped = regroup(level, k)
         sizes = grouped.groupBy("subgraph").agg(F.count(F.lit(1)).alias("edges"))
@@ -178,9 +190,10 @@ def mst_of_edges(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
     aggregated ``min``), components joined by these are contracted, edges inside a
     component vanish and of parallel ones the lightest stays. At least half of the
     components disappear per round. What is left is finished in one task once it is
-    small enough.
+    small enough. Null ends or weights and NaN are refused.
     """
     limit = LOCAL_EDGES if local_edges is None else local_edges
+    edges = checked_edges(edges)
     live = cut(_lightest_parallel(edges.where("left <> right"), F.col("left"), F.col("right")))
     chosen: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
@@ -243,9 +256,19 @@ def merge_parents(picks: DataFrame, rows: int) -> DataFrame:
 
 
 def non_cycle_edges(edges: DataFrame, rank: str, local_edges: int | None = None) -> DataFrame:
-    """The edges that join two components when taken in order of ``rank``."""
-    ranked = edges.select("left", "right", F.col(rank).cast("double").alias("weight"))
-    return mst_of_edges(ranked, local_edges).withColumnRenamed("weight", rank)
+    """The edges that join two components when taken in order of ``rank``, any type with one.
+
+    Equal ranks go by the ends. Edges are numbered by a range sort, so no rank is rounded;
+    null ranks are refused.
+    """
+    known = F.when(F.col(rank).isNull(), F.raise_error(F.lit("edges need a rank")).cast("long")).otherwise(F.col("left"))
+    ranked = edges.select(known.alias("left"), "right", rank).where("left <> right or left is null or right is null")
+    numbered = with_dense_id(ranked, [rank, "left", "right"], name="__number")
+    forest = mst_of_edges(
+        numbered.select("left", "right", F.col("__number").cast("double").alias("weight")), local_edges
+    )
+    chosen = forest.select(F.col("weight").cast("long").alias("__number"))
+    return numbered.join(chosen, "__number", "left_semi").select("left", "right", rank)
 
 
 def nearest_outside(blocked: DataFrame, s: int) -> DataFrame:

@@ -6,6 +6,7 @@ Every query reads whole tables. Trees used by several queries are kept per sessi
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,15 @@ from arbora.sources import points_bin, tables
 
 # Codes of the market segments (fixed values); MACHINERY is left unmapped on purpose.
 SEGMENT_CODES = {"AUTOMOBILE": 0.0, "BUILDING": 1.0, "FURNITURE": 2.0, "HOUSEHOLD": 3.0}
+# All segments, for the queries over every customer.
+ALL_CODES = SEGMENT_CODES | {"MACHINERY": 4.0}
+# Limits far below the tables' sizes, so that the distributed ways are taken.
+FEW_EDGES, FEW_RANKS, FEW_CLUSTERS = 100, 50, 200
 CUSTOMER_SCHEMA = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 # Supplier keys are shifted by this much where parts and suppliers are nodes of one graph.
 SUPPLIER_BASE = 1_000_000_000
+# And return flags by so much, times their letter.
+FLAG_BASE = 10_000_000_000
 
 _KEPT: dict = {}
 
@@ -64,7 +71,9 @@ def coded(spark, sf):
 
 
 def cust(spark, sf):
-    rows = features.drop_incomplete(coded(spark, sf)).withColumn("balance", F.col("c_acctbal") / 1000)
+    """Every customer as a point."""
+    raw = features.encode_category(table(spark, sf, "customer"), "c_mktsegment", ALL_CODES)
+    rows = raw.withColumn("balance", F.col("c_acctbal") / 1000)
     return features.assemble_points(rows, ["c_mktsegment", "balance", "c_nationkey"], "c_custkey")
 
 
@@ -115,9 +124,8 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def facts(df: DataFrame) -> DataFrame:
-    """Points as plain columns: id, dimension and coordinate sum."""
-    total = F.aggregate("coords", F.lit(0.0), lambda a, c: a + c)
-    return df.select("id", P.dimension(F.col("coords")).alias("dim"), F.round(total, 6).alias("total"))
+    """Points as plain columns: a row per id and coordinate."""
+    return df.select("id", F.posexplode("coords").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 # Scans, sources, sinks
@@ -136,6 +144,21 @@ def a2(spark, sf):
     return facts(points_bin.read_points_bin(spark, path))
 
 
+def flow(spark, sf):
+    """CSV to points, to parquet by block, to a tree of every customer."""
+    source, target = scratch(spark), scratch(spark)
+    table(spark, sf, "customer").select(
+        "c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey"
+    ).write.option("header", True).csv(source)
+    schema = "c_custkey long, c_mktsegment string, c_acctbal double, c_nationkey int"
+    schema = spark.createDataFrame([], schema).schema
+    raw = features.encode_category(tables.read_csv(spark, source, schema), "c_mktsegment", ALL_CODES)
+    clean = features.to_double(features.drop_incomplete(raw).withColumn("key", F.col("c_custkey")))
+    numbered = features.with_dense_id(clean, ["key"])
+    tables.write_points(features.assemble_points(numbered, ["c_mktsegment", "c_acctbal", "c_nationkey"]), target, 4, by="id")
+    return rounded(mst(tables.read_points(spark, target).select("id", "coords")))
+
+
 def a3(spark, sf):
     path = scratch(spark)
     points_bin.write_points_bin(tied(spark, sf), path)
@@ -145,7 +168,8 @@ def a3(spark, sf):
 def a4(spark, sf):
     path = scratch(spark)
     tables.write_points(emb(spark, sf), path, 4, by="id")
-    return tables.read_points(spark, path).groupBy("block").agg(F.count(F.lit(1)).alias("points"))
+    stored = tables.read_points(spark, path)
+    return stored.select("block", "id", F.posexplode("coords").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 def a5(spark, sf):
@@ -174,8 +198,15 @@ def b2(spark, sf):
     return coded(spark, sf).select("c_custkey", F.col("c_mktsegment").alias("segment"))
 
 
+def holed(spark, sf):
+    """Customers with null and NaN balances here and there."""
+    key, balance = F.col("c_custkey"), F.col("c_acctbal")
+    holes = F.when(key % 7 == 0, None).when(key % 11 == 0, float("nan")).otherwise(balance)
+    return coded(spark, sf).withColumn("c_acctbal", holes)
+
+
 def b1(spark, sf):
-    return features.drop_incomplete(coded(spark, sf)).select(
+    return features.drop_incomplete(holed(spark, sf)).select(
         "c_custkey", F.col("c_mktsegment").alias("segment"), "c_acctbal"
     )
 
@@ -190,7 +221,9 @@ def b4(spark, sf):
 
 def b5(spark, sf):
     x = F.col("coords")
-    return cust(spark, sf).select(
+    rows = features.drop_incomplete(coded(spark, sf)).withColumn("balance", F.col("c_acctbal") / 1000)
+    points = features.assemble_points(rows, ["c_mktsegment", "balance", "c_nationkey"], "c_custkey")
+    return points.select(
         "id", x[0].alias("segment"), F.round(x[1], 6).alias("balance"), x[2].alias("nation")
     )
 
@@ -230,8 +263,7 @@ def c1(spark, sf):
 
 def c2(spark, sf):
     s = F.ceil(F.count(F.lit(1)) / 100)
-    subgraphs = F.shiftright(s * (s - 1), 1) + s
-    return table(spark, sf, "embeddings").agg(s.alias("blocks"), subgraphs.alias("subgraphs"))
+    return table(spark, sf, "embeddings").agg(s.alias("blocks"), blocks.subgraph_count(s).alias("subgraphs"))
 
 
 def c3(spark, sf):
@@ -245,6 +277,10 @@ def c4(spark, sf):
 
 
 def c5(spark, sf):
+    return blocks.block_subgraph_sizes(*blocked(spark, sf))
+
+
+def c5_delivered(spark, sf):
     return blocks.subgraph_sizes(blocks.points_by_subgraph(*blocked(spark, sf)))
 
 
@@ -351,6 +387,19 @@ def e7(spark, sf):
     return rounded(spanning.merge_msts(blocks.regroup(subtrees(spark, sf), 4)))
 
 
+def e7_rounds(spark, sf):
+    return rounded(spanning.merge_msts(blocks.regroup(subtrees(spark, sf), 4), FEW_EDGES))
+
+
+def e9_rounds(spark, sf):
+    s = block_number(spark, sf)
+    return rounded(spanning.merge_tree(subtrees(spark, sf), 4, blocks.subgraph_count(s), FEW_EDGES))
+
+
+def e12_rounds(spark, sf):
+    return rounded(spanning.mst_of_edges(supply(spark, sf), FEW_EDGES))
+
+
 def e8(spark, sf):
     return edges.edge_counts(blocks.regroup(subtrees(spark, sf), 4))
 
@@ -399,11 +448,18 @@ def f1(spark, sf):
     return forest_labels(spark, sf)
 
 
-def f1_supply(spark, sf):
-    cheap = supply(spark, sf).where(F.col("weight") < 1000)
-    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    sellers = table(spark, sf, "supplier").select((F.col("s_suppkey") + SUPPLIER_BASE).alias("id"))
-    return components.components(parts.unionAll(sellers), cheap)
+def f1_supply(spark, sf, local_edges=None):
+    """Components of the graph of every line item, in which each return flag is a graph of its own."""
+    flag = F.ascii("l_returnflag").cast("long") * FLAG_BASE
+    lines = table(spark, sf, "lineitem").select(
+        (F.col("l_partkey") + flag).alias("left"), (F.col("l_suppkey") + SUPPLIER_BASE + flag).alias("right")
+    )
+    nodes = lines.select(F.explode(F.array("left", "right")).alias("id")).distinct()
+    return components.components(nodes, lines, local_edges)
+
+
+def f1_rounds(spark, sf):
+    return f1_supply(spark, sf, FEW_EDGES)
 
 
 def f2(spark, sf):
@@ -416,9 +472,11 @@ def f3(spark, sf):
 
 
 def f4(spark, sf):
-    return spanning.non_cycle_edges(supply(spark, sf), "place").select(
-        "left", "right", F.col("place").cast("long").alias("place")
-    )
+    return spanning.non_cycle_edges(supply(spark, sf), "place")
+
+
+def f4_rounds(spark, sf):
+    return spanning.non_cycle_edges(supply(spark, sf), "place", FEW_EDGES)
 
 
 # Edge aggregates
@@ -445,7 +503,17 @@ def g4_supply(spark, sf):
 
 
 def g5(spark, sf):
-    return edges.compare_graphs(tree(spark, sf), mst(emb(spark, sf), blocks=3))
+    """The tree against itself from other blocks, and against graphs that differ in one way."""
+    own = tree(spark, sf)
+    first = F.col("left") == own.agg(F.min("left")).first()[0]
+    others = {
+        "other blocks": mst(emb(spark, sf), blocks=3),
+        "other weights": own.withColumn("weight", F.col("weight") * 1.001),
+        "an edge more": own.unionAll(own.selectExpr("left", "right + 1 as right", "0d as weight").limit(1)),
+        "fewer nodes": own.where(~first),
+    }
+    found = [edges.compare_graphs(own, g).withColumn("against", F.lit(name)) for name, g in others.items()]
+    return reduce(DataFrame.unionAll, found)
 
 
 def g6(spark, sf):
@@ -468,18 +536,39 @@ def h2(spark, sf):
 
 
 def h2_tree(spark, sf):
-    return edges.total_weight(adjacency.row_tree(emb(spark, sf), tree(spark, sf))).select(
-        F.round("total_weight", 4).alias("total_weight")
-    )
+    """The weights of the tree, lightest first."""
+    weights = adjacency.row_tree(emb(spark, sf), tree(spark, sf)).select("weight", "left", "right")
+    numbered = features.with_dense_id(weights, ["weight", "left", "right"], name="place")
+    return rounded(numbered.select("place", "weight"), digits=4)
 
 
 def h3(spark, sf):
     return rounded(merge_table(spark, sf), "height")
 
 
-def h4(spark, sf):
+def h3_levels(spark, sf):
+    _, dense, n = hierarchy.dense_nodes(emb(spark, sf), tree(spark, sf))
+    return rounded(hierarchy.linkage(dense, n, FEW_RANKS), "height")
+
+
+def h4(spark, sf, method="average", final_clusters=None):
     n = emb(spark, sf).count()
-    return rounded(agglomerate(emb(spark, sf), n, "average"), "height")
+    return rounded(agglomerate(emb(spark, sf), n, method, final_clusters), "height", digits=5)
+
+
+def h4_rounds(spark, sf):
+    return h4(spark, sf, final_clusters=FEW_CLUSTERS)
+
+
+def h4_tied(spark, sf):
+    """Average linkage of parts by size: 50 places, many of them equally far apart."""
+    rows = features.with_dense_id(tied(spark, sf).withColumnRenamed("id", "key"), ["key"]).select("id", "coords")
+    n = rows.count()
+    once = agglomerate(rows, n)
+    again = agglomerate(rows, n, final_clusters=20, block_points=16)
+    same = once.exceptAll(again).isEmpty() and again.exceptAll(once).isEmpty()
+    heights = rounded(once.groupBy("height").agg(F.count(F.lit(1)).alias("steps")), "height")
+    return heights.withColumn("same", F.lit(same))
 
 
 def h5(spark, sf):
@@ -508,6 +597,15 @@ def h10(spark, sf):
     return clusters.cluster_points(cust(spark, sf), n_clusters=5)
 
 
+def h10_average(spark, sf):
+    return clusters.cluster_points(emb(spark, sf), n_clusters=7, method="average")
+
+
+def h11_threshold(spark, sf):
+    n = emb(spark, sf).count()
+    return hierarchy.cut_linkage(merge_table(spark, sf), n, threshold=1.15)
+
+
 def h11(spark, sf):
     n = emb(spark, sf).count()
     return hierarchy.cut_linkage(merge_table(spark, sf), n, n_clusters=10)
@@ -534,6 +632,18 @@ def i2(spark, sf):
     return rounded(found, "silhouette")
 
 
+def i2_average(spark, sf):
+    n = emb(spark, sf).count()
+    found = adjacency.adjacency_silhouette(emb(spark, sf), tree(spark, sf), n, n_clusters=5, method="average")
+    return rounded(found, "silhouette")
+
+
+def i2_threshold(spark, sf):
+    n = emb(spark, sf).count()
+    found = adjacency.adjacency_silhouette(emb(spark, sf), tree(spark, sf), n, threshold=2.5)
+    return rounded(found, "silhouette")
+
+
 def i3(spark, sf):
     found = silhouette.silhouette_fast(emb(spark, sf), given_labels(spark, sf))
     return rounded(found, "silhouette_squared")
@@ -547,6 +657,7 @@ QUERIES = {
     "a5_read_points": a5,
     "a6_points_text": a6,
     "a8_edges_text": a8,
+    "a9_csv_to_tree": flow,
     "b1_drop_incomplete": b1,
     "b2_encode_category": b2,
     "b3_to_double": b3,
@@ -563,6 +674,7 @@ QUERIES = {
     "c3_subgraph_plan": c3,
     "c4_points_by_subgraph": c4,
     "c5_subgraph_sizes": c5,
+    "c5_subgraph_sizes_delivered": c5_delivered,
     "d1_euclidean": d1,
     "d2_distance": d2,
     "d3_pairs_within": d3,
@@ -579,19 +691,24 @@ QUERIES = {
     "e5_sort_edges": e5,
     "e6_edges_by_subgraph": e6,
     "e7_merge_msts": e7,
+    "e7_merge_msts_rounds": e7_rounds,
     "e8_regroup": e8,
     "e9_merge_tree": e9,
+    "e9_merge_tree_rounds": e9_rounds,
     "e10_mst": e10,
     "e10_mst_auto": e10_auto,
     "e10_mst_pruned": e10_pruned,
     "e10_mst_tied": e10_tied,
     "e11_mst_direct": e11,
     "e12_mst_of_edges": e12,
+    "e12_mst_of_edges_rounds": e12_rounds,
     "f1_components": f1,
     "f1_components_supply": f1_supply,
+    "f1_components_rounds": f1_rounds,
     "f2_component_count": f2,
     "f3_connected": f3,
     "f4_non_cycle_edges": f4,
+    "f4_non_cycle_edges_rounds": f4_rounds,
     "g1_edge_counts": g1,
     "g2_first_edges": g2,
     "g3_total_weight": g3,
@@ -603,16 +720,26 @@ QUERIES = {
     "h2_adjacency_row_pairs": h2,
     "h2_adjacency_row_tree": h2_tree,
     "h3_linkage": h3,
+    "h3_linkage_levels": h3_levels,
     "h4_agglomerate": h4,
+    "h4_agglomerate_rounds": h4_rounds,
+    "h4_agglomerate_tied": h4_tied,
+    "h4_complete": lambda spark, sf: h4(spark, sf, "complete"),
+    "h4_weighted": lambda spark, sf: h4(spark, sf, "weighted"),
+    "h4_ward": lambda spark, sf: h4(spark, sf, "ward"),
     "h5_adjacency_linkage": h5,
     "h6_dendrogram_layout": h6,
     "h7_cut_clusters": h7,
     "h8_cut_threshold": h8,
     "h9_labels": h9,
     "h10_cluster_points": h10,
+    "h10_cluster_points_average": h10_average,
     "h11_cut_linkage": h11,
+    "h11_cut_linkage_threshold": h11_threshold,
     "h12_cluster_sizes": h12,
     "i1_silhouette": i1,
     "i2_adjacency_silhouette": i2,
+    "i2_adjacency_silhouette_average": i2_average,
+    "i2_adjacency_silhouette_threshold": i2_threshold,
     "i3_silhouette_fast": i3,
 }

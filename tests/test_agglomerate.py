@@ -87,3 +87,12 @@ def test_row_tree_of_a_hub_in_parts(spark, monkeypatch):
     found = adjacency.row_tree(spark.range(n), spark.createDataFrame(tree, "left long, right long, weight double"))
     got = rows(found)
     assert len(got) == n - 1 and abs(sum(e[2] for e in got) - want) < 1e-9
+
+
+@pytest.mark.parametrize("method", [m for m in kernels.METHODS])
+def test_ties_do_not_depend_on_limits(points, method):
+    grid = [[float(i), float(j)] for i in range(5) for j in range(5)] + [[2.0, 2.0], [2.0, 2.0], [0.0, 4.0]]
+    n = len(grid)
+    once = rows(agglomerate(points(grid), n, method))
+    for final, block in ((6, None), (12, 8)):
+        assert rows(agglomerate(points(grid), n, method, final_clusters=final, block_points=block)) == once

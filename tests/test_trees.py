@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arbora.operators import blocks, edges, spanning, tiles
 from arbora.plans.trees import mst
@@ -121,3 +122,19 @@ def test_edge_aggregates(spark, p6):
     assert [r[1] for r in rows(edges.first_edges(by_block, 1))] == [1, 1, 1]
     lists = spanning.edges_by_subgraph(by_block).where("subgraph = 0").first().edges
     assert [e.weight for e in lists] == sorted(e.weight for e in lists)
+
+
+def test_edges_without_a_weight_are_refused_on_every_path(spark):
+    edges = spark.createDataFrame([(0, 1, None), (1, 2, 1.0), (0, 2, 2.0)], "left long, right long, weight double")
+    for limit in (None, 0):
+        with pytest.raises(Exception, match="both ends and a weight"):
+            spanning.mst_of_edges(edges, limit).collect()
+        with pytest.raises(Exception, match="both ends and a weight"):
+            spanning.merge_msts(edges.withColumn("subgraph", F.lit(0).cast("long")), limit).collect()
+
+
+def test_large_ranks_are_not_rounded(spark):
+    big = 1 << 53
+    edges = spark.createDataFrame([(0, 1, big), (1, 2, big), (0, 2, big + 1)], "left long, right long, place long")
+    for limit in (None, 0):
+        assert rows(spanning.non_cycle_edges(edges, "place", limit)) == [(0, 1, big), (1, 2, big)]
