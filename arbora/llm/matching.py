@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm import repeats
-from arbora.llm.common import delivered, stored
+from arbora.llm.common import stored
 
 # Representatives of an anchor that one task compares; larger groups go by window rows.
 GROUP = 2_048
@@ -39,6 +39,12 @@ class Windows:
     keep_first: bool
 
 
+def merge_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join whatever the sizes: both sides grow with the corpus, so what is
+    measured on a small one holds for a large one. Spark splits skewed partitions of it."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def block_table(rows: DataFrame, windows: Windows) -> DataFrame:
     """``(doc, first, last, anchor, whole)`` for every block of ``rows(doc, text)``."""
 
@@ -82,9 +88,8 @@ def representatives(rows: DataFrame, notes: DataFrame, windows: Windows, large:
 
     ``notes(doc, reps)`` lists a document's representatives as (anchor, first, last, large).
     """
-    size = 48 + 32 * F.size("reps")
     some = notes.select("doc", F.filter("reps", lambda r: r["large"] == F.lit(large)).alias("reps"))
-    joined = delivered(rows.select("doc", "text"), some.where(F.size("reps") > 0), "doc", size, how="inner")
+    joined = merge_join(rows.select("doc", "text"), some.where(F.size("reps") > 0), "doc")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,8 +226,7 @@ def repeated_stretches(rows: DataFrame, seeds: DataFrame, windows: Windows, grou
     ``keep_first`` the occurrence with the smallest (doc, place) isn't counted.
     """
     plain = (F.col("low") == F.col("high")).alias("plain")
-    found = block_table(rows, windows).join(seeds.select("anchor", plain), "anchor")
-    found = stored(found)
+    found = stored(merge_join(block_table(rows, windows), seeds.select("anchor", plain), "anchor"))
     place = F.struct("doc", "first", "last")
     classes = found if windows.keep_first else found.where("not plain")
     classes = stored(
@@ -231,13 +235,13 @@ def repeated_stretches(rows: DataFrame, seeds: DataFrame, windows: Windows, grou
     many = classes.where("n > 1").select("anchor", "whole", F.col("rep.doc").alias("d"), F.col("rep.first").alias("f"))
     stretch = ["doc", "first", (F.col("last") + windows.length).alias("end")]
     if windows.keep_first:
-        copies = found.join(many, ["anchor", "whole"]).where("doc <> d or first <> f").select(*stretch)
+        copies = merge_join(found, many, ["anchor", "whole"]).where("doc <> d or first <> f").select(*stretch)
     else:
-        copies = found.where("not plain").join(many, ["anchor", "whole"]).select(*stretch)
+        copies = merge_join(found.where("not plain"), many, ["anchor", "whole"]).select(*stretch)
         copies = copies.unionAll(found.where("plain").select(*stretch))
     open_classes = classes.where("not plain")
     counted = open_classes.groupBy("anchor").agg((F.count(F.lit(1)) > group).alias("large"))
-    reps = open_classes.join(counted, "anchor").select("anchor", "rep.*", "large")
+    reps = merge_join(open_classes, counted, "anchor").select("anchor", "rep.*", "large")
     listed = reps.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "last", "large")).alias("reps"))
     listed = stored(listed)
     partial = compare_groups(representatives(rows, listed, windows, False), windows)
@@ -246,7 +250,7 @@ def repeated_stretches(rows: DataFrame, seeds: DataFrame, windows: Windows, grou
         each = stored(representatives(rows, listed, windows, True))
         twice = each.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("m"))
         twice = twice.where("n > 1").select("one", "two", F.col("m.doc").alias("d"), F.col("m.start").alias("s"))
-        hits = each.join(twice, ["one", "two"])
+        hits = merge_join(each, twice, ["one", "two"])
         hits = hits.where("doc <> d or start <> s") if windows.keep_first else hits
         stretches = stretches.unionAll(
             hits.select("doc", F.col("start").alias("first"), (F.col("start") + windows.length).alias("end"))
@@ -257,7 +261,7 @@ def repeated_stretches(rows: DataFrame, seeds: DataFrame, windows: Windows, grou
 def cut_texts(rows: DataFrame, stretches: DataFrame, cut, schema: str) -> DataFrame:
     """Apply ``cut(text, firsts, ends) -> tuple`` to every text; documents without
     stretches get empty lists. Returns ``id`` and the columns of ``schema``."""
-    joined = delivered(rows, stretches, "doc", 64 + 8 * F.size("firsts"))
+    joined = merge_join(rows, stretches, "doc", "left")
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
