@@ -104,11 +104,15 @@ def sort_edges(edges: DataFrame) -> DataFrame:
     return edges.orderBy(*edge_order())
 
 
-def edges_by_subgraph(edges: DataFrame) -> DataFrame:
+def edges_by_subgraph(edges: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """One row per subgraph with its edges, lightest first.
 
-    A subgraph's tree is linear in its two blocks, so the array is bounded by them.
+    A subgraph's tree is linear in its two blocks, so the array is bounded by them. Edges
+    that were merged since may be more: subgraphs with over ``most`` edges are refused.
     """
+    sizes = edges.groupBy("subgraph").agg(F.count(F.lit(1)).alias("edges"))
+    if (sizes.agg(F.max("edges")).first()[0] or 0) > most:
+        raise ValueError(f"a subgraph has more than {most} edges, too many for one row")
     packed = F.collect_list(F.struct("weight", "left", "right"))
     return edges.groupBy("subgraph").agg(F.array_sort(packed).alias("edges"))
 

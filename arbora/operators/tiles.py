@@ -49,6 +49,9 @@ class Block:
             return kernels.distance_rows(self.coords, other.coords)
         return kernels.sparse_distance_rows(self.sparse, other.sparse)
 
+# Squares that one task solves at most on average.
+SQUARES_PER_TASK = 64
+
 
 def block_cap(dim: int, most: int | None = None) -> int:
     """Most points of a dimension that may share a block."""
@@ -207,7 +210,8 @@ def map_squares(
         .groupBy("square", "block")
         .agg(F.collect_list("partner").alias("partners"))
     )
-    tasks = max(1, min(squares, 4 * parallelism(packed.sparkSession)))
+    # More squares make more tasks, not longer ones.
+    tasks = max(1, min(squares, 4 * parallelism(packed.sparkSession)), squares // SQUARES_PER_TASK)
     output = _arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:

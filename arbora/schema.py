@@ -26,10 +26,3 @@ LINKAGE = T.StructType(
         T.StructField("size", T.LongType()),
     ]
 )
-
-COMPONENTS = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("component", T.LongType()),
-    ]
-)

@@ -25,6 +25,9 @@ CUSTOMERS = T.StructType(
     ]
 )
 
+# Points that one task writes.
+POINTS_PER_TASK = 1_000_000
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = CUSTOMERS) -> DataFrame:
     """CSV with a header line. The schema is given: inferring it reads the file twice."""
@@ -34,16 +37,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = CUSTOMERS) -
 def write_points(points: DataFrame, path: str, blocks: int, by: str = "hash") -> None:
     """Points in parquet with one folder per block, replacing what was there.
 
-    A block is written by as many tasks as there are cores per block, so few big blocks
-    do not mean few tasks.
+    A block is written by as many tasks as there are cores per block, and by at least one
+    per ``POINTS_PER_TASK`` points, so few big blocks do not mean few tasks.
     """
     cores = parallelism(points.sparkSession)
-    spread = max(1, -(-cores // blocks))
+    spread = max(1, -(-cores // blocks), -(-points.count() // (blocks * POINTS_PER_TASK)))
     blocked = assign_blocks(points.select("id", "coords"), blocks, by)
     slot = F.col("block") * spread + F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
-    tasks = min(blocks * spread, 4 * cores)
     (
-        blocked.repartition(tasks, slot)
+        blocked.repartition(blocks * spread, slot)
         .write.mode("overwrite")
         .partitionBy("block")
         .parquet(path)

@@ -17,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from arbora.operators import hierarchy, silhouette, spanning  # noqa: E402
+from arbora.operators.agglomerate import agglomerate  # noqa: E402
 from arbora.plans import adjacency, clusters  # noqa: E402
 from arbora.plans.trees import mst  # noqa: E402
 from arbora.runtime import cut  # noqa: E402
@@ -65,6 +66,11 @@ def main() -> None:
     timed("h10_cluster_customers", lambda: clusters.cluster_points(q.cust(spark, sf), n_clusters=5))
     timed("e12_mst_of_line_items", lambda: spanning.mst_of_edges(q.supply(spark, sf)))
     timed("f1_components_of_line_items", lambda: q.f1_supply(spark, sf))
+    timed("e12_mst_of_line_items_rounds", lambda: q.e12_rounds(spark, sf))
+    timed("f1_components_of_line_items_rounds", lambda: q.f1_rounds(spark, sf))
+    timed("h3_linkage_levels", lambda: hierarchy.linkage(tree, n, q.FEW_RANKS))
+    timed("h4_average", lambda: agglomerate(points, n, "average"))
+    timed("c5_subgraph_sizes", lambda: q.c5(spark, sf))
     print(
         json.dumps(
             {

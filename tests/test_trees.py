@@ -138,3 +138,15 @@ def test_large_ranks_are_not_rounded(spark):
     edges = spark.createDataFrame([(0, 1, big), (1, 2, big), (0, 2, big + 1)], "left long, right long, place long")
     for limit in (None, 0):
         assert rows(spanning.non_cycle_edges(edges, "place", limit)) == [(0, 1, big), (1, 2, big)]
+
+
+def test_large_subgraphs_are_not_packed_into_a_row(spark):
+    edges = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 2, 1.0)], "subgraph long, left long, right long, weight double")
+    assert spanning.edges_by_subgraph(edges).count() == 1
+    with pytest.raises(ValueError):
+        spanning.edges_by_subgraph(edges, 1)
+
+
+def test_block_sizes_without_delivery(points):
+    data = blocks.assign_blocks(points([[float(i)] for i in range(23)]), 4, by="id")
+    assert rows(blocks.block_subgraph_sizes(data, 4)) == rows(blocks.subgraph_sizes(blocks.points_by_subgraph(data, 4)))
