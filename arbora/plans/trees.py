@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +16,8 @@ from arbora.operators.copies import fold_copies
 from arbora.operators.features import checked_points, with_dense_id
 from arbora.runtime import MAX_ROUNDS, cut, lookup, parallelism
 
-# Blocks are pruned through at most this many groups of neighbouring blocks.
-GROUPS = 512
+# Neighbours along the curve that share a box on the next level of the hierarchy.
+FAN = 64
 # Tiles per core up to which all block pairs are simply solved.
 WAVES = 16
 # In few dimensions distances are cheap and boxes tight, so finer blocks prune better.
@@ -138,12 +137,13 @@ def _grown(
     packed = cut(tiles.pack(blocked))
     own = cut(tiles.map_tiles(tiles.own_tiles(packed), spanning.tree_kernel, spanning.EDGE, s))
     boxes = packed.select("block", "lo", "hi")
+    levels = _box_levels(boxes, s)
     tree = own.select("left", "right", "weight")
     strips = dim <= FEW_DIMENSIONS
     done, radius, labelled = -1.0, _first_radius(own, boxes), None
     for _ in range(MAX_ROUNDS):
         homes = None if labelled is None else _single_components(labelled)
-        pairs = cut(_pairs_within(boxes, homes, s, -1.0 if strips else done, radius))
+        pairs = cut(_pairs_within(levels, homes, s, -1.0 if strips else done, radius))
         facts = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("square").alias("squares")).first()
         if facts["pairs"]:
             new = _solved(packed, pairs, facts["squares"], labelled, radius if strips else None)
@@ -214,8 +214,25 @@ def _packed_labels(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("block").applyInArrow(encode, "block int, component binary")
 
 
+def _box_levels(boxes: DataFrame, s: int, fan: int = FAN) -> list[DataFrame]:
+    """``(number, up, lo, hi)`` per level: the boxes of blocks, of runs of ``fan`` blocks,
+    of ``fan`` such runs and so on, up to a level of at most ``fan``.
+
+    ``up`` is the number of the box above. Bounds are reduced per axis, as rows.
+    """
+    up = F.floor(F.col("number") / fan).cast("int").alias("up")
+    levels = [cut(boxes.withColumnRenamed("block", "number").select("number", up, "lo", "hi"))]
+    while s > fan:
+        s = math.ceil(s / fan)
+        axes = levels[-1].select(F.col("up").alias("number"), F.posexplode(F.arrays_zip("lo", "hi")).alias("axis", "x"))
+        bounds = axes.groupBy("number", "axis").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
+        whole = bounds.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("axis", "lo", "hi"))).alias("x"))
+        levels.append(cut(whole.select("number", up, F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))))
+    return levels
+
+
 def _pairs_within(
-    boxes: DataFrame, homes: DataFrame | None, s: int, done: float, radius: float
+    levels: list[DataFrame], homes: DataFrame | None, s: int, done: float, radius: float
 ) -> DataFrame:
     """``(square, low, high)`` of block pairs more than ``done``, at most ``radius`` apart.
 
@@ -223,52 +240,29 @@ def _pairs_within(
     are visited again; otherwise a pair is solved whole, once.
 
     Pairs that lie in one component already are left out: an edge between them closes
-    a cycle of shorter edges. Blocks are paired through groups of
-    neighbours: at most ``GROUPS`` group boxes are compared on the driver, and only
-    blocks of groups near each other meet, by an equi-join on the group.
+    a cycle of shorter edges. Pairs are refined down the box hierarchy: boxes meet only
+    below a pair of boxes near each other, by equi-joins on the box above.
     """
-    spark = boxes.sparkSession
-    per = math.ceil(s / GROUPS)
+    spark = levels[0].sparkSession
     # Squares as big as leaves a few tasks per core.
     side = max(1, min(SQUARE, math.isqrt(subgraph_count(s) // (4 * parallelism(spark)))))
-    table = boxes.withColumn("group", F.floor(F.col("block") / per).cast("int"))
-    if homes is not None:
-        table = table.join(homes, "block", "left")
-    else:
-        table = table.withColumn("home", F.lit(None).cast("bigint"))
-    outer = table.groupBy("group").agg(
-        _each(F.collect_list("lo"), F.least).alias("lo"),
-        _each(F.collect_list("hi"), F.greatest).alias("hi"),
-    ).collect()
-    number = np.array([r["group"] for r in outer])
-    lo, hi = np.array([r["lo"] for r in outer]), np.array([r["hi"] for r in outer])
-    near = []
-    for i in range(len(number)):
-        gap = np.maximum(0.0, np.maximum(lo[i] - hi, lo - hi[i]))
-        apart = np.sqrt((gap * gap).sum(axis=1)) * SLACK
-        close = number[(apart <= radius) & (number >= number[i])]
-        near += [(int(number[i]), int(j)) for j in close]
-    meet = spark.createDataFrame(near, "ga int, gb int")
-    a = table.select(*[F.col(c).alias(c + "_a") for c in table.columns])
-    b = table.select(*[F.col(c).alias(c + "_b") for c in table.columns])
-    apart = box_distance(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b")) * SLACK
-    joined = F.coalesce(F.col("home_a") == F.col("home_b"), F.lit(False))
-    return (
-        a.join(meet, a["group_a"] == meet["ga"])
-        .join(b, F.col("gb") == b["group_b"])
-        .where(F.col("block_a") < F.col("block_b"))
-        .where(~joined & (apart > done) & (apart <= radius))
-        .select(
-            F.shiftleft(F.floor(F.col("block_a") / side), 32)
-            .bitwiseOR(F.floor(F.col("block_b") / side))
-            .alias("square"),
-            F.col("block_a").alias("low"),
-            F.col("block_b").alias("high"),
-        )
-    )
-
-
-def _each(arrays: Column, pick) -> Column:
-    """Element-wise least or greatest of a list of arrays (one per block of a group)."""
-    rest = F.slice(arrays, 2, F.greatest(F.size(arrays) - 1, F.lit(0)))
-    return F.aggregate(rest, arrays[0], lambda acc, x: F.zip_with(acc, x, lambda p, q: pick(p, q)))
+    near = spark.createDataFrame([(0, 0)], "a int, b int")
+    for depth in range(len(levels) - 1, -1, -1):
+        table = levels[depth]
+        if depth == 0:
+            table = table.withColumn("home", F.lit(None).cast("bigint")) if homes is None else table.join(
+                homes.withColumnRenamed("block", "number"), "number", "left"
+            )
+        a = table.select(*[F.col(c).alias(c + "_a") for c in table.columns])
+        b = table.select(*[F.col(c).alias(c + "_b") for c in table.columns])
+        apart = box_distance(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b")) * SLACK
+        both = near.join(a, near["a"] == a["up_a"]).join(b, F.col("b") == b["up_b"]).where(apart <= radius)
+        if depth:
+            both = both.where("number_a <= number_b")
+        else:
+            joined = F.coalesce(F.col("home_a") == F.col("home_b"), F.lit(False))
+            both = both.where("number_a < number_b").where(~joined & (apart > done))
+        near = both.select(F.col("number_a").alias("a"), F.col("number_b").alias("b"))
+    low, high = F.col("a"), F.col("b")
+    square = F.shiftleft(F.floor(low / side), 32).bitwiseOR(F.floor(high / side)).alias("square")
+    return near.select(square, low.alias("low"), high.alias("high"))

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora.operators import blocks, edges, spanning, tiles
+from arbora.plans import trees
 from arbora.plans.trees import mst
 from tests.conftest import brute_tree, kruskal, rows
 
@@ -150,3 +151,22 @@ def test_large_subgraphs_are_not_packed_into_a_row(spark):
 def test_block_sizes_without_delivery(points):
     data = blocks.assign_blocks(points([[float(i)] for i in range(23)]), 4, by="id")
     assert rows(blocks.block_subgraph_sizes(data, 4)) == rows(blocks.subgraph_sizes(blocks.points_by_subgraph(data, 4)))
+
+
+def test_pairs_down_the_box_hierarchy(points):
+    """Any fan gives the block pairs that comparing all boxes gives."""
+    rng = np.random.default_rng(8)
+    data = trees.curve_blocks(points(rng.normal(size=(300, 2))), 2, 10)
+    boxes = tiles.pack(data).select("block", "lo", "hi")
+    listed = [(r["block"], np.array(r["lo"]), np.array(r["hi"])) for r in boxes.collect()]
+    want = []
+    for a, lo_a, hi_a in listed:
+        for b, lo_b, hi_b in listed:
+            gap = np.maximum(0, np.maximum(lo_a - hi_b, lo_b - hi_a))
+            if a < b and np.sqrt((gap * gap).sum()) <= 0.3:
+                want.append((a, b))
+    for fan in (3, 64):
+        levels = trees._box_levels(boxes, 30, fan)
+        assert len(levels) == (1 if fan == 64 else 4)
+        got = trees._pairs_within(levels, None, 30, -1.0, 0.3)
+        assert sorted((r["low"], r["high"]) for r in got.collect()) == sorted(want)
