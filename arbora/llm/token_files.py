@@ -1,7 +1,7 @@
 """Token ids in files of range-coded blocks (rANS with static tables).
 
 A shard holds some millions of ids of consecutive documents and one frequency table. Its
-blocks are coded independently: 1,024 interleaved lanes, each a 64-bit coder state, share
+blocks are coded independently: 2,048 interleaved lanes, each a 64-bit coder state, share
 one stream of 32-bit words. A block lists checkpoints (word position and all states), at
 each of which decoding can begin, and a CRC-32 of its ids. Spark's Parquet writer stores one
 row per shard, so files are committed as any table is and shards are decoded in parallel.
@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from arbora.llm.common import delivered, new_path, stored, text_or_empty
 
-LANES = 1_024
-BLOCK_IDS = 1 << 18
+LANES = 2_048
+BLOCK_IDS = 1 << 19
 CHECKPOINT_STEPS = 128
 SHARD_IDS = 1 << 21
 TABLE_BITS = 18
 LOW = np.uint64(1 << 31)
-# Words whose ids a Python worker remembers: some 200 bytes each.
-MEMO_WORDS = 500_000
+# Words whose ids a Python worker remembers, but for a last batch: some 160 bytes each.
+MEMO_WORDS = 1_000_000
 
 # The white space of Unicode, and letters that are surely letters to any
 # tokenizer of this kind.
@@ -54,6 +54,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        # whether a piece begins with a space, as byte-level vocabularies write it
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
         # a letter run not followed by anything outside ASCII; else up to white space;
         # white space but for its last character; that character
         self.unit = re.compile(
@@ -61,24 +65,42 @@ class WordEncoder:
         )
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        memo, out, missing = self.memo, [], set()
+        memo, missing, holes = self.memo, set(), []
         units = [self.unit.findall(t) for t in texts]
         known = [list(map(memo.get, u)) for u in units]
-        for u, k in zip(units, known):
-            if None in k:
-                missing.update(w for w, ids in zip(u, k) if ids is None)
-        fresh = {}
+        for i, k in enumerate(known):
+            at = -1
+            for _ in range(k.count(None)):
+                at = k.index(None, at + 1)
+                word = units[i][at]
+                missing.add(word)
+                holes.append((i, at, word))
         if missing:
-            words = list(missing)
-            found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            fresh = {w: np.array(e.ids, dtype=np.uint32).tobytes() for w, e in zip(words, found)}
-            for word in words[: max(0, MEMO_WORDS - len(memo))]:
-                if len(word) <= 32:
-                    memo[word] = fresh[word]
-        for u, k in zip(units, known):
-            if None in k:
-                k = [fresh[w] if ids is None else ids for w, ids in zip(u, k)]
-            out.append(np.frombuffer(b"".join(k), dtype=np.uint32))
+            fresh = self.look_up(list(missing))
+            for i, at, word in holes:
+                known[i][at] = fresh[word]
+            if len(memo) < MEMO_WORDS:
+                memo.update((w, ids) for w, ids in fresh.items() if len(w) <= 32)
+        return [np.frombuffer(b"".join(k), dtype=np.uint32) for k in known]
+
+    def look_up(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of single words. Those with a space in front are encoded in one string, where
+        each begins at a piece that begins with a space."""
+        spaced, rest = [], []
+        for w in words:
+            (spaced if w[0] == " " and w[1:2] not in WHITE else rest).append(w)
+        out = {}
+        if spaced:
+            whole = self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0]
+            ids = np.array(whole.ids, dtype=np.uint32)
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) != len(spaced):
+                raise ValueError("this tokenizer doesn't split before spaces")
+            data, cuts = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+            out = {w: data[a:b] for w, a, b in zip(spaced, cuts, cuts[1:])}
+        if rest:
+            found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            out |= {w: np.array(e.ids, dtype=np.uint32).tobytes() for w, e in zip(rest, found)}
         return out
 
 
@@ -163,8 +185,10 @@ def decode_block(block: dict, n: int, freqs: np.ndarray, slots: np.ndarray, firs
 
 
 def encode_shard(shard: int, docs: list, counts: list[int], ids: np.ndarray) -> dict:
-    symbols, places = np.unique(ids, return_inverse=True)
-    freqs = quantised(np.bincount(places, minlength=len(symbols)))
+    counts_by_id = np.bincount(ids)
+    symbols = np.flatnonzero(counts_by_id)
+    places = (np.cumsum(counts_by_id > 0) - 1)[ids]
+    freqs = quantised(counts_by_id[symbols])
     blocks = []
     for at in range(0, len(ids), BLOCK_IDS):
         part = ids[at : at + BLOCK_IDS]
@@ -183,7 +207,10 @@ def decode_shard(row: dict) -> np.ndarray:
     slots = np.repeat(np.arange(len(freqs), dtype=np.int32), freqs)
     parts = []
     for block in row["blocks"]:
-        ids = symbols[decode_block(block, block["n"], freqs, slots)]
+        try:
+            ids = symbols[decode_block(block, block["n"], freqs, slots)]
+        except (ValueError, IndexError):  # it ran out of words
+            ids = symbols[:0]
         if zlib.crc32(ids.tobytes()) != block["crc"]:
             raise ValueError(f"a block of shard {row['shard']} is damaged")
         parts.append(ids)
@@ -226,8 +253,8 @@ def write_token_files(
 
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
+            for at in range(0, len(batch), 128):
+                some = batch.slice(at, 128)
                 for key, ids in zip(some["id"].to_pylist(), encoder.encode(some["text"].to_pylist())):
                     keys.append(key)
                     counts.append(len(ids) + 1)

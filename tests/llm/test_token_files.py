@@ -60,7 +60,7 @@ def test_coder_from_any_checkpoint(n, kinds):
 
 
 def test_damage_is_found():
-    row = token_files.encode_shard(1, [], [], np.arange(5000, dtype=np.uint32) % 700)
+    row = token_files.encode_shard(1, [], [], np.arange(50_000, dtype=np.uint32) ** 2 % 7919)
     words = bytearray(row["blocks"][0]["words"])
     words[10] ^= 1
     row["blocks"][0]["words"] = bytes(words)
