@@ -20,7 +20,7 @@ import numpy as np
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 FACTOR = 0xBF58476D1CE4E5B9
 # Symbols hashed at once; longer texts are taken in pieces that overlap by a window.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
