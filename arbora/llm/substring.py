@@ -51,4 +51,4 @@ def remove_repeats(
     seeds = stored(anchor_entries(rows, windows).where("n > 1"))
     stretches = repeated_stretches(rows, seeds, windows, **limits)
     schema = "n_words long, n_removed long, kept_sha256 string, kept string"
-    return cut_texts(rows, stretches, cut_words, schema).withColumnRenamed("id", id)
+    return cut_texts(windows, rows, stretches, cut_words, schema).withColumnRenamed("id", id)

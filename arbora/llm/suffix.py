@@ -22,6 +22,9 @@ from arbora.llm.matching import Windows, anchor_entries, cut_texts, repeated_str
 LENGTH = 200
 SEED_BYTES = 64
 BATCHES = 4
+# Bytes of notes on documents that are sent to where the texts are; with more, texts are
+# shuffled to them.
+NOTES_BYTES = 64 << 20
 
 
 class SuffixFamily:
@@ -108,7 +111,7 @@ def remove_repeats(
     rest. Null and empty texts have no bytes. Rows that repeat an id are documents of
     their own, so copies of a row lose what they share.
     """
-    windows = Windows(words=False, length=length, k=k, keep_first=False)
+    windows = Windows(words=False, length=length, k=k, keep_first=False, broadcast_bytes=NOTES_BYTES)
     rows = unique_rows(docs, id, text)
     family = SuffixFamily(docs.sparkSession, windows)
     for number in range(batches):
@@ -117,4 +120,4 @@ def remove_repeats(
     family.close()
     stretches = repeated_stretches(rows, seeds, windows, **limits)
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return cut_texts(rows, stretches, cut_bytes, schema).withColumnRenamed("id", id)
+    return cut_texts(windows, rows, stretches, cut_bytes, schema).withColumnRenamed("id", id)
