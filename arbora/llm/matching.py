@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm import repeats
-from arbora.llm.common import delivered, stored
+from arbora.llm.common import stored
 
 # Representatives of an anchor that one task compares; larger groups go by window rows.
 GROUP = 2_048
@@ -37,22 +37,12 @@ class Windows:
     k: int
     # Whether all windows of equal content count, or all but the first.
     keep_first: bool
-    # Bytes of notes on documents that may be broadcast, once measured, to where the texts
-    # are. Zero: joins are sort-merge joins at every size.
-    broadcast_bytes: int = 0
 
 
-def join_rows(windows: Windows, left: DataFrame, right: DataFrame, keys: str | list[str]) -> DataFrame:
-    """Join of two tables that grow with the corpus; Spark splits skewed partitions of it.
-    A sort-merge join at any size, unless ``windows`` allow broadcasts."""
-    return left.join(right if windows.broadcast_bytes else right.hint("merge"), keys)
-
-
-def join_texts(windows: Windows, rows: DataFrame, notes: DataFrame, size: Column, how: str) -> DataFrame:
-    """Join of texts to a written table with one row per document."""
-    if windows.broadcast_bytes:
-        return delivered(rows, notes, "doc", size, windows.broadcast_bytes, how)
-    return rows.join(notes.hint("merge"), "doc", how)
+def join_rows(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """Join of two tables that grow with the corpus: a sort-merge join at any size, whose
+    skewed partitions Spark splits."""
+    return left.join(right.hint("merge"), keys, how)
 
 
 def block_table(rows: DataFrame, windows: Windows) -> DataFrame:
@@ -99,8 +89,7 @@ def representatives(rows: DataFrame, notes: DataFrame, windows: Windows, large:
     ``notes(doc, reps)`` lists a document's representatives as (anchor, first, last, large).
     """
     some = notes.select("doc", F.filter("reps", lambda r: r["large"] == F.lit(large)).alias("reps"))
-    some, size = some.where(F.size("reps") > 0), 48 + 48 * F.size("reps")
-    joined = join_texts(windows, rows.select("doc", "text"), some, size, "inner")
+    joined = join_rows(rows.select("doc", "text"), some.where(F.size("reps") > 0), "doc")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +226,7 @@ def repeated_stretches(rows: DataFrame, seeds: DataFrame, windows: Windows, grou
     ``keep_first`` the occurrence with the smallest (doc, place) isn't counted.
     """
     plain = (F.col("low") == F.col("high")).alias("plain")
-    found = stored(join_rows(windows, block_table(rows, windows), seeds.select("anchor", plain), "anchor"))
+    found = stored(join_rows(block_table(rows, windows), seeds.select("anchor", plain), "anchor"))
     place = F.struct("doc", "first", "last")
     classes = found if windows.keep_first else found.where("not plain")
     classes = stored(
@@ -246,13 +235,13 @@ def repeated_stretches(rows: DataFrame, seeds: DataFrame, windows: Windows, grou
     many = classes.where("n > 1").select("anchor", "whole", F.col("rep.doc").alias("d"), F.col("rep.first").alias("f"))
     stretch = ["doc", "first", (F.col("last") + windows.length).alias("end")]
     if windows.keep_first:
-        copies = join_rows(windows, found, many, ["anchor", "whole"]).where("doc <> d or first <> f").select(*stretch)
+        copies = join_rows(found, many, ["anchor", "whole"]).where("doc <> d or first <> f").select(*stretch)
     else:
-        copies = join_rows(windows, found.where("not plain"), many, ["anchor", "whole"]).select(*stretch)
+        copies = join_rows(found.where("not plain"), many, ["anchor", "whole"]).select(*stretch)
         copies = copies.unionAll(found.where("plain").select(*stretch))
     open_classes = classes.where("not plain")
     counted = open_classes.groupBy("anchor").agg((F.count(F.lit(1)) > group).alias("large"))
-    reps = join_rows(windows, open_classes, counted, "anchor").select("anchor", "rep.*", "large")
+    reps = join_rows(open_classes, counted, "anchor").select("anchor", "rep.*", "large")
     listed = reps.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "last", "large")).alias("reps"))
     listed = stored(listed)
     partial = compare_groups(representatives(rows, listed, windows, False), windows)
@@ -261,7 +250,7 @@ def repeated_stretches(rows: DataFrame, seeds: DataFrame, windows: Windows, grou
         each = stored(representatives(rows, listed, windows, True))
         twice = each.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("m"))
         twice = twice.where("n > 1").select("one", "two", F.col("m.doc").alias("d"), F.col("m.start").alias("s"))
-        hits = join_rows(windows, each, twice, ["one", "two"])
+        hits = join_rows(each, twice, ["one", "two"])
         hits = hits.where("doc <> d or start <> s") if windows.keep_first else hits
         stretches = stretches.unionAll(
             hits.select("doc", F.col("start").alias("first"), (F.col("start") + windows.length).alias("end"))
@@ -269,10 +258,10 @@ def repeated_stretches(rows: DataFrame, seeds: DataFrame, windows: Windows, grou
     return stored(merged(stretches))
 
 
-def cut_texts(windows: Windows, rows: DataFrame, stretches: DataFrame, cut, schema: str) -> DataFrame:
+def cut_texts(rows: DataFrame, stretches: DataFrame, cut, schema: str) -> DataFrame:
     """Apply ``cut(text, firsts, ends) -> tuple`` to every text; documents without
     stretches get empty lists. Returns ``id`` and the columns of ``schema``."""
-    joined = join_texts(windows, rows, stretches, 64 + 8 * F.size("firsts"), "left")
+    joined = join_rows(rows, stretches, "doc", "left")
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
