@@ -47,6 +47,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, kind: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` dealt by ``key`` and read it again: joins on ``key`` don't shuffle it.
+
+    One bucket per shuffle partition, unless told. The table stays in the catalog as
+    ``arbora_<kind>_<number>``, with its files in the shared folder.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"arbora_{kind}_{uuid.uuid4().hex}", new_path(spark, kind)
+    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key)
+    writer.option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table written by this library under the shared folder."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -83,13 +83,13 @@ def window_hashes(symbols: np.ndarray, starts: np.ndarray, length: int) -> tuple
     return tuple(repeats.Rolling(symbols, base).at(starts, ends) for base in repeats.BASES)
 
 
-def representatives(rows: DataFrame, notes: DataFrame, windows: Windows, large: bool) -> DataFrame:
+def representatives(texts: DataFrame, notes: DataFrame, windows: Windows, large: bool) -> DataFrame:
     """Content of representatives in small anchor groups, or window rows of the large ones.
 
     ``notes(doc, reps)`` lists a document's representatives as (anchor, first, last, large).
     """
     some = notes.select("doc", F.filter("reps", lambda r: r["large"] == F.lit(large)).alias("reps"))
-    joined = join_rows(rows.select("doc", "text"), some.where(F.size("reps") > 0), "doc")
+    joined = join_rows(texts.select("doc", "text"), some.where(F.size("reps") > 0), "doc")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,11 +219,14 @@ def merged(stretches: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "doc long, firsts array<int>, ends array<int>")
 
 
-def repeated_stretches(rows: DataFrame, seeds: DataFrame, windows: Windows, group: int = GROUP) -> DataFrame:
+def repeated_stretches(
+    rows: DataFrame, texts: DataFrame, seeds: DataFrame, windows: Windows, group: int = GROUP
+) -> DataFrame:
     """Written table ``(doc, firsts, ends)`` of what repeated windows cover in ``rows(doc, text)``.
 
-    ``seeds`` are the anchor entries with n > 1. Places count words or bytes. With
-    ``keep_first`` the occurrence with the smallest (doc, place) isn't counted.
+    ``texts`` are the same rows, bucketed by ``doc``. ``seeds`` are the anchor entries with
+    n > 1. Places count words or bytes. With ``keep_first`` the occurrence with the smallest
+    (doc, place) isn't counted.
     """
     plain = (F.col("low") == F.col("high")).alias("plain")
     found = stored(join_rows(block_table(rows, windows), seeds.select("anchor", plain), "anchor"))
@@ -244,10 +247,10 @@ def repeated_stretches(rows: DataFrame, seeds: DataFrame, windows: Windows, grou
     reps = join_rows(open_classes, counted, "anchor").select("anchor", "rep.*", "large")
     listed = reps.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "last", "large")).alias("reps"))
     listed = stored(listed)
-    partial = compare_groups(representatives(rows, listed, windows, False), windows)
+    partial = compare_groups(representatives(texts, listed, windows, False), windows)
     stretches = copies.unionAll(partial)
     if not listed.where(F.exists("reps", lambda r: r["large"])).isEmpty():
-        each = stored(representatives(rows, listed, windows, True))
+        each = stored(representatives(texts, listed, windows, True))
         twice = each.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("m"))
         twice = twice.where("n > 1").select("one", "two", F.col("m.doc").alias("d"), F.col("m.start").alias("s"))
         hits = join_rows(each, twice, ["one", "two"])
@@ -258,19 +261,19 @@ def repeated_stretches(rows: DataFrame, seeds: DataFrame, windows: Windows, grou
     return stored(merged(stretches))
 
 
-def cut_texts(rows: DataFrame, stretches: DataFrame, cut, schema: str) -> DataFrame:
-    """Apply ``cut(text, firsts, ends) -> tuple`` to every text; documents without
-    stretches get empty lists. Returns ``id`` and the columns of ``schema``."""
-    joined = join_rows(rows, stretches, "doc", "left")
+def cut_texts(texts: DataFrame, stretches: DataFrame, cut, schema: str) -> DataFrame:
+    """Apply ``cut(text, firsts, ends) -> tuple`` to every row of ``texts(doc, id, text)``;
+    documents without stretches get empty lists. Returns ``id`` and the columns of ``schema``."""
+    joined = join_rows(texts, stretches, "doc", "left")
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         for batch in batches:
-            texts = batch["text"].cast(pa.large_binary())
+            whole = batch["text"].cast(pa.large_binary())
             out = [
                 cut(t.as_py(), f or [], e or [])
-                for t, f, e in zip(texts, batch["firsts"].to_pylist(), batch["ends"].to_pylist())
+                for t, f, e in zip(whole, batch["firsts"].to_pylist(), batch["ends"].to_pylist())
             ]
             columns = list(zip(*out)) if out else [[] for _ in names]
             arrays = [pa.array(c, kinds[part.split()[1]]) for c, part in zip(columns, schema.split(", "))]

@@ -12,7 +12,7 @@ import hashlib
 
 from pyspark.sql import DataFrame
 
-from arbora.llm.common import stored, unique_rows
+from arbora.llm.common import bucketed, stored, unique_rows
 from arbora.llm.matching import Windows, anchor_entries, cut_texts, repeated_stretches
 
 LENGTH = 20
@@ -44,11 +44,13 @@ def remove_repeats(
     in a window of ``length`` words that also starts earlier: in a document with a smaller
     id (null first), or earlier in the same one. Rows that repeat an id are documents of
     their own. Null and empty texts have no words. ``kept`` joins the words that stay by
-    one space; ``kept_sha256`` is its SHA-256.
+    one space; ``kept_sha256`` is its SHA-256. Texts are shuffled once, into a table
+    bucketed by document, which both joins of notes to texts read.
     """
     windows = Windows(words=True, length=length, k=k, keep_first=True)
     rows = unique_rows(docs, id, text)
     seeds = stored(anchor_entries(rows, windows).where("n > 1"))
-    stretches = repeated_stretches(rows, seeds, windows, **limits)
+    texts = bucketed(rows, "doc", "texts")
+    stretches = repeated_stretches(rows, texts, seeds, windows, **limits)
     schema = "n_words long, n_removed long, kept_sha256 string, kept string"
-    return cut_texts(rows, stretches, cut_words, schema).withColumnRenamed("id", id)
+    return cut_texts(texts, stretches, cut_words, schema).withColumnRenamed("id", id)

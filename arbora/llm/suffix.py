@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import forget, new_path, stored, unique_rows
+from arbora.llm.common import bucketed, forget, new_path, stored, unique_rows
 from arbora.llm.matching import Windows, anchor_entries, cut_texts, repeated_stretches
 
 LENGTH = 200
@@ -106,7 +106,8 @@ def remove_repeats(
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else,
     in any document. ``n_spans`` counts maximal removed runs; ``kept`` (binary) joins the
     rest. Null and empty texts have no bytes. Rows that repeat an id are documents of
-    their own, so copies of a row lose what they share.
+    their own, so copies of a row lose what they share. Texts are shuffled once, into a
+    table bucketed by document, which both joins of notes to texts read.
     """
     windows = Windows(words=False, length=length, k=k, keep_first=False)
     rows = unique_rows(docs, id, text)
@@ -115,6 +116,7 @@ def remove_repeats(
         family.add(rows.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == number))
     seeds = stored(family.repeated())
     family.close()
-    stretches = repeated_stretches(rows, seeds, windows, **limits)
+    texts = bucketed(rows, "doc", "texts")
+    stretches = repeated_stretches(rows, texts, seeds, windows, **limits)
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return cut_texts(rows, stretches, cut_bytes, schema).withColumnRenamed("id", id)
+    return cut_texts(texts, stretches, cut_bytes, schema).withColumnRenamed("id", id)
