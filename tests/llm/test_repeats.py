@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from arbora.llm import repeats, substring, suffix
+from arbora.llm.common import bucketed
 from tests.llm.conftest import SCHEMA, messy_rows
 
 
@@ -130,3 +131,13 @@ def test_blocks_cover_each_window_once():
     windows = [w for a, b in zip(first, last) for w in range(a, b + 1)]
     want = [s for b, e in zip([0, 100, 100, 103, 300], ends) for s in range(b, e - 11)]
     assert sorted(windows) == want
+
+
+def test_bucketed_texts_are_not_shuffled(spark, empty):
+    rows = frame(spark, invented(30, 9)).selectExpr("doc_id doc", "doc_id id", "text")
+    texts = bucketed(rows, "doc", "texts")
+    assert sorted(texts.collect()) == sorted(rows.collect())
+    notes = bucketed(rows.selectExpr("doc", "length(text) n"), "doc", "notes")
+    plan = texts.join(notes.hint("merge"), "doc", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert bucketed(empty.select("doc", "text"), "doc", "texts").count() == 0
