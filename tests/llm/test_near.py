@@ -1,0 +1,86 @@
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from arbora.llm import bitsliced, near
+from tests.llm.conftest import messy_rows
+
+
+def shingles(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_components(texts):
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * common >= 4 * either and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def copies(seed, groups, size, edits):
+    """Groups of texts, each an edited copy of its group's first or of the one before."""
+    rng = random.Random(seed)
+    out = []
+    for g in range(groups):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(30, 300))]
+        texts = [words]
+        for _ in range(size - 1):
+            copy = list(texts[-1] if g % 2 else words)
+            for _ in range(rng.randint(1, max(1, int(edits * len(copy))))):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(3000)}"
+            texts.append(copy)
+        out += [" ".join(t) for t in texts]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("tile", [2, 256])
+def test_against_brute_jaccard(spark, tile):
+    texts = copies(3, 40, 6, 0.03)
+    label = brute_components(texts)
+    assert len(set(label)) > 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near.near_components(docs, tile=tile).collect()
+    assert sorted((r[0], r[2]) for r in got) == list(enumerate(label))
+
+
+def test_messy(messy):
+    rows = [r[:2] for r in messy_rows()]
+    sets = [shingles(t) for _, t in rows]
+    got = near.near_components(messy, tile=1).collect()
+    want = []
+    for doc, text in rows:
+        mine = shingles(text)
+        ids = [d for (d, _), s in zip(rows, sets) if d is not None and 5 * len(mine & s) >= 4 * len(mine | s)]
+        want.append((doc, len(mine), min(ids) if ids else None))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_stage_removes_ordinary_near_copies(spark):
+    base = " ".join(f"word{i * 7919 % 5003}" for i in range(200))
+    copy = " ".join("other" if w in (40, 90, 150) else t for w, t in enumerate(base.split()))
+    assert (bitsliced.simhash(base.encode()) ^ bitsliced.simhash(copy.encode())).bit_count() > 3
+    docs = spark.createDataFrame([(1, base), (2, copy), (3, "quite another text of some words")], "doc_id long, text string")
+    assert sorted(r[0] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_bands_miss_as_rarely_as_computed():
+    rng = np.random.default_rng(1)
+    shared = 0
+    for _ in range(2000):
+        a = rng.integers(0, 2**64, 90, dtype=np.uint64)
+        b = np.concatenate([a[:80], rng.integers(0, 2**64, 10, dtype=np.uint64)])
+        shared += bool((near.band_keys(a) == near.band_keys(b)).any())
+    assert shared == 2000
+
+
+def test_empty(empty):
+    assert near.near_components(empty).count() == 0
+    assert near.kept_documents(empty).columns == empty.columns
