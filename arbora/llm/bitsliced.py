@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import stored, text_or_empty, without_ids
+from arbora.llm.common import stored, text_or_empty, told_apart, without_ids
 from arbora.operators.components import edge_components
 from arbora.runtime import lookup
 
@@ -224,6 +224,7 @@ def near_components(
     text: str = "text",
     tile: int = TILE,
     local_links: int = LOCAL_LINKS,
+    row: str | None = None,
 ) -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -231,19 +232,29 @@ def near_components(
     links of at most three differing bits (null ids don't name a component unless it has
     no other). Null and empty texts have fingerprint zero and are linked like any other.
     Rows with equal fingerprints are compared once, so groups of copies cost nothing.
+
+    ``row`` names a column that tells rows apart; the result then has it as ``row`` and
+    that of the component's first row (by id, text hash, row; null ids last) as ``keep_row``.
     """
-    rows = stored(docs.select(F.col(id).alias("doc"), fingerprint(text).alias("fp")))
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc").alias("doc")))
+    marks = [F.xxhash64(text_or_empty(text)).alias("mark"), F.col(row).alias("row")] if row else []
+    order = ["mark", "row"] if row else []
+    rows = stored(docs.select(F.col(id).alias("doc"), *marks, fingerprint(text).alias("fp")))
+    first = F.min(F.struct(F.col("doc").isNull().alias("unknown"), "doc", *order)).alias("first")
+    distinct = stored(rows.groupBy("fp").agg(first))
     count = distinct.count()
     labels = edge_components(links(distinct.select("fp"), count, tile), local_links)
     named = distinct.join(labels.withColumnRenamed("id", "fp"), "fp", "left")
-    named = stored(named.select("fp", "doc", F.coalesce("component", "fp").alias("component")))
-    smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    homes = named.select("fp", "component").join(smallest, "component").select("fp", "component_id")
-    return rows.join(homes, "fp").select(F.col("doc").alias(id), F.col("fp").alias("fingerprint"), "component_id")
+    named = stored(named.select("fp", "first", F.coalesce("component", "fp").alias("component")))
+    smallest = named.groupBy("component").agg(F.min("first").alias("first"))
+    homes = named.select("fp", "component").join(smallest, "component").select("fp", "first")
+    both = ["row", F.col("first.row").alias("keep_row")] if row else []
+    return rows.join(homes, "fp").select(
+        F.col("doc").alias(id), F.col("fp").alias("fingerprint"), F.col("first.doc").alias("component_id"), *both
+    )
 
 
 def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component of ``docs``, that with its smallest id, with all columns."""
-    found = near_components(docs, id, text)
-    return without_ids(docs, found.where(~F.col(id).eqNullSafe(F.col("component_id"))), id)
+    rows, key = told_apart(docs, id)
+    found = near_components(rows, id, text, row=key)
+    return without_ids(rows, found.where("row <> keep_row").select(F.col("row").alias(key)), key).select(docs.columns)

@@ -88,6 +88,17 @@ def unique_rows(docs: DataFrame, id: str, text: str, *more: str) -> DataFrame:
     return stored(ordered.select(F.monotonically_increasing_id().alias("doc"), "id", "text", *more))
 
 
+def told_apart(docs: DataFrame, id: str) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that differs in every row.
+
+    Where ids are unique and not null, that is the id. Else rows are numbered in a column
+    ``__row`` of a written table.
+    """
+    if docs.groupBy(id).count().filter((F.col("count") > 1) | F.col(id).isNull()).isEmpty():
+        return docs, id
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id())), "__row"
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame, id: str, limit: int | None = None) -> DataFrame:
     """The rows of ``docs`` whose id isn't in ``dropped``, a table with that one column.
 

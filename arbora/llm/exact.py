@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import SPACES, stored, text_or_empty, without_ids
+from arbora.llm.common import SPACES, stored, text_or_empty, told_apart, without_ids
 
 # Characters that the second key reads.
 PREFIX = 64
@@ -23,6 +23,7 @@ def exact_dedup(
     prefix: int = PREFIX,
     digests: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
+    row: str | None = None,
 ) -> DataFrame:
     """``(id, keep_id, group_size, kept, text_sha256)`` for every row of ``docs``.
 
@@ -39,14 +40,21 @@ def exact_dedup(
     The pairs of step 2 that are left are broadcast once counted to be at most
     ``broadcast_rows``. Beyond that the full hash is taken of every row, in the scan,
     which is cheaper than shuffling texts.
+
+    ``row`` names a column that tells rows apart; the result then has it as ``row`` and
+    that of the one row of a group that stays as ``keep_row``, the first by text hash
+    among equally long ones with one id.
     """
+    marks = [F.xxhash64(text_or_empty(text)).alias("mark"), F.col(row).alias("row")] if row else []
+    order = ["mark", "row"] if row else []
     norm = F.regexp_replace(text_or_empty(text), SPACES, "")
     rows = docs.select(
         F.col(id).alias("__id"),
         F.length(text_or_empty(text)).alias("chars"),
         norm.alias("norm"),
+        *marks,
     ).select(
-        "__id", "chars", "norm",
+        "__id", "chars", "norm", *order,
         F.octet_length("norm").alias("size"),
         F.xxhash64(F.substring("norm", 1, prefix)).alias("head"),
     )
@@ -61,7 +69,7 @@ def exact_dedup(
     full = F.sha2(F.col("norm").cast("binary"), 256)
     rows = stored(
         rows.select(
-            "__id", "chars",
+            "__id", "chars", *order,
             F.coalesce("open", F.lit(False)).alias("open"),
             (full if digests else F.when(F.col("open"), full)).alias("text_sha256"),
         )
@@ -69,19 +77,28 @@ def exact_dedup(
     settled = rows.filter("not open").select(
         F.col("__id").alias(id), F.col("__id").alias("keep_id"),
         F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256",
+        *([F.col("row"), F.col("row").alias("keep_row")] if row else []),
     )
     suspects = rows.filter("open")
     groups = suspects.groupBy("text_sha256").agg(
         F.count(F.lit(1)).alias("group_size"),
-        F.min(F.struct(-F.col("chars"), F.col("__id").alias("i")))["i"].alias("keep_id"),
-    )
+        F.min(F.struct(-F.col("chars"), F.col("__id").alias("i"), *order)).alias("first"),
+    ).select("text_sha256", "group_size", "first", F.col("first.i").alias("keep_id"))
     found = suspects.join(groups, "text_sha256").select(
         F.col("__id").alias(id), "keep_id", "group_size",
         F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
+        *([F.col("row"), F.col("first.row").alias("keep_row")] if row else []),
     )
     return settled.unionByName(found)
 
 
-def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    return without_ids(docs, exact_dedup(docs, id, text).filter("not kept"), id)
+def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", same_id: bool = True) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Equal texts that repeat the id of the row that stays do so too if ``same_id``, as in
+    ``exact_dedup``; else one row of each group stays.
+    """
+    rows, key = told_apart(docs, id)
+    found = exact_dedup(rows, id, text, row=key)
+    gone = found.filter("not kept" if same_id else "row <> keep_row").select(F.col("row").alias(key))
+    return without_ids(rows, gone, key).select(docs.columns)

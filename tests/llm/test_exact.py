@@ -49,3 +49,12 @@ def test_kept_documents(messy):
 def test_no_python_in_the_plan(messy):
     plan = exact.exact_dedup(messy)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("same_id", [True, False])
+def test_rows_go_by_row(messy, same_id):
+    kept = exact.kept_documents(messy, same_id=same_id)
+    assert kept.columns == messy.columns
+    got = [(r[0], r[1]) for r in kept.select("doc_id", "text").collect()]
+    assert [t for doc, t in got if doc is None] == ["no id"]
+    assert sorted(doc for doc, _ in got if doc is not None) == [2, 5, 7, 8, 9, *[9] * same_id, 10, 10, 11, 12, 13]

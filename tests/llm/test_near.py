@@ -84,3 +84,17 @@ def test_bands_miss_as_rarely_as_computed():
 def test_empty(empty):
     assert near.near_components(empty).count() == 0
     assert near.kept_documents(empty).columns == empty.columns
+
+
+@pytest.mark.parametrize("module", [near, bitsliced])
+def test_rows_go_by_row(spark, module):
+    rows = [(None, "no id"), (None, None), (5, " "), (9, "a b c d e f"), (9, "a b c d e f"), (9, "unlike the others of 9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in module.kept_documents(docs).collect()]
+    assert sorted(got, key=repr) == sorted([rows[0], rows[2], rows[3], rows[5]], key=repr)
+
+
+def test_pipeline_keeps_one_exact_copy_of_an_id(spark):
+    docs = spark.createDataFrame([(9, "x y"), (9, "x y"), (9, "z"), (None, "q"), (None, "x y")], "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.exact_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(9, "z"), (None, "q"), (None, "x y")], key=repr)
