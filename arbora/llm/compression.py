@@ -93,6 +93,7 @@ def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, r
     """``(text, label)`` of up to ``rows`` labelled rows a class outside the held-out fold.
 
     The ids with the smallest hashes are taken, so the choice is bounded and repeatable;
+    of rows that share an id, the one with the smallest text hash;
     of a text, its first ``chars`` characters.
     """
     usable = labels.where(~held_out(id)).groupBy(id).agg(F.min(label).alias("__label")).where(F.col(id).isNotNull())
@@ -100,8 +101,9 @@ def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, r
     for kind in (0, 1):
         part = usable.where(F.col("__label") == kind).orderBy(F.xxhash64(id), id).limit(rows)
         chosen = part if chosen is None else chosen.unionAll(part)
-    texts = docs.select(id, F.substring(text_or_empty(text), 1, chars).alias("__text"))
-    return texts.join(F.broadcast(chosen), id).select(id, F.col("__text").alias("text"), F.col("__label").alias("label"))
+    texts = docs.select(id, F.substring(text_or_empty(text), 1, chars).alias("__text")).join(F.broadcast(chosen), id)
+    one = F.min_by("__text", F.xxhash64("__text")).alias("text")
+    return texts.groupBy(id, F.col("__label").alias("label")).agg(one).select(id, "text", "label")
 
 
 def fit(

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -41,3 +42,14 @@ def test_messy_and_empty(spark, messy, empty):
     none = compression.scored(messy, labels.limit(0)).select("score").distinct().collect()
     assert [r[0] for r in none] == [0.5]
     assert compression.kept_documents(docs, labels).columns == docs.columns
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    docs, labels = make(spark, 60)
+    shared = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1)
+    copies = docs.where(F.col("doc_id") == shared).crossJoin(spark.range(300).toDF("k"))
+    copies = copies.withColumn("text", F.concat("text", F.lit(" "), "k"))
+    more = docs.unionAll(copies.select(docs.columns))
+    got = compression.sample(more, labels, "doc_id", "text", "quality", 60, 4096).collect()
+    assert shared in {r[0] for r in got}
+    assert len(got) == len({r[0] for r in got}) <= 60
