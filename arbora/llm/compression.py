@@ -12,14 +12,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import text_or_empty
+from arbora.llm.common import stored, text_or_empty
 
-# Labelled rows of a class that are fitted on at most, and characters read of each.
+# Labelled rows of a class that are fitted on at most, and bytes of their whole texts.
 SAMPLE_ROWS = 2_000
-SAMPLE_CHARS = 4_096
+SAMPLE_BYTES = 8 << 20
+# Characters that are fitted on of a text at most; longer ones give a piece from anywhere.
+SAMPLE_CHARS = 1 << 20
 DICTIONARY_BYTES = 112 * 1024
 PIECE_BYTES = 1_024
 LEVEL = 3
@@ -89,21 +91,38 @@ def held_out(id: str) -> Column:
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, rows: int, chars: int) -> DataFrame:
+def sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    id: str,
+    text: str,
+    label: str,
+    rows: int,
+    chars: int = SAMPLE_CHARS,
+    size: int = SAMPLE_BYTES,
+) -> DataFrame:
     """``(text, label)`` of up to ``rows`` labelled rows a class outside the held-out fold.
 
     The ids with the smallest hashes are taken, so the choice is bounded and repeatable;
     of rows that share an id, the one with the smallest text hash;
-    of a text, its first ``chars`` characters.
+    of those, whole texts of up to ``size`` bytes a class, in the order of the hashes. A
+    text of more than ``chars`` characters gives a piece from a place that its hash tells.
     """
     usable = labels.where(~held_out(id)).groupBy(id).agg(F.min(label).alias("__label")).where(F.col(id).isNotNull())
     chosen = None
     for kind in (0, 1):
         part = usable.where(F.col("__label") == kind).orderBy(F.xxhash64(id), id).limit(rows)
         chosen = part if chosen is None else chosen.unionAll(part)
-    texts = docs.select(id, F.substring(text_or_empty(text), 1, chars).alias("__text")).join(F.broadcast(chosen), id)
+    whole = docs.select(id, text_or_empty(text).alias("__text")).join(F.broadcast(chosen), id)
+    room = F.greatest(F.lit(0), F.length("__text") - chars)
+    start = (1 + F.pmod(F.xxhash64("__text"), room + 1)).cast("int")
+    texts = whole.withColumn("__text", F.when(room > 0, F.substring("__text", start, F.lit(chars))).otherwise(F.col("__text")))
     one = F.min_by("__text", F.xxhash64("__text")).alias("text")
-    return texts.groupBy(id, F.col("__label").alias("label")).agg(one).select(id, "text", "label")
+    found = stored(texts.groupBy(id, F.col("__label").alias("label")).agg(one).select(id, "text", "label"))
+    before = Window.partitionBy("label").orderBy(F.xxhash64(id), id)
+    sizes = found.select(id, "label", F.octet_length("text").cast("bigint").alias("bytes"))
+    fits = sizes.select(id, F.sum("bytes").over(before).alias("sum")).where(F.col("sum") <= size).select(id)
+    return found.join(F.broadcast(fits), id).select(id, "text", "label")
 
 
 def fit(
@@ -114,14 +133,15 @@ def fit(
     label: str = "quality",
     rows: int = SAMPLE_ROWS,
     chars: int = SAMPLE_CHARS,
+    size: int = SAMPLE_BYTES,
 ) -> Model:
     """Train both dictionaries on one half of the sample, the calibration on the other.
 
-    At most ``2 * rows`` texts of ``chars`` characters come to the driver. Without rows of
+    At most ``2 * rows`` texts and ``2 * size`` bytes come to the driver. Without rows of
     both classes there is nothing to compare: every score is then the share of good rows,
     or one half without any labels.
     """
-    got = sorted((r[0], r[1].encode(), r[2]) for r in sample(docs, labels, id, text, label, rows, chars).collect())
+    got = sorted((r[0], r[1].encode(), r[2]) for r in sample(docs, labels, id, text, label, rows, chars, size).collect())
     good, bad = ([t for _, t, y in got if y == kind] for kind in (1, 0))
     if not good or not bad:
         share = (len(good) + 1) / (len(good) + len(bad) + 2)

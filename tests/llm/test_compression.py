@@ -53,3 +53,15 @@ def test_repeated_ids_do_not_widen_the_sample(spark):
     got = compression.sample(more, labels, "doc_id", "text", "quality", 60, 4096).collect()
     assert shared in {r[0] for r in got}
     assert len(got) == len({r[0] for r in got}) <= 60
+
+
+def test_whole_texts_are_fitted_on(spark):
+    text = "a plain start " * 400 + "the end"
+    docs = spark.createDataFrame([(i, text + str(i)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = compression.sample(docs, labels, "doc_id", "text", "quality", 100).collect()
+    assert got and all(r["text"] == text + str(r["doc_id"]) for r in got)
+    few = compression.sample(docs, labels, "doc_id", "text", "quality", 100, size=3 * len(text) + 10).collect()
+    assert len(few) == 6
+    cut = compression.sample(docs, labels, "doc_id", "text", "quality", 100, chars=1000).collect()
+    assert {len(r["text"]) for r in cut} == {1000} and any(not r["text"].startswith("a plain") for r in cut)
