@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbora.llm import compression, exact, mixing, near, pieces
+from arbora.llm import bitsliced, compression, exact, mixing, pieces
 from arbora.llm.common import stored, table
 
 
@@ -24,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of texts linked at five-word similarity 0.8, that with the smallest id."""
-    return near.kept_documents(docs)
+    """One of each group of texts whose fingerprints link at three bits, that with the smallest id."""
+    return bitsliced.kept_documents(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
