@@ -29,6 +29,11 @@ def make():
             text = rows[i - 101][1] + ("  " if i % 2 else "")
         rows.append((i, text, ("en", "de")[i % 2], f"src{i % 5}", len(text)))
         labels.append((i, int(not bad and i <= 100 or "$$" not in text), 0))
+    for i in range(170, 180):  # near copies: one word more in a long text
+        words = rows[i - 165][1].split() * 6
+        rows.append((i, " ".join(words), "en", "src1", 0))
+        rows.append((i + 20, " ".join([*words, "more"]), "de", "src2", 0))
+        labels += [(i, 1, 0), (i + 20, 1, 0)]
     rows += [(200, None, None, None, None), (201, "", "en", "src0", 0)]
     return rows, labels
 
@@ -50,6 +55,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     left = sorted(tuple(r) for r in once.collect())
     label = brute_components([brute_fingerprint(r[1]) for r in left])
     assert {r[0] for r in apart.collect()} == {left[i][0] for i in set(label)}
+    assert len(set(label)) < len(left) - 5
     mixed = stages["mixing sources"](spark, apart, str(tmp_path))
     assert mixed.columns == COLUMNS
     assert {r[0] for r in mixed.collect()} <= {r[0] for r in apart.collect()}
