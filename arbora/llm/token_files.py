@@ -60,6 +60,7 @@ class WordEncoder:
         self.spaced[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
         # a letter run not followed by anything outside ASCII; else up to white space;
         # white space but for its last character; that character
+        self.white = re.compile(f"[{WHITE}]")
         self.unit = re.compile(
             rf" ?[{LETTERS}]++(?![^\x00-\x7f])| ?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}]|$)|[{WHITE}]"
         )
@@ -88,7 +89,7 @@ class WordEncoder:
         each begins at a piece that begins with a space."""
         spaced, rest = [], []
         for w in words:
-            (spaced if w[0] == " " and w[1:2] not in WHITE else rest).append(w)
+            (spaced if w[0] == " " and len(w) > 1 and not self.white.match(w, 1) else rest).append(w)
         out = {}
         if spaced:
             whole = self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0]

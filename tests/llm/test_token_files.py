@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -24,6 +25,20 @@ def test_remembered_words_change_nothing():
             assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_any_white_space():
+    plain = Tokenizer.from_file(PATH)
+    rng = random.Random(5)
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()] + [" "] * 30 + ["\u200b", "\ufeff", "\u180e"]
+    parts = ["a", "bc", "\u0301", "1", "\u00b2", "$", "'s", "\u4e2d", "\U0001f600", "\u0bbe", "\u00aa"]
+    texts = ["a \u2003 ", "x \u2003 \u2003y", "a \u2009 \n"]
+    texts += ["".join(rng.choice(spaces if rng.random() < 0.6 else parts) for _ in range(12)) for _ in range(3000)]
+    encoder = token_files.WordEncoder(PATH)
+    for at in range(0, len(texts), 100):
+        batch = texts[at : at + 100]
+        for text, ids in zip(batch, encoder.encode(batch)):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_round_trip(spark, messy):
     plain = Tokenizer.from_file(PATH)
     path = new_path(spark, "tokens-test")
