@@ -88,15 +88,25 @@ def unique_rows(docs: DataFrame, id: str, text: str, *more: str) -> DataFrame:
     return stored(ordered.select(F.monotonically_increasing_id().alias("doc"), "id", "text", *more))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def told_apart(docs: DataFrame, id: str) -> tuple[DataFrame, str]:
     """``docs`` and the name of a column that differs in every row.
 
-    Where ids are unique and not null, that is the id. Else rows are numbered in a column
-    ``__row`` of a written table.
+    Where ids are unique and not null, that is the id. Else rows are numbered in a further
+    column of a written table.
     """
-    if docs.groupBy(id).count().filter((F.col("count") > 1) | F.col(id).isNull()).isEmpty():
+    ids = docs.select(F.col(id).alias("id"))
+    if ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").isEmpty():
         return docs, id
-    return stored(docs.withColumn("__row", F.monotonically_increasing_id())), "__row"
+    row = free_name(docs, "__row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame, id: str, limit: int | None = None) -> DataFrame:
@@ -105,9 +115,10 @@ def without_ids(docs: DataFrame, dropped: DataFrame, id: str, limit: int | None
     Ids counted to fit in ``limit`` bytes are broadcast, so that texts stay where they are.
     """
     limit = BROADCAST_BYTES if limit is None else limit
-    gone = stored(dropped.select(F.col(id).alias("__id")))
+    key = free_name(docs, "__id")
+    gone = stored(dropped.select(F.col(id).alias(key)))
     gone = F.broadcast(gone) if 16 * gone.count() <= limit else gone
-    return docs.join(gone, docs[id].eqNullSafe(gone["__id"]), "left_anti")
+    return docs.join(gone, docs[id].eqNullSafe(gone[key]), "left_anti")
 
 
 def delivered(
