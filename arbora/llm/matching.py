@@ -79,8 +79,7 @@ def anchor_entries(rows: DataFrame, windows: Windows) -> DataFrame:
 
 def window_hashes(symbols: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of the windows that begin at ``starts``."""
-    ends = starts + length
-    return tuple(repeats.Rolling(symbols, base).at(starts, ends) for base in repeats.BASES)
+    return repeats.Twice(symbols).at(starts, starts + length)
 
 
 def representatives(texts: DataFrame, notes: DataFrame, windows: Windows, large: bool) -> DataFrame:
@@ -144,10 +143,10 @@ def repeated_in_groups(data: pa.Table, windows: Windows) -> pa.RecordBatch:
     row = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
     one, two = window_hashes(symbols, offsets[row] + place, windows.length)
-    key = one ^ repeats.mixed(anchor.view(np.uint64))[row]
+    key = one ^ repeats.mixed(two) ^ repeats.mixed(repeats.mixed(anchor.view(np.uint64)))[row]
     order = np.argsort(key, kind="stable")
     a, b = order[:-1], order[1:]
-    same = (key[a] == key[b]) & (two[a] == two[b]) & (anchor[row[a]] == anchor[row[b]])
+    same = (key[a] == key[b]) & (one[a] == one[b]) & (two[a] == two[b]) & (anchor[row[a]] == anchor[row[b]])
     hit = np.zeros(len(row), dtype=bool)
     hit[b[same]] = True
     if not windows.keep_first:

@@ -8,13 +8,16 @@ windows have equal anchors at equal offsets. Neighbouring windows with one ancho
 There is about one block per ``(length - k + 2) / 2`` symbols, and every window lies in
 exactly one of them. Two windows can be equal only if their blocks' anchor hashes are.
 
-Hashes are polynomials modulo 2**64 with odd bases, so that any stretch is hashed from
-prefix sums in one multiplication.
+Stretches are hashed by polynomials modulo 2**64, from prefix sums in one multiplication.
+Such hashes alone agree on sequences that are built for it (Thue-Morse words), so a second
+one takes symbols that mix three neighbours, where those no longer cancel. Words get their
+symbols from a hash that mixes every eight bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 # Two odd multipliers, and the shifts and factor of the final mixing.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -71,6 +74,23 @@ class Rolling:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def neighbours(symbols: np.ndarray) -> np.ndarray:
+    """A symbol per three consecutive ones, from which sums don't cancel."""
+    pairs = mixed(symbols[:-2] * np.uint64(BASES[1]) + symbols[1:-1])
+    return mixed(mixed(pairs ^ symbols[2:]) * np.uint64(BASES[0]))
+
+
+class Twice:
+    """Two hashes of any stretch of at least three symbols, one of them of ``neighbours``."""
+
+    def __init__(self, symbols: np.ndarray):
+        self.plain = Rolling(symbols, BASES[0])
+        self.mixed = Rolling(neighbours(symbols), BASES[1])
+
+    def at(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.plain.at(start, end), self.mixed.at(start, end - 2)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of every ``width`` neighbours, by doubling."""
     have = 1
@@ -100,8 +120,8 @@ def blocks(symbols: np.ndarray, ends: np.ndarray, length: int, k: int):
     text = np.repeat(np.arange(len(ends)), counts)
     jump = np.cumsum(counts) - counts
     starts = np.arange(len(text)) - jump[text] + begins[text]
-    rolling = Rolling(symbols)
-    grams = rolling.all(k)
+    rolling = Twice(symbols)
+    grams = rolling.plain.all(k)
     width = length - k + 1
     least = sliding_min(grams, width)
     own = least[starts]
@@ -113,7 +133,8 @@ def blocks(symbols: np.ndarray, ends: np.ndarray, length: int, k: int):
     at = np.flatnonzero(fresh)
     first, last = starts[at], starts[np.append(at[1:], len(starts)) - 1]
     anchor = own[at]
-    return text[at], first, last, anchor, rolling.at(first, last + length)
+    one, two = rolling.at(first, last + length)
+    return text[at], first, last, anchor, one ^ mixed(two)
 
 
 def runs(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +154,28 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+# Bytes of a word that are hashed with all others; of longer words, one at a time.
+SHORT = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word ``data[start:end]``: every eight bytes are mixed in twice."""
+    lanes = np.ndarray(len(data) + 1, dtype="<u8", buffer=data.tobytes() + bytes(8), strides=(1,))
+    size = ends - starts
+    state = mixed(size.astype(np.uint64) * np.uint64(BASES[0]) + np.uint64(1))
+    kept = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+    at = np.flatnonzero(size <= SHORT)
+    done = 0
+    while len(at):
+        chunk = lanes[starts[at] + done] & kept[np.minimum(size[at] - done, 8)]
+        state[at] = mixed(mixed(state[at] ^ chunk) * np.uint64(BASES[1]))
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > SHORT):
+        state[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return state
+
+
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A symbol per word of the texts that ``offsets`` mark in ``data``, and their ends."""
     inside = ~SPACE[data]
@@ -145,7 +188,7 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     tail = edge[edge > 0] - 1
     end[tail] |= inside[tail]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    symbols = Rolling(BYTE_SYMBOLS[data]).at(starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
+    symbols = word_hashes(data, starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
     return symbols, np.searchsorted(starts, offsets[1:])
 
 
