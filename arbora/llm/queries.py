@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm import (
     bitsliced,
+    byte_bpe,
     compression,
     exact,
     host_rules,
@@ -70,6 +71,12 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.segmented(table(spark, sf, "documents"), path).drop("ids")
 
 
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     "op1_mixing": op1,
     "op2_substring_dedup": op2,
@@ -81,4 +88,5 @@ QUERIES = {
     "op8_token_files": op8,
     "op9_simhash_near_dedup": op9,
     "op10_sentencepiece": op10,
+    "op11_byte_bpe": op11,
 }
