@@ -110,10 +110,76 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY s ORDER BY chars DESC, doc
 FROM n
 """
 
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+# CRC-32 of ASCII text: eight shifts per byte, with the reversed polynomial.
+CRC32 = """xor(list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT), lambda a, b:
+  list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+  lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END), 4294967295::BIGINT),
+  4294967295::BIGINT)"""
+CONV_KEY = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+
+OP13 = rf"""
+WITH RECURSIVE
+h AS (SELECT *, {CRC32.format(CONV_KEY)} % 20 AS h FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g')
+    ELSE coalesce(text, ' ') END AS text,
+  unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) FROM h WHERE h <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM damaged),
+marked AS (SELECT *, rtrim(text, {SPACES}) AS ended,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM numbered),
+r AS (SELECT conv_id, turn, i, role, text, left(role, 1) AS c, CASE WHEN ended = '' THEN 'b' WHEN again THEN 'd'
+  WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault FROM marked),
+pairs AS (SELECT conv_id, c || lead(c) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM r),
+facts AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated FROM r GROUP BY 1),
+bad AS (SELECT conv_id, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY 1),
+move(p, c, q) AS (VALUES ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')),
+ins(p, q, ic, ia) AS (SELECT p, p, 0, '' FROM (VALUES ('0'), ('s'), ('u'), ('a')) t(p)
+  UNION ALL SELECT p, q, 2, 'I' FROM move WHERE c <> 's'
+  UNION ALL VALUES ('0', 'a', 4, 'II'), ('s', 'a', 4, 'II')),
+edit AS (SELECT conv_id, i, p, p AS q, 3 AS ec, 'D' AS ea FROM r, (VALUES ('0'), ('s'), ('u'), ('a')) t(p)
+  UNION ALL SELECT conv_id, i, p, q, (fault = 't')::INT, 'K' FROM r JOIN move USING (c) WHERE fault IN ('t', '-')
+  UNION ALL SELECT conv_id, i, p, q, 2 + (fault = 't')::INT, 'R' FROM r, move
+    WHERE fault IN ('t', '-') AND move.c <> 's'),
+dp(conv_id, i, q, cost, audit) AS (
+  SELECT conv_id, 0::BIGINT, '0', 0, '' FROM facts
+  UNION ALL
+  SELECT d.conv_id, d.i + 1, edit.q, d.cost + ic + ec AS cost, d.audit || ia || ea AS audit
+  FROM dp d JOIN ins ON d.q = ins.p
+  JOIN edit ON edit.conv_id IS NOT DISTINCT FROM d.conv_id AND edit.i = d.i + 1 AND edit.p = ins.q
+  QUALIFY row_number() OVER (PARTITION BY d.conv_id, edit.q ORDER BY d.cost + ic + ec, d.audit || ia || ea) = 1),
+ended AS (SELECT d.conv_id, d.cost + ic AS cost, d.audit || ia AS audit FROM dp d
+  JOIN facts f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.n = d.i JOIN ins ON d.q = ins.p
+  WHERE ins.q IN ('0', 'a')
+  QUALIFY row_number() OVER (PARTITION BY d.conv_id ORDER BY d.cost + ic, d.audit || ia) = 1),
+letters AS (SELECT conv_id, audit, generate_subscripts(string_split(audit, ''), 1) AS k,
+  unnest(string_split(audit, '')) AS l FROM ended),
+places AS (SELECT *, count(*) FILTER (l <> 'I') OVER w AS i,
+  count(*) FILTER (l <> 'D') OVER (PARTITION BY conv_id) - count(*) FILTER (l <> 'D') OVER w AS after
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+lines AS (SELECT p.conv_id, k, CASE WHEN l = 'K' THEN r.role WHEN after % 2 = 0 THEN 'assistant' ELSE 'user' END
+  || ':' || CASE WHEN l = 'I' THEN '' ELSE r.text END AS line
+  FROM places p LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i AND l <> 'I' WHERE l <> 'D'),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS t FROM lines GROUP BY 1),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(t, '')) AS repaired_sha256
+FROM every e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN bad b ON b.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN ended x ON x.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1,
     "op2_substring_dedup": OP2,
     "op5_warc": OP5,
     "op6_host_rules": OP6,
     "op7_exact_dedup": OP7,
+    "op13_conversation_repair": OP13,
 }

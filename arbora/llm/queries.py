@@ -13,6 +13,7 @@ from arbora.llm import (
     host_rules,
     mixing,
     pieces,
+    repair,
     substring,
     suffix,
     token_files,
@@ -77,6 +78,10 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, sf, "conversations"))
+
+
 QUERIES = {
     "op1_mixing": op1,
     "op2_substring_dedup": op2,
@@ -89,4 +94,5 @@ QUERIES = {
     "op9_simhash_near_dedup": op9,
     "op10_sentencepiece": op10,
     "op11_byte_bpe": op11,
+    "op13_conversation_repair": op13,
 }
