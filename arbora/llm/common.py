@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.runtime import cut
@@ -47,6 +47,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Written table of ``df`` with a BIGINT column ``name`` that counts its rows from 0, in
+    the order of its partitions and of the rows in them, without gaps."""
+    at = free_name(df, "__at")
+    kept = stored(df.withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(at, 33).alias("__part")
+    sizes = kept.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))  # a row per partition
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = F.broadcast(sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before")))
+    both = kept.join(firsts, F.shiftright(at, 33) == firsts["__part"])
+    place = F.col(at) - F.shiftleft("__part", 33) + F.col("__before")
+    return both.select(*df.columns, place.alias(name))
+
+
 def bucketed(df: DataFrame, key: str, kind: str, buckets: int | None = None) -> DataFrame:
     """Write ``df`` dealt by ``key`` and read it again: joins on ``key`` don't shuffle it.
 

@@ -12,6 +12,7 @@ from arbora.llm import (
     exact,
     host_rules,
     mixing,
+    negatives,
     pieces,
     repair,
     substring,
@@ -78,6 +79,10 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.mined(negatives.shifted_labels(table(spark, sf, "embeddings")))
+
+
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return repair.damaged_and_repaired(table(spark, sf, "conversations"))
 
@@ -94,5 +99,6 @@ QUERIES = {
     "op9_simhash_near_dedup": op9,
     "op10_sentencepiece": op10,
     "op11_byte_bpe": op11,
+    "op12_hard_negatives": op12,
     "op13_conversation_repair": op13,
 }

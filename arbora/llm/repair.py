@@ -24,12 +24,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from arbora.llm.common import stored
+from arbora.llm.common import numbered, stored
 from arbora.runtime import lookup
 
 # Rows of a block, and blocks that are solved together.
@@ -150,14 +150,7 @@ def ordered_rows(rows: DataFrame) -> DataFrame:
     marked = rows.withColumn("mark", F.xxhash64("role", "text")).withColumn("row", F.monotonically_increasing_id())
     dealt = marked.repartitionByRange("conv_id", "turn", "mark", "row")
     dealt = dealt.sortWithinPartitions("conv_id", "turn", "mark", "role", "text")
-    kept = stored(dealt.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("at")))
-    part = F.shiftright("at", 33).alias("part")
-    sizes = kept.groupBy(part).count()  # one row per partition
-    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = F.broadcast(sizes.select("part", F.coalesce(before, F.lit(0)).alias("before")))
-    inside = F.col("at") - F.shiftleft("part", 33)
-    placed = kept.withColumn("part", part).join(firsts, "part")
-    return placed.select("conv_id", "turn", "role", "text", (inside + F.col("before")).alias("pos"))
+    return numbered(dealt.select("conv_id", "turn", "role", "text"), "pos")
 
 
 def faults(rows: DataFrame) -> DataFrame:
@@ -403,7 +396,9 @@ class Repaired:
         return texts.where("alone").select("conv_id", F.sha2("text", 256).alias("sha256")).unionAll(several)
 
 
-def repair(rows: DataFrame, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> Repaired:
+def repair(
+    rows: DataFrame, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
+) -> Repaired:
     """Cheapest repair of every conversation of ``rows``.
 
     Rows are taken by turn, nulls first; those of one turn in the order of a hash of role
