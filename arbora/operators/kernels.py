@@ -210,46 +210,44 @@ def merge_steps(a, size_a, b, size_b, step, base: int):
     return first, second, total
 
 
-def outgoing(left, right) -> dict[str, np.ndarray]:
-    """Lightest edge of a tile leaving each component, by ``(weight, left, right)``."""
-    names, at = np.unique(
-        np.concatenate([left.extra["component"], right.extra["component"]]), return_inverse=True
-    )
-    mine, other = at[: len(left)], at[len(left) :]
-    weight = np.full(len(names), np.inf)
-    low, high = np.full(len(names), NO_PARENT), np.full(len(names), NO_PARENT)
-    to = np.zeros(len(names), dtype=np.int64)
-
-    def offer(c, w, a, b, target):
-        a, b = min(a, b), max(a, b)
-        if (w, a, b) < (weight[c], low[c], high[c]):
-            weight[c], low[c], high[c], to[c] = w, a, b, target
-
-    # Lightest edge of each right point towards any left point outside its component.
-    back_w, back_id = np.full(len(right), np.inf), np.full(len(right), NO_PARENT)
-    back_c = np.zeros(len(right), dtype=np.int64)
+def distance_table(left, right) -> np.ndarray:
+    """All distances of a tile; the bound on blocks keeps it at some tens of MB."""
+    table = np.empty((len(left), len(right)))
     for i, row in enumerate(left.distance_rows(right)):
-        out = np.where(other == mine[i], np.inf, row)
-        w = out.min(initial=np.inf)
-        if np.isfinite(w):
-            for j in np.flatnonzero(out == w):
-                offer(mine[i], w, left.ids[i], right.ids[j], names[other[j]])
-        better = out < back_w
-        tied = np.flatnonzero((out == back_w) & np.isfinite(out))
-        if tied.size:
-            me = np.full(tied.size, left.ids[i])
-            better[tied] = before(me, right.ids[tied], back_id[tied], right.ids[tied])
-        back_w[better], back_id[better], back_c[better] = out[better], left.ids[i], mine[i]
-    for j in np.flatnonzero(np.isfinite(back_w)):
-        offer(other[j], back_w[j], back_id[j], right.ids[j], names[back_c[j]])
-    seen = np.flatnonzero(np.isfinite(weight))
-    return {
-        "node": names[seen],
-        "to": to[seen],
-        "left": low[seen],
-        "right": high[seen],
-        "weight": weight[seen],
-    }
+        table[i] = row
+    return table
+
+
+def outgoing(left, right=None) -> dict[str, np.ndarray]:
+    """Lightest edge of a tile leaving each component, by ``(weight, left, right)``."""
+    sides = [left] if right is None else [left, right]
+    other = sides[-1]
+    mine, theirs = left.extra["component"], other.extra["component"]
+    table = distance_table(left, other)
+    table[mine[:, None] == theirs[None, :]] = np.inf
+    found = []
+    for t, side, far in ((table, left, other), (table.T, other, left))[: len(sides)]:
+        if not t.size:
+            continue
+        # Columns are in id order, so of equal weights the first is the least edge.
+        k = t.argmin(axis=1)
+        weight = t[np.arange(len(side)), k]
+        out = np.flatnonzero(np.isfinite(weight))
+        a, b = side.ids[out], far.ids[k[out]]
+        found.append((side.extra["component"][out], far.extra["component"][k[out]],
+                      np.minimum(a, b), np.maximum(a, b), weight[out]))
+    names = ("node", "to", "left", "right", "weight")
+    if not found:
+        return {name: np.empty(0, dtype="f8" if name == "weight" else "i8") for name in names}
+    return lightest_per_node(dict(zip(names, (np.concatenate(c) for c in zip(*found)))))
+
+
+def lightest_per_node(edges) -> dict[str, np.ndarray]:
+    """The first row of each ``node`` by ``(weight, left, right)``."""
+    order = np.lexsort((edges["right"], edges["left"], edges["weight"], edges["node"]))
+    node = edges["node"][order]
+    first = order[np.flatnonzero(np.diff(node, prepend=node[:1] - 1))]
+    return {name: column[first] for name, column in edges.items()}
 
 
 def sparse_distance_rows(x, y):
@@ -302,8 +300,8 @@ def silhouette_sums(left, right) -> dict[str, np.ndarray]:
     Extra columns: ``label``, ``copies`` (points folded into a row) and ``size`` of the
     cluster. Per point there is one row for its own cluster, with ``best`` the smallest
     mean distance to a cluster that lies wholly in the other block, and one row for
-    each other cluster that lies only partly in it. Blocks hold runs of clusters, so at
-    most two of those exist.
+    each other cluster that lies only partly in it, with ``inside``, the points of it that
+    were measured. Blocks hold runs of clusters, so at most two of those exist.
     """
     sides = [left] if right is None else [left, right]
     data = []
@@ -342,6 +340,7 @@ def _silhouette_rows(side, sums: np.ndarray, clusters) -> dict[str, np.ndarray]:
         "total": [np.where(mine, sums, 0.0).sum(axis=1)],
         "best": [means.min(axis=1)],
         "copies": [side.extra["copies"]],
+        "inside": [np.zeros(len(side), dtype=np.int64)],
     }
     for k in np.flatnonzero(~whole):
         rest = ~mine[:, k]
@@ -353,9 +352,71 @@ def _silhouette_rows(side, sums: np.ndarray, clusters) -> dict[str, np.ndarray]:
         found["total"].append(sums[rest, k])
         found["best"].append(np.full(n, np.inf))
         found["copies"].append(np.zeros(n, dtype=np.int64))
+        found["inside"].append(np.full(n, inside[k], dtype=np.int64))
     return {name: np.concatenate(parts) for name, parts in found.items()}
 
 
+def united_sums(rows) -> dict[str, np.ndarray]:
+    """Rows of :func:`silhouette_sums` of several tiles, one per point and label."""
+    order = np.lexsort((rows["label"], rows["id"]))
+    id, label = rows["id"][order], rows["label"][order]
+    start = np.flatnonzero((np.diff(id, prepend=id[:1] - 1) != 0) | (np.diff(label, prepend=label[:1] - 1) != 0))
+    fold = {"total": np.add, "inside": np.add, "best": np.minimum}
+    return {
+        name: fold.get(name, np.maximum).reduceat(column[order], start) if len(start) else column
+        for name, column in rows.items()
+    }
+
+
+def centre_squares(clusters, points):
+    """Yield, for each of ``points``, its mean squared distance to the points of each cluster.
+
+    A cluster is its centre with ``spread``, the mean squared distance to it.
+    """
+    for row in points.distance_rows(clusters):
+        yield row * row + clusters.extra["spread"]
+
+
+def squared_scores(clusters, points) -> dict[str, np.ndarray]:
+    """Mean squared distance of each point to the others of its cluster (-1: not in the tile)
+    and the least one to another cluster."""
+    own, best = np.full(len(points), -1.0), np.full(len(points), np.inf)
+    at = np.searchsorted(clusters.ids, points.extra["label"])
+    here = at < len(clusters)
+    here[here] = clusters.ids[at[here]] == points.extra["label"][here]
+    for i, row in enumerate(centre_squares(clusters, points)):
+        if here[i]:
+            size = clusters.extra["size"][at[i]]
+            own[i] = row[at[i]] * size / max(size - 1, 1)
+            row[at[i]] = np.inf
+        best[i] = row.min(initial=np.inf)
+    return {"id": points.ids, "own": own, "best": best, "size": points.extra["size"]}
+
+
+def best_scores(rows) -> dict[str, np.ndarray]:
+    """Rows of :func:`squared_scores` of several tiles, one per point."""
+    order = np.argsort(rows["id"], kind="stable")
+    start = np.flatnonzero(np.diff(rows["id"][order], prepend=rows["id"][order][:1] - 1))
+    fold = {"best": np.minimum}
+    return {
+        name: fold.get(name, np.maximum).reduceat(column[order], start) if len(start) else column
+        for name, column in rows.items()
+    }
+
+
+def open_clusters(clusters, points, slack: float) -> dict[str, np.ndarray]:
+    """``(block, label)``: clusters that may be the nearest of some point of a block.
+
+    No mean distance to a cluster is below the distance to its centre, and the nearest
+    one's isn't above ``bound`` of the point.
+    """
+    near = np.zeros(len(clusters), dtype=bool)
+    for i, row in enumerate(points.distance_rows(clusters)):
+        near |= row * slack <= points.extra["bound"][i]
+    label = clusters.ids[near]
+    return {"block": np.full(len(label), points.extra["place"][0]), "label": label}
+
+
 # Linkage methods (fixed names): how distances of points combine to one of clusters.
 METHODS = ("single", "complete", "average", "weighted", "ward")
 
@@ -413,7 +474,7 @@ def linkage_tile(method: str, every: bool, left, right) -> dict[str, np.ndarray]
     """Candidate merges of a tile.
 
     ``node`` and ``to`` are cluster names. For two clusters that lie wholly in the tile
-    the linkage is final, and only each cluster's best one is kept (``whole``); with
+    the linkage is final, and only each cluster's best one is kept (``settled``); with
     ``every`` all are. A cluster spread over blocks gives partial linkages.
     """
     same = right is None
@@ -437,7 +498,7 @@ def linkage_tile(method: str, every: bool, left, right) -> dict[str, np.ndarray]
     else:
         ranked = np.where(final, steady(value), np.inf)
         for by_row in (True, False) if not same else (True,):
-            out.append(_best_of(ranked if by_row else ranked.T, names_a, names_b, by_row))
+            out.append(_best_of(ranked, value, by_row))
     partial = apart & ~(whole_a[:, None] & whole_b[None, :])
     if same:
         partial &= names_a[:, None] < names_b[None, :]
@@ -456,28 +517,38 @@ def linkage_tile(method: str, every: bool, left, right) -> dict[str, np.ndarray]
         "node": first[0], "node_size": first[1], "node_spread": first[2],
         "to": second[0], "to_size": second[1], "to_spread": second[2],
         "value": np.concatenate([o[2] for o in out]),
-        "whole": np.concatenate([np.full(len(o[0]), o[3]) for o in out]),
+        "settled": np.concatenate([np.full(len(o[0]), o[3]) for o in out]),
     }
 
 
-def _best_of(ranked, names_a, names_b, by_row: bool):
-    mine, theirs = (names_a, names_b) if by_row else (names_b, names_a)
-    low = ranked.min(axis=1, initial=np.inf)
-    tied = (ranked == low[:, None]) & np.isfinite(ranked)
+def _best_of(ranked, value, by_row: bool):
+    table = ranked if by_row else ranked.T
+    low = table.min(axis=1, initial=np.inf)
+    tied = (table == low[:, None]) & np.isfinite(table)
     # Among equal values the pair with the smallest (lower name, higher name) wins.
     # Names ascend, so for one cluster that is simply the smallest other name.
     has = np.flatnonzero(tied.any(axis=1))
     pick = tied[has].argmax(axis=1)
     if by_row:
-        return has, pick, ranked[has, pick], True, False
-    return pick, has, ranked[has, pick], True, True
+        return has, pick, value[has, pick], True, False
+    return pick, has, value[pick, has], True, True
+
+
+def best_candidates(rows) -> dict[str, np.ndarray]:
+    """The best settled candidate of each ``node`` of several tiles, and all partial ones."""
+    settled = np.flatnonzero(rows["settled"])
+    node = rows["node"][settled]
+    order = np.lexsort((rows["to"][settled], steady(rows["value"][settled]), node))
+    first = order[np.flatnonzero(np.diff(node[order], prepend=node[order][:1] - 1))]
+    keep = np.concatenate([settled[first], np.flatnonzero(~rows["settled"])])
+    return {name: column[keep] for name, column in rows.items()}
 
 
 def merge_matrix(method: str, names, sizes, pairs_a, pairs_b, values):
     """Merge a bounded number of clusters to one, nearest pair first.
 
     Returns per merge: the two names, the height and the size. A merged cluster keeps
-    the smaller name. Linkages are compared by their steady bits, updated in full.
+    the smaller name. Linkages are compared by their steady bits, updated and given in full.
     """
     k = len(names)
     table = np.full((k, k), np.inf)
@@ -509,7 +580,7 @@ def merge_matrix(method: str, names, sizes, pairs_a, pairs_b, values):
         row[i] = np.inf
         table[i], table[:, i] = row, row
         table[j], table[:, j] = np.inf, np.inf
-        merges.append((names[i], names[j], ranked[i, j], int(si + sj)))
+        merges.append((names[i], names[j], height, int(si + sj)))
         row = steady(row)
         ranked[i], ranked[:, i] = row, row
         ranked[j], ranked[:, j] = np.inf, np.inf

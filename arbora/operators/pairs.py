@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.operators import kernels
-from arbora.operators.blocks import subgraph_count
-from arbora.operators.tiles import all_tiles, bounded_blocks, coarse_subgraph, map_tiles, pack
+from arbora.operators.tiles import home_runs, map_pairs, ragged_parts
 
 SUMMARY = "pairs long, shortest double, longest double, total double"
 
@@ -22,31 +21,31 @@ def _kernel(subgraph, left, right):
 
 def pairs_within(blocked: DataFrame, s: int) -> DataFrame:
     """Facts on the pairs inside each block, keyed by its subgraph."""
-    return _folded(blocked, s, lambda subgraph: subgraph >= subgraph_count(s) - s)
+    return _folded(blocked, s, lambda a, b, i, j: a == b, home_runs)
 
 
 def pairs_between(blocked: DataFrame, s: int, low: int | None = None, high: int | None = None) -> DataFrame:
     """Facts on the pairs across blocks, of all block pairs or of ``low`` and ``high``."""
     if low is None:
-        return _folded(blocked, s, lambda subgraph: subgraph < subgraph_count(s) - s)
-    low, high = min(low, high), max(low, high)
-    chosen = blocked.where(F.col("block").isin(low, high))
-    return _folded(chosen, s, lambda subgraph: subgraph == high * (high - 1) // 2 + low)
+        return _folded(blocked, s, lambda a, b, i, j: a != b)
+    ends = {low, high}
+    return _folded(blocked.where(F.col("block").isin(*ends)), s, lambda a, b, i, j: a != b and {a, b} == ends)
 
 
 def complete_graph(blocked: DataFrame, s: int) -> DataFrame:
     """Facts on all pairs, per subgraph."""
-    return _folded(blocked, s, lambda subgraph: F.lit(True))
+    return _folded(blocked, s)
 
 
-def _folded(blocked: DataFrame, s: int, wanted) -> DataFrame:
-    fine, parts = bounded_blocks(blocked, s)
-    tiles = all_tiles(pack(fine), s * parts)
-    subgraph = coarse_subgraph("subgraph", s, parts) if parts > 1 else F.col("subgraph")
-    found = map_tiles(tiles.where(wanted(subgraph)), _kernel, SUMMARY, subgraph_count(s * parts))
-    if parts == 1:
-        return found
-    return _united(found.withColumn("subgraph", subgraph).groupBy("subgraph"))
+def _folded(blocked: DataFrame, s: int, wants=None, reach=None) -> DataFrame:
+    parts = ragged_parts(blocked)
+    found = map_pairs(parts, s, _kernel, SUMMARY, wants, reach and reach(parts)).drop("whole")
+    return per_subgraph(found) if parts.split else found
+
+
+def per_subgraph(found: DataFrame) -> DataFrame:
+    """Facts of parts of subgraphs as those of the subgraphs."""
+    return _united(found.groupBy("subgraph"))
 
 
 def united(summary: DataFrame) -> DataFrame:

@@ -11,19 +11,10 @@ from pyspark.sql import functions as F
 
 from arbora.functions.points import edge_order
 from arbora.operators import kernels
-from arbora.operators.blocks import assign_blocks, regroup, subgraph_count
+from arbora.operators.blocks import assign_blocks, regroup
 from arbora.operators.components import chase, one_group
 from arbora.operators.features import checked_points, with_dense_id
-from arbora.operators.tiles import (
-    Block,
-    all_tiles,
-    block_count,
-    bounded_blocks,
-    coarse_subgraph,
-    fold_all,
-    map_tiles,
-    pack,
-)
+from arbora.operators.tiles import Block, block_count, home_runs, map_pairs, ragged_parts
 from arbora.runtime import LOCAL_EDGES, MAX_ROUNDS, cut, lookup, parallelism
 
 EDGE = "left long, right long, weight double"
@@ -43,19 +34,18 @@ def subgraph_mst(
 
     One grouped map over all subgraphs; ``which`` restricts it to those inside blocks
     ("within") or across ("between"). A subgraph needs both of its blocks: across an
-    empty one there are no edges. Blocks too big for a task are solved in parts, and the
-    trees of the parts are merged per subgraph.
+    empty one there are no edges. Blocks too big for a task are solved in parts, and only
+    the trees of their subgraphs are merged.
     """
-    fine, parts = bounded_blocks(blocked, s, block_points)
-    total = s * parts
-    tiles = all_tiles(pack(fine), total)
-    subgraph = coarse_subgraph("subgraph", s, parts) if parts > 1 else F.col("subgraph")
-    inside = subgraph >= subgraph_count(s) - s
-    tiles = {"all": tiles, "within": tiles.where(inside), "between": tiles.where(~inside)}[which]
-    trees = map_tiles(tiles, tree_kernel, EDGE, subgraph_count(total))
-    if parts == 1:
-        return trees
-    return merge_msts(cut(trees.withColumn("subgraph", subgraph)))
+    parts = ragged_parts(blocked, block_points)
+    wants = {"all": None, "within": lambda a, b, i, j: a == b, "between": lambda a, b, i, j: a != b}[which]
+    reach = home_runs(parts) if which == "within" else None
+    trees = map_pairs(parts, s, tree_kernel, EDGE, wants, reach)
+    if not parts.split:
+        return trees.drop("whole")
+    trees = cut(trees)
+    once, several = trees.where("whole").drop("whole"), trees.where("not whole").drop("whole")
+    return once.unionByName(merge_msts(several))
 
 
 def clique_mst(blocked: DataFrame, s: int) -> DataFrame:
@@ -105,16 +95,18 @@ def sort_edges(edges: DataFrame) -> DataFrame:
 
 
 def edges_by_subgraph(edges: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
-    """One row per subgraph with its edges, lightest first.
+    """``(subgraph, run, edges)``: each subgraph's edges, lightest first, in runs of ``most``.
 
-    A subgraph's tree is linear in its two blocks, so the array is bounded by them. Edges
-    that were merged since may be more: subgraphs with over ``most`` edges are refused.
+    A subgraph's tree is linear in its two blocks and makes one run; edges merged since may
+    be more, and any number of them is cut into runs by one range sort.
     """
-    sizes = edges.groupBy("subgraph").agg(F.count(F.lit(1)).alias("edges"))
-    if (sizes.agg(F.max("edges")).first()[0] or 0) > most:
-        raise ValueError(f"a subgraph has more than {most} edges, too many for one row")
+    placed = cut(with_dense_id(edges, ["subgraph", "weight", "left", "right"], name="__place"))
+    starts = placed.groupBy("subgraph").agg(F.min("__place").alias("__start"))
+    named = starts.withColumnRenamed("subgraph", "__of")
+    rows = lookup(placed, "subgraph", named, "__of", starts.count(), "inner")
+    run = F.floor((F.col("__place") - F.col("__start")) / F.lit(most)).alias("run")
     packed = F.collect_list(F.struct("weight", "left", "right"))
-    return edges.groupBy("subgraph").agg(F.array_sort(packed).alias("edges"))
+    return rows.groupBy("subgraph", run).agg(F.array_sort(packed).alias("edges"))
 
 
 def _forest_of(table: pa.Table) -> pa.Table:
@@ -278,20 +270,18 @@ def non_cycle_edges(edges: DataFrame, rank: str, local_edges: int | None = None)
 def nearest_outside(blocked: DataFrame, s: int) -> DataFrame:
     """Lightest edge leaving each ``component``, over the complete graph of the points.
 
-    ``blocked`` has ``(block, id, coords, component)``. Each tile keeps one edge per
-    component it sees, in one pass over its distances; pairs are never rows.
+    ``blocked`` has ``(block, id, coords, component)``. Each square keeps one edge per
+    component it sees; pairs are never rows.
     """
-    blocked, parts = bounded_blocks(blocked, s)
-    s *= parts
+    extra = {"component": "i8"}
+    parts = ragged_parts(blocked, extra=extra)
 
     def kernel(subgraph: int, left: Block, right: Block | None) -> dict:
-        return kernels.outgoing(left, left if right is None else right)
+        return kernels.outgoing(left, right)
 
     best = F.min(F.struct("weight", "left", "right", "to")).alias("e")
-    found = fold_all(
-        blocked, s, kernel, "node long, to long, left long, right long, weight double",
-        {"component": "i8"},
-    )
+    schema = "node long, to long, left long, right long, weight double"
+    found = map_pairs(parts, s, kernel, schema, fold=kernels.lightest_per_node, extra=extra)
     return found.groupBy("node").agg(best).select("node", "e.to", "e.left", "e.right", "e.weight")
 
 

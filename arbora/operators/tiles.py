@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.operators import kernels
 from arbora.operators.blocks import pair_subgraph, subgraph_count
-from arbora.runtime import parallelism
+from arbora.runtime import cut, lookup, parallelism
 
 # Most points in a block, and most bytes of coordinates.
 BLOCK_POINTS = 2048
@@ -49,8 +49,11 @@ class Block:
             return kernels.distance_rows(self.coords, other.coords)
         return kernels.sparse_distance_rows(self.sparse, other.sparse)
 
-# Squares that one task solves at most on average.
+# Squares that one task solves at most on average, most parts on each side of a square, and
+# bytes of coordinates in it.
 SQUARES_PER_TASK = 64
+SQUARE = 8
+SQUARE_BYTES = 256 << 20
 
 
 def block_cap(dim: int, most: int | None = None) -> int:
@@ -107,12 +110,6 @@ def pack(blocked: DataFrame, extra: Mapping[str, str] | None = None) -> DataFram
     return columns.groupBy("block").applyInArrow(encode, schema)
 
 
-def all_tiles(packed: DataFrame, s: int) -> DataFrame:
-    """Copy each packed block to the ``s`` tiles it takes part in."""
-    copies = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
-    return _as_tiles(copies, pair_subgraph(F.col("block"), F.col("other"), s))
-
-
 def own_tiles(packed: DataFrame) -> DataFrame:
     """Only the tile of each block with itself, numbered by the block."""
     copies = packed.withColumn("other", F.col("block"))
@@ -235,42 +232,153 @@ def map_squares(
     )
 
 
-def bounded_blocks(blocked: DataFrame, s: int, most: int | None = None) -> tuple[DataFrame, int]:
-    """Split blocks that are too big for a task into parts.
+@dataclass
+class Parts:
+    """Packed blocks, a hot one in as many parts as it needs.
 
-    Returns points with ``block`` replaced by ``block * parts + part``, and ``parts``,
-    which is 1 when the largest of the ``s`` blocks is small enough.
+    ``packed`` has a row per part: ``block``, its number in 0..count-1, ``home``, the block
+    it belongs to, and ``first`` and ``last``, the numbers of the home's parts. ``side`` is
+    the number of parts on each side of a square.
     """
-    sizes = blocked.groupBy("block").agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.size("coords")).alias("dim")
-    )
-    row = sizes.agg(F.max("rows").alias("rows"), F.max("dim").alias("dim")).first()
-    parts = math.ceil((row["rows"] or 1) / block_cap(row["dim"] or 1, most))
-    if parts == 1:
-        return blocked, 1
-    part = F.pmod(F.xxhash64("id", F.lit(s)), F.lit(parts))
-    return blocked.withColumn("block", (F.col("block") * parts + part).cast("int")), parts
-
-
-def coarse_subgraph(fine: str, s: int, parts: int) -> Column:
-    """Subgraph of ``s`` blocks that a subgraph of ``s * parts`` block parts belongs to."""
-    number, pairs = F.col(fine), (s * parts) * (s * parts - 1) // 2
-    guess = F.shiftright(F.floor(F.sqrt((number * 8 + 1).cast("double"))).cast("bigint") + 1, 1)
-    guess = F.when(F.shiftright(guess * (guess - 1), 1) > number, guess - 1).otherwise(guess)
-    high = F.when(number < pairs, guess).otherwise(number - pairs)
-    low = F.when(number < pairs, number - F.shiftright(guess * (guess - 1), 1)).otherwise(
-        number - pairs
-    )
-    return pair_subgraph(F.floor(low / parts), F.floor(high / parts), s)
+
+    packed: DataFrame
+    count: int
+    side: int
+    split: bool
+
+    @property
+    def squares(self) -> int:
+        """Squares on each side of the whole plan."""
+        return max(1, -(-self.count // self.side))
+
+
+def square_side(count: int, dim: int, cores: int, most: int | None = None) -> int:
+    """Parts per side of a square: some tasks per core, and a bounded number of bytes."""
+    fits = SQUARE_BYTES // (16 * max(dim, 1) * block_cap(dim, most))
+    return max(1, min(SQUARE, fits, math.isqrt(subgraph_count(max(count, 1)) // (4 * cores))))
+
+
+def ragged_parts(blocked: DataFrame, most: int | None = None, extra: Mapping[str, str] | None = None) -> Parts:
+    """Pack the blocks of ``blocked``; only those too big for a task are split.
+
+    Parts are numbered by a running sum over the blocks, of which there is one narrow row
+    each, so a hot block adds its own parts and no others. Block numbers may have gaps.
+    """
+    spark = blocked.sparkSession
+    width = F.max(F.size("coords")) if "coords" in blocked.columns else F.lit(1)
+    sizes = cut(blocked.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), width.alias("dim")))
+    dim = sizes.agg(F.max("dim")).first()[0] or 1
+    need = F.ceil(F.col("rows") / F.lit(block_cap(dim, most))).cast("int")
+    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    index = sizes.select(F.col("block").alias("home"), need.alias("need"), F.sum(need).over(upto).cast("int").alias("end"))
+    index = cut(index.select("home", "need", (F.col("end") - F.col("need")).alias("first"), (F.col("end") - 1).alias("last")))
+    facts = index.agg(F.count(F.lit(1)).alias("homes"), F.sum("need").alias("parts"), F.max("need").alias("most")).first()
+    count, split = facts["parts"] or 0, (facts["most"] or 1) > 1
+    starts = index.select(F.col("home").alias("of"), "need", "first")
+    placed = lookup(blocked, "block", starts, "of", facts["homes"], "inner")
+    part = F.col("first") + F.pmod(F.xxhash64("id", F.lit(facts["homes"])), F.col("need")).cast("int")
+    packed = pack(placed.withColumn("block", part).drop("first", "need"), extra)
+    homes = index.select(F.explode(F.sequence("first", "last")).alias("part"), "home", "first", "last")
+    packed = lookup(packed, "block", homes, "part", count, "inner")
+    return Parts(packed, count, square_side(count, dim, parallelism(spark), most), split)
+
+
+def equal_parts(blocked: DataFrame, s: int, dim: int, extra: Mapping[str, str] | None = None) -> Parts:
+    """Pack ``s`` blocks that are bounded already."""
+    block = F.col("block")
+    packed = pack(blocked, extra).select("*", block.alias("home"), block.alias("first"), block.alias("last"))
+    return Parts(packed, s, square_side(s, dim, parallelism(blocked.sparkSession)), False)
+
+
+def deliver(parts: Parts, reach: tuple[Column, Column] | None = None) -> DataFrame:
+    """Copy each part to the squares it takes part in: one for each run of ``side`` parts
+    that it meets, so ``side`` times fewer than its pairs.
+
+    ``reach`` gives the first and last run of parts that a part meets; all, unless told.
+    """
+    n = parts.squares
+    own = F.floor(F.col("block") / F.lit(parts.side)).cast("int")
+    first, last = reach or (F.lit(0), F.lit(n - 1))
+    copies = parts.packed.drop("lo", "hi").withColumn("own", own)
+    copies = copies.withColumn("run", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    low, high = F.least("own", "run"), F.greatest("own", "run")
+    return copies.select(
+        pair_subgraph(low, high, n).alias("square"), low.alias("low"), high.alias("high"),
+        *[c for c in copies.columns if c not in ("own", "run")],
+    )
+
+
+def home_runs(parts: Parts) -> tuple[Column, Column]:
+    """Reach of a part that only meets parts of its own home."""
+    side = F.lit(parts.side)
+    return F.floor(F.col("first") / side), F.floor(F.col("last") / side)
 
 
-def fold_all(
-    blocked: DataFrame,
+def leading(parts: Parts, active: int, only_others: bool = False) -> dict:
+    """How :func:`map_pairs` takes the pairs with at least one of the first ``active`` parts;
+    with ``only_others``, those with exactly one."""
+    runs, last = -(-active // parts.side), parts.squares - 1
+    own = F.floor(F.col("block") / F.lit(parts.side))
+    reach = F.lit(0), F.when(own < runs, last).otherwise(runs - 1)
+    if only_others:
+        return {"wants": lambda a, b, low, high: low < active <= high, "reach": reach}
+    return {"wants": lambda a, b, low, high: low < active, "reach": reach}
+
+
+def map_pairs(
+    parts: Parts,
     s: int,
-    kernel,
+    kernel: Callable[[int, Block, Block | None], Mapping[str, np.ndarray]],
     schema: str,
+    wants: Callable[[int, int, int, int], bool] | None = None,
+    reach: tuple[Column, Column] | None = None,
+    fold: Callable[[Mapping[str, np.ndarray]], Mapping[str, np.ndarray]] | None = None,
     extra: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Pack, deliver to all tiles of ``s`` blocks and fold each tile."""
-    tiles = all_tiles(pack(blocked, extra), s)
-    return map_tiles(tiles, kernel, schema, subgraph_count(s), extra)
+    """``(subgraph, whole, ...)``: run ``kernel(subgraph, left, right)`` on all pairs of parts.
+
+    Subgraphs are those of ``s`` blocks. ``right`` is None for a part with itself. ``whole``
+    tells that both blocks lie in one part, so that no other row is about the subgraph.
+    ``wants(home, other home, part, other part)`` chooses pairs, lower part first. ``fold``
+    reduces what a square has found before it leaves the task.
+    """
+    extra = dict(extra or {})
+    output = _arrow_schema("subgraph long, whole boolean, " + schema)
+    names = output.names
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rows = {name: table[name].to_pylist() for name in ("block", "home", "first", "last")}
+        order = np.argsort(rows["block"])
+        blocks = [_decode(table, int(i), extra) for i in order]
+        number, home, first, last = ([column[i] for i in order] for column in rows.values())
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        run_of = [b // side for b in number]
+        parts_of = {r: [i for i, x in enumerate(run_of) if x == r] for r in (low, high)}
+        found = []
+        for i in parts_of[low]:
+            for j in parts_of[high]:
+                if j < i or (wants is not None and not wants(home[i], home[j], number[i], number[j])):
+                    continue
+                a, b = min(home[i], home[j]), max(home[i], home[j])
+                subgraph = s * (s - 1) // 2 + a if a == b else b * (b - 1) // 2 + a
+                got = kernel(subgraph, blocks[i], None if i == j else blocks[j])
+                size = len(next(iter(got.values())))
+                whole = first[i] == last[i] and first[j] == last[j]
+                found.append({"subgraph": np.full(size, subgraph), "whole": np.full(size, whole), **got})
+        if not found:
+            return output.empty_table()
+        columns = {name: np.concatenate([f[name] for f in found]) for name in names}
+        columns = columns if fold is None else fold(columns)
+        return pa.table({f.name: pa.array(columns[f.name], f.type) for f in output})
+
+    side, squares = parts.side, subgraph_count(parts.squares)
+    # Squares are numbered without gaps, so plain remainders deal them out evenly.
+    tasks = max(1, min(squares, 4 * parallelism(parts.packed.sparkSession)), squares // SQUARES_PER_TASK)
+    return (
+        deliver(parts, reach)
+        .withColumn("slot", F.pmod("square", F.lit(tasks)).cast("int"))
+        .repartitionById(tasks, F.col("slot"))
+        .groupBy("slot", "square")
+        .applyInArrow(run, "subgraph long, whole boolean, " + schema)
+    )

@@ -216,7 +216,7 @@ FLAG_COMPONENTS = with_(
 
 
 def merged(method: str) -> str:
-    return with_(all_pairs(EMB), greedy("p", method)) + MERGES.replace("6", "5")
+    return with_(all_pairs(EMB), greedy("p", method)) + MERGES
 
 
 def row_silhouette(*clusters: str) -> str:
@@ -349,6 +349,7 @@ g(step, a, b, d, na, nb, md) AS (
 h AS (SELECT any_value(md) AS h FROM g WHERE step > 0 GROUP BY step UNION ALL SELECT unnest(repeat([0.0], (k - 1)::INT)) FROM pts)
 SELECT round(h, 6) AS height, count(*) AS steps, true AS same FROM h GROUP BY 1""",
     "h5_adjacency_linkage": ROW_MERGES,
+    "h5_adjacency_linkage_rounds": ROW_MERGES,
     "h6_dendrogram_layout": LINKAGE.rstrip() + """,
 whole AS MATERIALIZED (SELECT id AS node, 1 AS size, 0.0::DOUBLE AS height FROM pts UNION ALL SELECT n + step, sizes.size, height FROM link JOIN sizes USING (step), size),
 kids AS MATERIALIZED (SELECT n + step AS node, child_a, child_b, whole.size AS skip FROM link JOIN whole ON whole.node = child_a, size),

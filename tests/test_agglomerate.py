@@ -93,6 +93,35 @@ def test_row_tree_of_a_hub_in_parts(spark, monkeypatch):
 def test_ties_do_not_depend_on_limits(points, method):
     grid = [[float(i), float(j)] for i in range(5) for j in range(5)] + [[2.0, 2.0], [2.0, 2.0], [0.0, 4.0]]
     n = len(grid)
-    once = rows(agglomerate(points(grid), n, method))
+    once = table(agglomerate(points(grid), n, method))
     for final, block in ((6, None), (12, 8)):
-        assert rows(agglomerate(points(grid), n, method, final_clusters=final, block_points=block)) == once
+        assert table(agglomerate(points(grid), n, method, final_clusters=final, block_points=block)) == once
+
+
+def test_only_clusters_without_a_nearest_one_search_again(points):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(c, 0.2, size=(k, 2)) for c, k in ((0, 30), (9, 12), (30, 18))])
+    report = []
+    got = agglomerate(points(x), 60, final_clusters=18, block_points=16, report=report)
+    assert table(got) == greedy(all_distances(x), "average")
+    searched = report[:-1]  # the last entry is the final task
+    assert searched[0]["pairs"] == 60 * 59 // 2
+    assert all(r["searching"] < 60 and r["pairs"] < 60 * 59 // 2 for r in searched[1:])
+
+
+def test_heights_are_given_in_full():
+    x = np.random.default_rng(3).normal(size=(12, 5))
+    d = all_distances(x)
+    a, b = np.triu_indices(12, 1)
+    merges = kernels.merge_matrix("average", np.arange(12), np.ones(12), a, b, d[a, b])
+    assert merges[0][2] == d[a, b].min()
+
+
+def test_rounds_on_adjacency_rows(points):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 3))
+    tree = mst(points(x))
+    want = greedy(all_distances(matrix(rows(tree), 30)), "average")
+    report = []
+    got = adjacency.adjacency_linkage(points(x), tree, 30, "average", final_clusters=15, block_points=9, report=report)
+    assert table(got) == want and len(report) > 1

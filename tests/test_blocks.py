@@ -44,6 +44,36 @@ def test_pair_facts_do_not_depend_on_how_blocks_are_split(points, monkeypatch):
     assert [r[0] for r in rows(pairs.pairs_within(blocked, 2))] == [1, 2]
 
 
+def hot_block(points, small):
+    """One block of 300 points among ``small`` blocks of two."""
+    coords = [[i * 7 % 31, i * 5 % 37] for i in range(300 + 2 * small)]
+    block = F.when(F.col("id") < 300, 0).otherwise(1 + F.floor((F.col("id") - 300) / 2)).cast("int")
+    return points(coords).withColumn("block", block)
+
+
+def test_only_hot_blocks_are_split(points, monkeypatch):
+    monkeypatch.setattr(tiles, "BLOCK_POINTS", 32)
+    parts = tiles.ragged_parts(hot_block(points, 1000))
+    assert parts.split and parts.count == 1000 + 10
+    homes = parts.packed.groupBy("home").count().where("count > 1").collect()
+    assert [tuple(r) for r in homes] == [(0, 10)]
+    # A part is copied once per run of parts that it meets, not once per part.
+    assert parts.side == tiles.SQUARE
+    assert tiles.deliver(parts).count() == parts.count * parts.squares < parts.count**2 / 7
+    own = tiles.deliver(parts, tiles.home_runs(parts))
+    assert own.count() == 1000 + 10 * 2
+
+
+def test_a_hot_block_gives_the_same_facts(points, monkeypatch):
+    blocked, s = hot_block(points, 20), 21
+    plain = [rows(f(blocked, s)) for f in (pairs.pairs_within, pairs.pairs_between)]
+    monkeypatch.setattr(tiles, "BLOCK_POINTS", 32)
+    split = [rows(f(blocked, s)) for f in (pairs.pairs_within, pairs.pairs_between)]
+    for one, other in zip(plain, split):
+        assert [(*r[:4], round(r[4], 6)) for r in one] == [(*r[:4], round(r[4], 6)) for r in other]
+    assert [len(found) for found in plain] == [21, 210]
+
+
 def test_blocks_are_bounded_and_keep_all_cores_busy():
     assert tiles.block_count(10, 2, 8) == 1
     assert tiles.block_count(2_000, 64, 8) == 6

@@ -141,11 +141,15 @@ def test_large_ranks_are_not_rounded(spark):
         assert rows(spanning.non_cycle_edges(edges, "place", limit)) == [(0, 1, big), (1, 2, big)]
 
 
-def test_large_subgraphs_are_not_packed_into_a_row(spark):
-    edges = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 2, 1.0)], "subgraph long, left long, right long, weight double")
-    assert spanning.edges_by_subgraph(edges).count() == 1
-    with pytest.raises(ValueError):
-        spanning.edges_by_subgraph(edges, 1)
+def test_large_subgraphs_come_in_runs(spark):
+    rng = np.random.default_rng(3)
+    made = [(int(g), int(i), int(i) + 1, float(rng.integers(0, 9))) for g in (0, 3) for i in range(7 if g else 40)]
+    edges = spark.createDataFrame(made, "subgraph long, left long, right long, weight double")
+    assert [(r.subgraph, r.run) for r in spanning.edges_by_subgraph(edges).collect()] in ([(0, 0), (3, 0)], [(3, 0), (0, 0)])
+    runs = spanning.edges_by_subgraph(edges, 8).orderBy("subgraph", "run").collect()
+    assert [(r.subgraph, r.run, len(r.edges)) for r in runs] == [(0, k, 8) for k in range(5)] + [(3, 0, 7)]
+    got = [(r.subgraph, e.left, e.right, e.weight) for r in runs for e in r.edges]
+    assert got == sorted(made, key=lambda e: (e[0], e[3], e[1], e[2]))
 
 
 def test_block_sizes_without_delivery(points):
