@@ -11,10 +11,20 @@ from pyspark.sql import functions as F
 
 from arbora.functions.points import edge_order
 from arbora.operators import kernels
-from arbora.operators.blocks import assign_blocks, regroup
+from arbora.operators.blocks import regroup
 from arbora.operators.components import chase, one_group
+from arbora.operators.curve import box_levels, curve_blocks, near_pairs, packed_labels
 from arbora.operators.features import checked_points, with_dense_id
-from arbora.operators.tiles import Block, block_count, home_runs, map_pairs, ragged_parts
+from arbora.operators.tiles import (
+    Block,
+    block_count,
+    home_runs,
+    map_pairs,
+    map_squares,
+    pack,
+    ragged_parts,
+    square_side,
+)
 from arbora.runtime import LOCAL_EDGES, MAX_ROUNDS, cut, lookup, parallelism
 
 EDGE = "left long, right long, weight double"
@@ -285,28 +295,89 @@ def nearest_outside(blocked: DataFrame, s: int) -> DataFrame:
     return found.groupBy("node").agg(best).select("node", "e.to", "e.left", "e.right", "e.weight")
 
 
-def mst_direct(points: DataFrame, blocks: int | None = None) -> DataFrame:
-    """Spanning tree of the complete graph by Boruvka rounds over all distances.
+def mst_direct(points: DataFrame, blocks: int | None = None, report: list[dict] | None = None) -> DataFrame:
+    """Spanning tree of the complete graph by Boruvka rounds over its distances.
 
     Uses neither the subgraph trees nor their merge, so it is the independent check
-    of :func:`arbora.plans.trees.mst`. Quadratic work per round.
+    of :func:`arbora.plans.trees.mst`. Blocks are runs of points along a curve. In each
+    round blocks are first compared with themselves and the next one, which gives every
+    component an edge to leave by, then with the blocks whose boxes are nearer than the
+    longest such edge of the components in either. Blocks of one component don't meet.
+    Where boxes overlap, as in many dimensions, a round is quadratic. ``report`` gets, per
+    round, the ``pairs`` of blocks compared, and ``of`` how many.
     """
     n, dim = checked_points(points)
     spark = points.sparkSession
-    s = blocks or block_count(n, dim, parallelism(spark))
-    state = cut(assign_blocks(points.select("id", "coords"), s).withColumn("component", F.col("id")))
+    points = points.select("id", "coords")
+    if n < 2 or dim == 0:
+        first = F.lit(points.agg(F.min("id")).first()[0]).cast("bigint")
+        rest = points.where(F.col("id") > first)
+        return rest.select(first.alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("weight"))
+    size = -(-n // (blocks or block_count(n, dim, parallelism(spark))))
+    s = -(-n // size)
+    blocked = cut(curve_blocks(points, dim, size))
+    packed = cut(pack(blocked))
+    levels = box_levels(packed.select("block", "lo", "hi"), s)
+    labelled = cut(blocked.select("id", "block", F.col("id").alias("component")))
+    side = square_side(s, dim, parallelism(spark))
+    every = spark.range(s).select(F.col("id").cast("int").alias("a"))
+    ends = F.array(F.col("a"), F.least(F.col("a") + 1, F.lit(s - 1)))
+    first_pairs = cut(_in_squares(every.select("a", F.explode(ends).alias("b")).distinct(), side))
     chosen, parts = [spark.createDataFrame([], EDGE)], n
     for _ in range(MAX_ROUNDS):
         if parts <= 1:
             # Two components may have chosen the same edge.
             return reduce(DataFrame.unionAll, chosen).distinct()
-        picks = cut(nearest_outside(state, s))
+        labels = packed.join(packed_labels(labelled), "block")
+        seen = cut(_lightest_out(_outgoing(labels, first_pairs)))
+        pairs = cut(_open_pairs(levels, labelled, seen, parts, first_pairs, side))
+        if report is not None:
+            report.append({"pairs": first_pairs.count() + pairs.count(), "of": s * (s + 1) // 2})
+        picks = cut(_lightest_out(seen.unionByName(_outgoing(labels, pairs))))
         chosen.append(picks.select("left", "right", "weight"))
         roots = chase(merge_parents(picks, parts), parts)
-        state = cut(
-            lookup(state, "component", roots, "node", parts).select(
-                "block", "id", "coords", F.coalesce("parent", "component").alias("component")
-            )
-        )
+        moved = lookup(labelled, "component", roots, "node", parts)
+        labelled = cut(moved.select("id", "block", F.coalesce("parent", "component").alias("component")))
         parts = roots.where("node = parent").count()
     raise RuntimeError(f"the spanning tree did not settle in {MAX_ROUNDS} rounds")
+
+
+def _in_squares(pairs: DataFrame, side: int) -> DataFrame:
+    """``(square, low, high)`` of block pairs ``(a, b)``."""
+    low, high = F.least("a", "b").cast("int"), F.greatest("a", "b").cast("int")
+    square = F.shiftleft(F.floor(low / side), 32).bitwiseOR(F.floor(high / side)).alias("square")
+    return pairs.select(square, low.alias("low"), high.alias("high"))
+
+
+def _outgoing(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per square, the lightest edge that leaves each component between the listed blocks."""
+
+    def kernel(listed):
+        found = [kernels.outgoing(a, None if a is b else b) for a, b in listed]
+        return kernels.lightest_per_node({name: np.concatenate([f[name] for f in found]) for name in found[0]})
+
+    squares = pairs.select("square").distinct().count()
+    schema = "node long, to long, left long, right long, weight double"
+    return map_squares(packed, pairs, kernel, schema, squares, {"component": "i8"})
+
+
+def _lightest_out(found: DataFrame) -> DataFrame:
+    best = F.min(F.struct("weight", "left", "right", "to")).alias("e")
+    return found.groupBy("node").agg(best).select("node", "e.to", "e.left", "e.right", "e.weight")
+
+
+def _open_pairs(
+    levels: list[DataFrame], labelled: DataFrame, seen: DataFrame, parts: int, done: DataFrame, side: int
+) -> DataFrame:
+    """Block pairs that may hold a lighter edge than those ``seen``, without those ``done``."""
+    lightest = seen.select(F.col("node").alias("of"), "weight")
+    members = labelled.select("block", "component").distinct()
+    known = lookup(members, "component", lightest, "of", parts)
+    limit = F.max(F.coalesce("weight", F.lit(float("inf")))).alias("limit")
+    one = F.when(F.min("component") == F.max("component"), F.min("component")).alias("home")
+    facts = cut(known.groupBy(F.col("block").alias("number")).agg(limit, one))
+    near = near_pairs(levels, facts.select("number", "limit"))
+    homes = [facts.select(F.col("number").alias(x), F.col("home").alias(f"home_{x}")) for x in "ab"]
+    near = near.join(homes[0], "a").join(homes[1], "b")
+    near = near.where(~F.coalesce(F.col("home_a") == F.col("home_b"), F.lit(False)))
+    return _in_squares(near.select("a", "b"), side).join(done, ["square", "low", "high"], "left_anti")

@@ -270,9 +270,13 @@ def ragged_parts(blocked: DataFrame, most: int | None = None, extra: Mapping[str
     dim = sizes.agg(F.max("dim")).first()[0] or 1
     need = F.ceil(F.col("rows") / F.lit(block_cap(dim, most))).cast("int")
     upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    index = sizes.select(F.col("block").alias("home"), need.alias("need"), F.sum(need).over(upto).cast("int").alias("end"))
-    index = cut(index.select("home", "need", (F.col("end") - F.col("need")).alias("first"), (F.col("end") - 1).alias("last")))
-    facts = index.agg(F.count(F.lit(1)).alias("homes"), F.sum("need").alias("parts"), F.max("need").alias("most")).first()
+    end = F.sum(need).over(upto).cast("int")
+    index = cut(
+        sizes.select(F.col("block").alias("home"), need.alias("need"), (end - need).alias("first"), (end - 1).alias("last"))
+    )
+    facts = index.agg(
+        F.count(F.lit(1)).alias("homes"), F.sum("need").alias("parts"), F.max("need").alias("most")
+    ).first()
     count, split = facts["parts"] or 0, (facts["most"] or 1) > 1
     starts = index.select(F.col("home").alias("of"), "need", "first")
     placed = lookup(blocked, "block", starts, "of", facts["homes"], "inner")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions.points import box_distance
@@ -13,21 +12,16 @@ from arbora.operators import spanning, tiles
 from arbora.operators.blocks import assign_blocks, subgraph_count
 from arbora.operators.components import edge_components
 from arbora.operators.copies import fold_copies
-from arbora.operators.features import checked_points, with_dense_id
+from arbora.operators.curve import SLACK, box_levels, curve_blocks, packed_labels
+from arbora.operators.features import checked_points
 from arbora.runtime import MAX_ROUNDS, cut, lookup, parallelism
 
-# Neighbours along the curve that share a box on the next level of the hierarchy.
-FAN = 64
 # Tiles per core up to which all block pairs are simply solved.
 WAVES = 16
 # In few dimensions distances are cheap and boxes tight, so finer blocks prune better.
 FEW_DIMENSIONS, FINE_BLOCK = 8, 512
-# Most blocks per side of a square of block pairs that one task solves and merges.
-SQUARE = 8
 # Factor by which the search radius grows from round to round.
 GROWTH = 4.0
-# A box distance is a sum of rounded terms; this much slack keeps it a lower bound.
-SLACK = 1 - 1e-9
 
 
 def mst(
@@ -79,46 +73,6 @@ def _star(copies: DataFrame) -> DataFrame:
     )
 
 
-def curve_key(points: DataFrame, dim: int) -> Column:
-    """Position of a point along a Morton curve over its widest dimensions.
-
-    Only the order of points depends on it, never a result. The statistics are one
-    row per dimension.
-    """
-    stats = (
-        points.select(F.posexplode("coords").alias("axis", "x"))
-        .groupBy("axis")
-        .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-        .orderBy(F.desc("sd"), "axis")
-        .limit(min(dim, 12))
-        .collect()
-    )
-    axes = [r for r in stats if r["sd"] > 0] or stats[:1]
-    bits = min(16, 60 // len(axes))
-    cells = []
-    for r in axes:
-        low, width = r["mean"] - 3 * r["sd"], max(6 * r["sd"], 5e-324)
-        cell = F.floor((F.col("coords")[r["axis"]] - low) / width * (1 << bits))
-        cells.append(F.greatest(F.lit(0), F.least(cell, F.lit((1 << bits) - 1))).cast("bigint"))
-    terms = []
-    for level in range(bits):
-        for i, cell in enumerate(cells):
-            bit = F.shiftright(cell, level).bitwiseAND(F.lit(1).cast("bigint"))
-            terms.append(F.shiftleft(bit, level * len(cells) + i))
-    key = terms[0]
-    for term in terms[1:]:
-        key = key.bitwiseOR(term)
-    return key
-
-
-def curve_blocks(points: DataFrame, dim: int, size: int) -> DataFrame:
-    """Blocks of exactly ``size`` points (the last may be smaller) along the curve."""
-    keyed = points.withColumn("curve", curve_key(points, dim))
-    placed = with_dense_id(keyed, ["curve", "id"], name="position")
-    block = F.floor(F.col("position") / F.lit(size)).cast("int")
-    return placed.select("id", "coords", block.alias("block"))
-
-
 def _grown(
     points: DataFrame, n: int, dim: int, block_points: int | None, local_edges: int | None
 ) -> DataFrame:
@@ -137,7 +91,7 @@ def _grown(
     packed = cut(tiles.pack(blocked))
     own = cut(tiles.map_tiles(tiles.own_tiles(packed), spanning.tree_kernel, spanning.EDGE, s))
     boxes = packed.select("block", "lo", "hi")
-    levels = _box_levels(boxes, s)
+    levels = box_levels(boxes, s)
     tree = own.select("left", "right", "weight")
     strips = dim <= FEW_DIMENSIONS
     done, radius, labelled = -1.0, _first_radius(own, boxes), None
@@ -165,7 +119,7 @@ def _solved(
     """Forests of the listed block pairs, per square."""
     extra = {}
     if radius is not None and labelled is not None:
-        packed, extra = packed.join(_packed_labels(labelled), "block"), {"component": "i8"}
+        packed, extra = packed.join(packed_labels(labelled), "block"), {"component": "i8"}
 
     def kernel(listed):
         return spanning.square_forest(listed, radius, SLACK)
@@ -202,35 +156,6 @@ def _single_components(labelled: DataFrame) -> DataFrame:
     )
 
 
-def _packed_labels(labelled: DataFrame) -> DataFrame:
-    """``(block, component)`` buffers in id order, to go with the packed blocks."""
-
-    def encode(table: pa.Table) -> pa.Table:
-        label = table.sort_by("id")["component"].to_numpy().astype("<i8")
-        return pa.table(
-            {"block": table["block"].slice(0, 1), "component": pa.array([label.tobytes()], pa.binary())}
-        )
-
-    return labelled.groupBy("block").applyInArrow(encode, "block int, component binary")
-
-
-def _box_levels(boxes: DataFrame, s: int, fan: int = FAN) -> list[DataFrame]:
-    """``(number, up, lo, hi)`` per level: the boxes of blocks, of runs of ``fan`` blocks,
-    of ``fan`` such runs and so on, up to a level of at most ``fan``.
-
-    ``up`` is the number of the box above. Bounds are reduced per axis, as rows.
-    """
-    up = F.floor(F.col("number") / fan).cast("int").alias("up")
-    levels = [cut(boxes.withColumnRenamed("block", "number").select("number", up, "lo", "hi"))]
-    while s > fan:
-        s = math.ceil(s / fan)
-        axes = levels[-1].select(F.col("up").alias("number"), F.posexplode(F.arrays_zip("lo", "hi")).alias("axis", "x"))
-        bounds = axes.groupBy("number", "axis").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
-        whole = bounds.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("axis", "lo", "hi"))).alias("x"))
-        levels.append(cut(whole.select("number", up, F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))))
-    return levels
-
-
 def _pairs_within(
     levels: list[DataFrame], homes: DataFrame | None, s: int, done: float, radius: float
 ) -> DataFrame:
@@ -245,7 +170,7 @@ def _pairs_within(
     """
     spark = levels[0].sparkSession
     # Squares as big as leaves a few tasks per core.
-    side = max(1, min(SQUARE, math.isqrt(subgraph_count(s) // (4 * parallelism(spark)))))
+    side = max(1, min(tiles.SQUARE, math.isqrt(subgraph_count(s) // (4 * parallelism(spark)))))
     near = spark.createDataFrame([(0, 0)], "a int, b int")
     for depth in range(len(levels) - 1, -1, -1):
         table = levels[depth]

@@ -297,6 +297,7 @@ SELECT subgraph, min({'w': w, 'l': l, 'r': r}) AS f, max({'w': w, 'l': l, 'r': r
     "e10_mst_pruned": with_(all_pairs(CUST), forest()) + EDGES,
     "e10_mst_tied": with_(all_pairs(TIED), forest()) + "SELECT l AS left, r AS right, w AS weight FROM mst",
     "e11_mst_direct": MST + EDGES,
+    "e11_mst_direct_pruned": with_(all_pairs(CUST), forest()) + EDGES,
     "e12_mst_of_edges": with_(f"p AS MATERIALIZED ({SUPPLY})", forest()) + EDGES,
     "f1_components": NEAR + "SELECT id, component FROM comp",
     "f1_components_supply": FLAG_COMPONENTS,

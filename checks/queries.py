@@ -429,6 +429,10 @@ def e11(spark, sf):
     return rounded(spanning.mst_direct(emb(spark, sf)))
 
 
+def e11_pruned(spark, sf):
+    return rounded(spanning.mst_direct(cust(spark, sf), blocks=24))
+
+
 def e12(spark, sf):
     return rounded(spanning.mst_of_edges(supply(spark, sf)))
 
@@ -710,6 +714,7 @@ QUERIES = {
     "e10_mst_pruned": e10_pruned,
     "e10_mst_tied": e10_tied,
     "e11_mst_direct": e11,
+    "e11_mst_direct_pruned": e11_pruned,
     "e12_mst_of_edges": e12,
     "e12_mst_of_edges_rounds": e12_rounds,
     "f1_components": f1,

@@ -145,13 +145,24 @@ def test_large_subgraphs_come_in_runs(spark):
     rng = np.random.default_rng(3)
     made = [(int(g), int(i), int(i) + 1, float(rng.integers(0, 9))) for g in (0, 3) for i in range(7 if g else 40)]
     edges = spark.createDataFrame(made, "subgraph long, left long, right long, weight double")
-    assert [(r.subgraph, r.run) for r in spanning.edges_by_subgraph(edges).collect()] in ([(0, 0), (3, 0)], [(3, 0), (0, 0)])
+    assert sorted((r.subgraph, r.run) for r in spanning.edges_by_subgraph(edges).collect()) == [(0, 0), (3, 0)]
     runs = spanning.edges_by_subgraph(edges, 8).orderBy("subgraph", "run").collect()
     assert [(r.subgraph, r.run, len(r.edges)) for r in runs] == [(0, k, 8) for k in range(5)] + [(3, 0, 7)]
     got = [(r.subgraph, e.left, e.right, e.weight) for r in runs for e in r.edges]
     assert got == sorted(made, key=lambda e: (e[0], e[3], e[1], e[2]))
 
 
+def test_boruvka_leaves_far_blocks_out(points):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, 0.3, size=(40, 2)) for c in (0, 8, 20, 50, 90)])
+    x[7] = x[150]
+    report = []
+    got = rows(spanning.mst_direct(points(x), 20, report))
+    want = brute_tree(x, range(200))
+    assert [e[:2] for e in got] == [e[:2] for e in want] and np.allclose([e[2] for e in got], [e[2] for e in want])
+    assert all(r["of"] == 210 and r["pairs"] < 150 for r in report) and report[0]["pairs"] < 120
+
+
 def test_block_sizes_without_delivery(points):
     data = blocks.assign_blocks(points([[float(i)] for i in range(23)]), 4, by="id")
     assert rows(blocks.block_subgraph_sizes(data, 4)) == rows(blocks.subgraph_sizes(blocks.points_by_subgraph(data, 4)))
@@ -170,7 +181,7 @@ def test_pairs_down_the_box_hierarchy(points):
             if a < b and np.sqrt((gap * gap).sum()) <= 0.3:
                 want.append((a, b))
     for fan in (3, 64):
-        levels = trees._box_levels(boxes, 30, fan)
+        levels = trees.box_levels(boxes, 30, fan)
         assert len(levels) == (1 if fan == 64 else 4)
         got = trees._pairs_within(levels, None, 30, -1.0, 0.3)
         assert sorted((r["low"], r["high"]) for r in got.collect()) == sorted(want)
