@@ -70,6 +70,8 @@ def main() -> None:
     timed("f1_components_of_line_items_rounds", lambda: q.f1_rounds(spark, sf))
     timed("h3_linkage_levels", lambda: hierarchy.linkage(tree, n, q.FEW_RANKS))
     timed("h4_average", lambda: agglomerate(points, n, "average"))
+    timed("e11_mst_direct", lambda: spanning.mst_direct(points))
+    timed("i3_silhouette_fast", lambda: silhouette.silhouette_fast(points, q.given_labels(spark, sf)))
     timed("c5_subgraph_sizes", lambda: q.c5(spark, sf))
     print(
         json.dumps(

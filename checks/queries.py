@@ -583,11 +583,11 @@ def h5(spark, sf):
 
 
 def h5_rounds(spark, sf):
+    """Some rounds, then the last task: most rows are nearest to a few short ones, so that later
+    rounds merge only a few pairs each."""
     n = emb(spark, sf).count()
-    table_of_rows = adjacency.adjacency_linkage(
-        emb(spark, sf), tree(spark, sf), n, "average", final_clusters=FEW_CLUSTERS
-    )
-    return rounded(table_of_rows, "height")
+    merges = adjacency.adjacency_linkage(emb(spark, sf), tree(spark, sf), n, "average", final_clusters=n * 7 // 10)
+    return rounded(merges, "height")
 
 
 def h6(spark, sf):
