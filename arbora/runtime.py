@@ -32,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
     local session, where driver and executors are one machine, falls back to a
     temporary folder.
+
+    A checkpoint keeps the size that its plan was estimated to have, and a join is
+    estimated as the product of its sides. In a loop such numbers square in every round,
+    and after ten rounds planning takes longer than the work. So the rows are taken up as
+    a table of unknown size.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -44,7 +49,8 @@ def cut(df: DataFrame) -> DataFrame:
                 )
             folder = tempfile.mkdtemp(prefix="arbora-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(kept.javaRDD(), kept.schema()), spark)
 
 
 def lookup(
