@@ -13,7 +13,14 @@ from arbora.functions.points import edge_order
 from arbora.operators import kernels
 from arbora.operators.blocks import regroup
 from arbora.operators.components import chase, one_group
-from arbora.operators.curve import box_levels, curve_blocks, near_pairs, packed_labels
+from arbora.operators.curve import (
+    FEW_DIMENSIONS,
+    FINE_BLOCK,
+    box_levels,
+    curve_blocks,
+    near_pairs,
+    packed_labels,
+)
 from arbora.operators.features import checked_points, with_dense_id
 from arbora.operators.tiles import (
     Block,
@@ -313,7 +320,8 @@ def mst_direct(points: DataFrame, blocks: int | None = None, report: list[dict]
         first = F.lit(points.agg(F.min("id")).first()[0]).cast("bigint")
         rest = points.where(F.col("id") > first)
         return rest.select(first.alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("weight"))
-    size = -(-n // (blocks or block_count(n, dim, parallelism(spark))))
+    most = FINE_BLOCK if dim <= FEW_DIMENSIONS else None
+    size = -(-n // (blocks or block_count(n, dim, parallelism(spark), most)))
     s = -(-n // size)
     blocked = cut(curve_blocks(points, dim, size))
     packed = cut(pack(blocked))

@@ -12,14 +12,12 @@ from arbora.operators import spanning, tiles
 from arbora.operators.blocks import assign_blocks, subgraph_count
 from arbora.operators.components import edge_components
 from arbora.operators.copies import fold_copies
-from arbora.operators.curve import SLACK, box_levels, curve_blocks, packed_labels
+from arbora.operators.curve import FEW_DIMENSIONS, FINE_BLOCK, SLACK, box_levels, curve_blocks, packed_labels
 from arbora.operators.features import checked_points
 from arbora.runtime import MAX_ROUNDS, cut, lookup, parallelism
 
 # Tiles per core up to which all block pairs are simply solved.
 WAVES = 16
-# In few dimensions distances are cheap and boxes tight, so finer blocks prune better.
-FEW_DIMENSIONS, FINE_BLOCK = 8, 512
 # Factor by which the search radius grows from round to round.
 GROWTH = 4.0
 
