@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from arbora.operators import kernels
+from arbora.operators import kernels, tiles
 from tests.conftest import brute_tree, kruskal
 
 
@@ -72,3 +72,48 @@ def test_sparse_distances_equal_dense_ones():
     got = np.array([r.copy() for r in kernels.sparse_distance_rows(sparse(dense[:5]), sparse(dense))])
     want = np.sqrt(((dense[:5, None] - dense[None]) ** 2).sum(-1))
     assert np.allclose(got, want, atol=1e-7)
+
+
+def tile_kinds():
+    rng = np.random.default_rng(4)
+    sphere = rng.normal(size=(150, 16))
+    yield sphere / np.linalg.norm(sphere, axis=1)[:, None]
+    yield rng.normal(size=(150, 3)) * 0.01 + rng.integers(0, 5, (150, 1)) * 40.0
+    yield rng.integers(0, 3, size=(150, 4)).astype(float)
+    yield sphere[rng.integers(0, 12, 150)]
+    yield sphere * 1e-4 + 1e6
+
+
+def test_screened_trees_are_those_of_the_whole_table(monkeypatch):
+    """Spread, clustered, tied, copied and shifted points; bit for bit."""
+    for x in tile_kinds():
+        ids, found = np.arange(150) * 3, []
+        for least in (1, 1 << 60):
+            monkeypatch.setattr(kernels, "SCREENED", least)
+            trees = (
+                kernels.spanning_tree((ids, x)),
+                kernels.spanning_tree((ids[::2], x[::2]), (ids[1::2], x[1::2])),
+            )
+            found.append([sorted(zip(*(c.tolist() for c in t))) for t in trees])
+        assert found[0] == found[1] and [len(t) for t in found[0]] == [149, 149]
+        monkeypatch.setattr(kernels, "SCREENED", 1)
+        radius = found[0][1][40][2]
+        short = kernels.spanning_tree((ids[::2], x[::2]), (ids[1::2], x[1::2]), radius)
+        assert {e for e in found[0][1] if e[2] <= radius} <= set(zip(*(c.tolist() for c in short)))
+
+
+def test_screened_edges_out_of_components_are_those_of_the_whole_table(monkeypatch):
+    rng = np.random.default_rng(5)
+    for x in tile_kinds():
+        ids = np.arange(150) * 3
+        for component in (ids, rng.integers(0, 9, 150), np.where(rng.random(150) < 0.9, 0, ids)):
+            sides = [
+                tiles.Block(ids[part], np.ascontiguousarray(x[part]), None, {"component": component[part]})
+                for part in (slice(0, 80), slice(80, None))
+            ]
+            got = []
+            for least in (1, 1 << 60):
+                monkeypatch.setattr(kernels, "SCREENED", least)
+                found = [kernels.outgoing(sides[0]), kernels.outgoing(*sides)]
+                got.append([{k: v.tolist() for k, v in f.items()} for f in found])
+            assert got[0] == got[1]

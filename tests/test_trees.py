@@ -185,3 +185,13 @@ def test_pairs_down_the_box_hierarchy(points):
         assert len(levels) == (1 if fan == 64 else 4)
         got = trees._pairs_within(levels, None, 30, -1.0, 0.3)
         assert sorted((r["low"], r["high"]) for r in got.collect()) == sorted(want)
+
+
+def test_few_blocks_asked_for_are_split_to_fit_a_task(points, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 2))
+    monkeypatch.setattr(spanning, "FINE_BLOCK", 10)
+    report = []
+    got = rows(spanning.mst_direct(points(x), 2, report))
+    assert [e[:2] for e in got] == [e[:2] for e in brute_tree(x, range(120))]
+    assert report[0]["of"] == 12 * 13 // 2
