@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.operators import kernels
-from arbora.operators.tiles import home_runs, map_pairs, ragged_parts
+from arbora.operators.tiles import home_runs, map_pairs, ragged_parts, widened
 
 SUMMARY = "pairs long, shortest double, longest double, total double"
 
@@ -38,7 +38,7 @@ def complete_graph(blocked: DataFrame, s: int) -> DataFrame:
 
 
 def _folded(blocked: DataFrame, s: int, wants=None, reach=None) -> DataFrame:
-    parts = ragged_parts(blocked)
+    parts = widened(ragged_parts(blocked))
     found = map_pairs(parts, s, _kernel, SUMMARY, wants, reach and reach(parts)).drop("whole")
     return per_subgraph(found) if parts.split else found
 

@@ -93,3 +93,14 @@ def test_lookup_by_broadcast_shuffle_and_salt_agree(spark, how):
     columns = ["k", "id", "v"]
     found = [sorted(map(str, df.select(columns).collect())) for df in (a, b, c)]
     assert found[0] == found[1] == found[2]
+
+
+def test_small_blocks_travel_in_wide_squares(points):
+    blocked = points([[i * 7 % 31, i * 5 % 37] for i in range(900)])
+    blocked = blocked.withColumn("block", F.floor(F.col("id") / 3).cast("int"))
+    parts = tiles.ragged_parts(blocked)
+    wide = tiles.widened(parts)
+    assert parts.side == tiles.SQUARE < wide.side
+    assert tiles.deliver(wide).count() == wide.count * wide.squares < tiles.deliver(parts).count() / 3
+    facts = pairs.united(pairs.complete_graph(blocked, 300)).first()
+    assert facts["pairs"] == 900 * 899 // 2
