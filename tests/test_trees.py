@@ -195,3 +195,27 @@ def test_few_blocks_asked_for_are_split_to_fit_a_task(points, monkeypatch):
     got = rows(spanning.mst_direct(points(x), 2, report))
     assert [e[:2] for e in got] == [e[:2] for e in brute_tree(x, range(120))]
     assert report[0]["of"] == 12 * 13 // 2
+
+
+def test_thinned_edges_give_the_same_forests(spark, monkeypatch):
+    monkeypatch.setattr(spanning, "THINNED", 20)
+    groups = {g: random_edges(g, 90) for g in (3, 8)}
+    table = [(g, *e) for g, listed in groups.items() for e in listed]
+    df = spark.createDataFrame(table, "subgraph long, left long, right long, weight double").coalesce(1)
+    for per_group in (True, False):
+        left = spanning.thinned(df, per_group).collect()
+        assert len(left) < len(table) * 3 // 4
+    for limit in (None, 12):
+        want = sorted((g, *e) for g, listed in groups.items() for e in kruskal(listed))
+        assert rows(spanning.merge_msts(df, limit)) == want
+    far = df.withColumn("right", F.col("right") + (1 << 61))
+    want = sorted((g, a, b + (1 << 61), w) for g, listed in groups.items() for a, b, w in kruskal([(a, b + 1000, w) for a, b, w in listed]) for b in [b - 1000])
+    assert rows(spanning.merge_msts(far, 12)) == want
+
+
+def test_many_dimensions_are_searched_by_radius(points):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(90, 12)) + rng.integers(0, 3, (90, 1)) * 30.0
+    want = brute_tree(x, range(90))
+    got = rows(mst(points(x), block_points=9))
+    assert [e[:2] for e in got] == [e[:2] for e in want]
