@@ -117,3 +117,12 @@ def test_screened_edges_out_of_components_are_those_of_the_whole_table(monkeypat
                 found = [kernels.outgoing(sides[0]), kernels.outgoing(*sides)]
                 got.append([{k: v.tolist() for k, v in f.items()} for f in found])
             assert got[0] == got[1]
+
+
+def test_edges_of_repeated_ids_come_once(monkeypatch):
+    x = np.random.default_rng(6).normal(size=(60, 5))
+    ids, found = np.sort(np.concatenate([np.arange(60), np.arange(60)])), []
+    for least in (1, 1 << 60):
+        monkeypatch.setattr(kernels, "SCREENED", least)
+        found.append(sorted(zip(*(c.tolist() for c in kernels.spanning_tree((ids, np.repeat(x, 2, axis=0)))))))
+    assert found[0] == found[1]
