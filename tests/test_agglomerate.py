@@ -125,3 +125,15 @@ def test_rounds_on_adjacency_rows(points):
     report = []
     got = adjacency.adjacency_linkage(points(x), tree, 30, "average", final_clusters=15, block_points=9, report=report)
     assert table(got) == want and len(report) > 1
+
+
+@pytest.mark.parametrize("method", ["average", "ward"])
+def test_rows_that_are_all_nearest_to_one_take_few_rounds(spark, method):
+    n = 32
+    data = [(i, [i], [1.0 + 0.01 * i]) for i in range(n)]
+    frame = spark.createDataFrame(data, "id long, cols array<long>, vals array<double>")
+    d = all_distances(np.diag([v[0] for *_, v in data]))
+    report = []
+    got = agglomerate(frame, n, method, final_clusters=8, block_points=20, report=report)
+    assert table(got) == greedy(d, method)
+    assert len(report) < n // 4

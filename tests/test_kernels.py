@@ -126,3 +126,33 @@ def test_edges_of_repeated_ids_come_once(monkeypatch):
         monkeypatch.setattr(kernels, "SCREENED", least)
         found.append(sorted(zip(*(c.tolist() for c in kernels.spanning_tree((ids, np.repeat(x, 2, axis=0)))))))
     assert found[0] == found[1]
+
+
+def dense_block(x):
+    return tiles.Block(np.arange(len(x)), x, None, {})
+
+
+def test_distances_by_a_product_keep_the_bits_that_count():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 24)) + 5
+    x[40:60] = x[20:40] + rng.normal(size=(20, 24)) * 1e-9
+    left, right = dense_block(x[:50]), dense_block(x[40:])
+    want = kernels.distance_table(left, right)
+    got = kernels.point_distances(left, right)
+    assert np.abs(got - want).max() <= 1e-12 * want.max()
+    near = want < 1e-6
+    assert near.any() and (got[near] == want[near]).all()
+
+
+def test_steady_rounds_to_half_even():
+    x = np.array([0.0, 1.0, 1 + 2.0**-32, 1 + 3 * 2.0**-32, 1 / 3, 1e300, np.inf])
+    part, power = np.frexp(x)
+    assert (kernels.steady(x) == np.ldexp(np.rint(np.ldexp(part, 32)), power - 32)).all()
+
+
+def test_merges_stop_at_a_bound():
+    d = np.sqrt(((np.random.default_rng(2).normal(size=(40, 1, 3)) - np.random.default_rng(2).normal(size=(1, 40, 3))) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    every = list(kernels.merge_table("average", np.ones(40), d.copy()))
+    some = list(kernels.merge_table("average", np.ones(40), d.copy(), every[20][2]))
+    assert len(every) == 39 and some == every[:20]
