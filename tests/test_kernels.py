@@ -156,3 +156,10 @@ def test_merges_stop_at_a_bound():
     every = list(kernels.merge_table("average", np.ones(40), d.copy()))
     some = list(kernels.merge_table("average", np.ones(40), d.copy(), every[20][2]))
     assert len(every) == 39 and some == every[:20]
+
+
+def test_linkages_that_are_no_numbers_merge_first():
+    d = np.array([[np.inf, 1.0, np.nan], [1.0, np.inf, np.nan], [np.nan, np.nan, np.inf]])
+    merges = list(kernels.merge_table("average", np.ones(3), d.copy()))
+    assert [(i, j, size) for i, j, _, size in merges] == [(0, 2, 2), (0, 1, 3)]
+    assert list(kernels.merge_table("average", np.ones(3), d.copy(), 9.0)) == []
