@@ -405,28 +405,61 @@ def mst_direct(points: DataFrame, blocks: int | None = None, report: list[dict]
     levels = box_levels(packed.select("block", "lo", "hi"), s)
     labelled = cut(blocked.select("id", "block", F.col("id").alias("component")))
     side = square_side(s, dim, parallelism(spark))
-    every = spark.range(s).select(F.col("id").cast("int").alias("a"))
-    ends = F.array(F.col("a"), F.least(F.col("a") + 1, F.lit(s - 1)))
+    alone = spark.createDataFrame([], EDGE)
+    return boruvka(packed, levels, labelled, alone, alone, n, side, report)
+
+
+def boruvka(
+    packed: DataFrame,
+    levels: list[DataFrame],
+    labelled: DataFrame,
+    tree: DataFrame,
+    known: DataFrame,
+    parts: int,
+    side: int,
+    report: list[dict] | None = None,
+) -> DataFrame:
+    """The spanning tree that has the edges ``tree``, by rounds over its components.
+
+    ``labelled`` names the ``(id, block, component)`` of all points, of ``parts`` components.
+    ``known`` are further edges; those between components are lengths to search up to.
+    """
+    spark = packed.sparkSession
+    every = levels[0].select(F.col("number").alias("a"))
+    last = every.agg(F.max("a")).first()[0]
+    ends = F.array(F.col("a"), F.least(F.col("a") + 1, F.lit(last)))
     first_pairs = cut(_in_squares(every.select("a", F.explode(ends).alias("b")).distinct(), side))
-    chosen, parts = [spark.createDataFrame([], EDGE)], n
+    hints = known.select(F.col("left").alias("cl"), F.col("right").alias("cr"), "left", "right", "weight")
+    moves = labelled.select(F.col("id").alias("node"), F.col("component").alias("parent"))
+    hints, chosen = _moved(hints, moves, labelled.count()), [tree]
     for _ in range(MAX_ROUNDS):
         if parts <= 1:
             # Two components may have chosen the same edge.
             return reduce(DataFrame.unionAll, chosen).distinct()
         labels = packed.join(packed_labels(labelled), "block")
-        seen = cut(_lightest_out(_outgoing(labels, first_pairs)))
+        found = _outgoing(labels, first_pairs).unionByName(lightest_outgoing(hints))
+        seen = cut(_lightest_out(found))
         pairs = cut(_open_pairs(levels, labelled, seen, parts, first_pairs, side))
         if report is not None:
-            report.append({"pairs": first_pairs.count() + pairs.count(), "of": s * (s + 1) // 2})
+            blocks = last + 1
+            report.append({"pairs": first_pairs.count() + pairs.count(), "of": blocks * (blocks + 1) // 2})
         picks = cut(_lightest_out(seen.unionByName(_outgoing(labels, pairs))))
         chosen.append(picks.select("left", "right", "weight"))
         roots = chase(merge_parents(picks, parts), parts)
         moved = lookup(labelled, "component", roots, "node", parts)
         labelled = cut(moved.select("id", "block", F.coalesce("parent", "component").alias("component")))
+        hints = _moved(hints, roots, parts)
         parts = roots.where("node = parent").count()
     raise RuntimeError(f"the spanning tree did not settle in {MAX_ROUNDS} rounds")
 
 
+def _moved(edges: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
+    """``edges`` between the components that ``roots(node, parent)`` lead to."""
+    for end in ("cl", "cr"):
+        edges = lookup(edges, end, roots, "node", rows).withColumn(end, F.coalesce("parent", end)).drop("parent")
+    return cut(edges.where("cl <> cr"))
+
+
 def _in_squares(pairs: DataFrame, side: int) -> DataFrame:
     """``(square, low, high)`` of block pairs ``(a, b)``."""
     low, high = F.least("a", "b").cast("int"), F.greatest("a", "b").cast("int")

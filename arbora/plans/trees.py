@@ -37,7 +37,8 @@ def mst(
     With ``blocks`` given, every block and every pair of blocks is solved and the trees
     are merged ``k`` at a time. Otherwise copies of a point are first folded into one,
     blocks are runs of points along a space-filling curve, and block pairs are visited
-    in growing radius, leaving out those that cannot hold a tree edge.
+    in growing radius, leaving out those that cannot hold a tree edge. In few dimensions,
+    once there are no more components than blocks, each looks for its lightest edge only.
     """
     if k < 2:
         raise ValueError("the merge fan-in must be at least 2")
@@ -108,6 +109,11 @@ def _grown(
         # Once the tree spans all points, its longest edge bounds what can still matter.
         radius = min(GROWTH * done, row["longest"]) if spans else GROWTH * done
         labelled = _labelled(members, tree, n, done, local_edges)
+        parts = labelled.select("component").distinct().count()
+        if dim <= FEW_DIMENSIONS and parts <= s:
+            # Components of many blocks: a radius that joins two holds nearly all their pairs.
+            known, side = tree.where(F.col("weight") > done), tiles.square_side(s, dim, cores)
+            return spanning.boruvka(packed, levels, labelled, tree.where(F.col("weight") <= done), known, parts, side)
     raise RuntimeError(f"the search radius did not settle in {MAX_ROUNDS} rounds")
 
 

@@ -219,3 +219,28 @@ def test_many_dimensions_are_searched_by_radius(points):
     want = brute_tree(x, range(90))
     got = rows(mst(points(x), block_points=9))
     assert [e[:2] for e in got] == [e[:2] for e in want]
+
+
+def test_far_groups_are_joined_without_all_their_pairs(points, monkeypatch):
+    """Dense lines a unit apart: only blocks next to each other on two lines are compared."""
+    rng = np.random.default_rng(5)
+    x = np.stack([np.repeat(np.arange(4.0), 200), rng.random(800) * 2], axis=1)
+    compared, lists = [], {}
+
+    def counted(name, function):
+        def run(*arguments):
+            listed = function(*arguments)
+            lists[name] = lists.get(name, 0) + 1
+            compared.append(listed.count())
+            return listed
+
+        return run
+
+    monkeypatch.setattr(trees, "_pairs_within", counted("radius", trees._pairs_within))
+    monkeypatch.setattr(spanning, "_open_pairs", counted("rounds", spanning._open_pairs))
+    want = rows(spanning.mst_direct(points(x)))
+    compared.clear()
+    lists.clear()
+    assert rows(mst(points(x), block_points=8)) == want
+    # Of 100 blocks, 4,950 pairs; a radius over the gap would take up most of them.
+    assert lists["rounds"] >= 1 and max(compared) <= 1_200
