@@ -90,20 +90,24 @@ def bipartite_mst(blocked: DataFrame, s: int) -> DataFrame:
 
 
 def square_forest(
-    pairs: list[tuple[Block, Block]], radius: float | None = None, slack: float = 1.0
+    pairs: list[tuple[Block, Block]], radius: float | None = None, slack: float = 1.0, short: str = "no"
 ) -> dict:
     """Spanning forest of the edges across the listed block pairs.
 
     Of all edges, or with ``radius`` of a part that holds every edge up to that length
-    between points of different components.
+    between points of different components. ``short`` tells whether longer ones are left out:
+    "no", "if any" are shorter, so that the two blocks are linked all the same, or "yes".
     """
     trees = [(np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))]
     for a, b in pairs:
         if radius is None:
             trees.append(kernels.spanning_tree((a.ids, a.coords), (b.ids, b.coords)))
         else:
-            parts = kernels.close_pairs(a, b, radius, slack)
-            trees += [kernels.spanning_tree(p, q) for p, q in parts if len(p[0]) and len(q[0])]
+            parts = [(p, q) for p, q in kernels.close_pairs(a, b, radius, slack) if len(p[0]) and len(q[0])]
+            near = [kernels.spanning_tree(p, q, radius) for p, q in parts] if short != "no" else []
+            if short != "yes" and not any(len(tree[0]) for tree in near):
+                near = [kernels.spanning_tree(p, q) for p, q in parts]
+            trees += near
     left, right, weight = (np.concatenate([t[i] for t in trees]) for i in range(3))
     kept = kernels.forest(left, right, weight, left, right)
     return {"left": left[kept], "right": right[kept], "weight": weight[kept]}

@@ -92,14 +92,17 @@ def _grown(
     boxes = packed.select("block", "lo", "hi")
     levels = box_levels(boxes, s)
     tree = own.select("left", "right", "weight")
-    # In many dimensions a block's own edges are long beside those of the whole tree.
-    done, radius, labelled = -1.0, _first_radius(own, boxes, 0.9 if dim <= FEW_DIMENSIONS else 0.5), None
+    # In many dimensions a block's own edges are long beside those of the whole tree, so that
+    # mostly this radius holds all of it; a round more would form all distances again.
+    done, radius, labelled, spans = -1.0, _first_radius(own, boxes, 0.9), None, False
     for _ in range(MAX_ROUNDS):
         homes = None if labelled is None else _single_components(labelled)
         pairs = cut(_pairs_within(levels, homes, s, -1.0, radius))
         facts = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("square").alias("squares")).first()
         if facts["pairs"]:
-            new = _solved(packed, pairs, facts["squares"], labelled, radius)
+            # Where most points are near each other, a tile's longer edges are work for nothing.
+            short = "no" if dim <= FEW_DIMENSIONS else "yes" if spans else "if any"
+            new = _solved(packed, pairs, facts["squares"], labelled, radius, short)
             tree = cut(spanning.mst_of_edges(tree.unionAll(new), local_edges))
         done = radius
         row = tree.agg(F.count(F.lit(1)).alias("edges"), F.max("weight").alias("longest")).first()
@@ -118,7 +121,7 @@ def _grown(
 
 
 def _solved(
-    packed: DataFrame, pairs: DataFrame, squares: int, labelled: DataFrame | None, radius: float
+    packed: DataFrame, pairs: DataFrame, squares: int, labelled: DataFrame | None, radius: float, short: str
 ) -> DataFrame:
     """Forests of the edges up to ``radius`` across the listed block pairs, per square."""
     extra = {}
@@ -126,7 +129,7 @@ def _solved(
         packed, extra = packed.join(packed_labels(labelled), "block"), {"component": "i8"}
 
     def kernel(listed):
-        return spanning.square_forest(listed, radius, SLACK)
+        return spanning.square_forest(listed, radius, SLACK, short)
 
     return tiles.map_squares(packed, pairs, kernel, spanning.EDGE, squares, extra)
 

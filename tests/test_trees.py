@@ -244,3 +244,28 @@ def test_far_groups_are_joined_without_all_their_pairs(points, monkeypatch):
     assert rows(mst(points(x), block_points=8)) == want
     # Of 100 blocks, 4,950 pairs; a radius over the gap would take up most of them.
     assert lists["rounds"] >= 1 and max(compared) <= 1_200
+
+
+def test_only_edges_up_to_the_radius_leave_a_square():
+    """A tile gives its short edges, and longer ones only if it has no others."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(160, 12))
+    made = [tiles.Block(np.arange(k, k + 80), x[k : k + 80], None, {}) for k in (0, 80)]
+    whole, near, none, link = (
+        spanning.square_forest([tuple(made)], radius, 1.0, short)
+        for radius, short in ((3.0, "no"), (3.0, "if any"), (0.01, "yes"), (0.01, "if any"))
+    )
+    assert len(whole["left"]) == 159 and len(link["left"]) and not len(none["left"])
+    short = {e for e in zip(*(whole[c].tolist() for c in ("left", "right", "weight"))) if e[2] <= 3.0}
+    assert set(zip(*(near[c].tolist() for c in ("left", "right", "weight")))) == short and 0 < len(short) < 159
+
+
+def test_one_round_forms_the_distances_of_many_dimensions(points, monkeypatch):
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(120, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    solved, rounds = trees._solved, []
+    monkeypatch.setattr(trees, "_solved", lambda *a: rounds.append(a) or solved(*a))
+    got = rows(mst(points(x), block_points=12))
+    assert [e[:2] for e in got] == [e[:2] for e in brute_tree(x, range(120))]
+    assert len(rounds) == 1
