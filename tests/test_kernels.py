@@ -163,3 +163,43 @@ def test_linkages_that_are_no_numbers_merge_first():
     merges = list(kernels.merge_table("average", np.ones(3), d.copy()))
     assert [(i, j, size) for i, j, _, size in merges] == [(0, 2, 2), (0, 1, 3)]
     assert list(kernels.merge_table("average", np.ones(3), d.copy(), 9.0)) == []
+
+
+def test_trees_of_many_tiles_are_those_of_each():
+    rng = np.random.default_rng(12)
+    solo = []
+    for made in (
+        [rng.normal(size=(n, 5)) for n in (9, 30, 16, 1, 27, 300)],
+        [rng.normal(size=(12, 3)) * 1e-3 + 1e6 for _ in range(4)],
+        [rng.integers(0, 3, size=(10, 2)).astype(float) for _ in range(4)],
+        [np.zeros((4, 2)), np.zeros((3, 2)), rng.normal(size=(6, 2))],
+        [np.zeros((4, 0)), np.zeros((3, 0)), np.zeros((3, 0))],
+        [rng.normal(size=(8, 2)) * 1e-40, rng.normal(size=(8, 2)) * 1e40, rng.normal(size=(8, 2))],
+    ):
+        for repeated in (False, True):
+            ids = rng.permutation(1000)[: sum(map(len, made))]
+            if repeated:
+                ids[-2:] = ids[:2]
+            sides, start = [], 0
+            for x in made:
+                order = np.argsort(ids[start : start + len(x)])
+                sides.append((ids[start : start + len(x)][order], x))
+                start += len(x)
+            pairs = [(a, None if i == j else b) for i, a in enumerate(sides) for j, b in enumerate(sides) if j >= i]
+            pair, *edges = kernels.spanning_trees(pairs)
+            # The rows of a tile come after each other.
+            assert np.count_nonzero(np.diff(pair, prepend=-1)) == len(np.unique(pair))
+            for p, (a, b) in enumerate(pairs):
+                got = sorted(zip(*(column[pair == p].tolist() for column in edges)))
+                assert got == sorted(zip(*(column.tolist() for column in kernels.spanning_tree(a, b))))
+    assert kernels.spanning_trees([])[0].size == 0
+
+
+def test_few_tiles_without_ties_are_solved_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    sides = [(np.arange(i, 1200, 12), rng.normal(size=(100, 16))) for i in range(12)]
+    pairs = [(a, b) for i, a in enumerate(sides) for b in sides[:i]]
+    one, calls = kernels.spanning_tree, []
+    monkeypatch.setattr(kernels, "spanning_tree", lambda *tile: calls.append(1) or one(*tile))
+    kernels.spanning_trees(pairs)
+    assert len(calls) < len(pairs) // 10

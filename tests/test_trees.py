@@ -269,3 +269,24 @@ def test_one_round_forms_the_distances_of_many_dimensions(points, monkeypatch):
     got = rows(mst(points(x), block_points=12))
     assert [e[:2] for e in got] == [e[:2] for e in brute_tree(x, range(120))]
     assert len(rounds) == 1
+
+
+def test_listed_trees_are_those_of_the_rows(spark, points):
+    """Lists made in the tasks, and without a shuffle of edges; ties, runs and big blocks, too."""
+    rng = np.random.default_rng(31)
+    for coords in (rng.normal(size=(90, 3)), rng.integers(0, 3, size=(90, 2))):
+        data = blocks.assign_blocks(points(coords), 4, "id")
+        flat = spanning.subgraph_mst(data, 4)
+        assert spanning.blocks_fit(data)
+        listed = spanning.subgraph_mst(data, 4, listed=True)
+        assert listed.columns == ["subgraph", "edges"] and listed.count() == 10
+        for most in (7, 1000):
+            lists = spanning.edges_by_subgraph(listed, most)
+            wanted = spanning.edges_by_subgraph(flat, most)
+            assert lists.schema["edges"].dataType.simpleString() == wanted.schema["edges"].dataType.simpleString()
+            assert rows(lists) == rows(wanted)
+    # Once listed, edges are not grouped or joined any more.
+    plan = spanning.edges_by_subgraph(listed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("FlatMapGroupsInArrow")] and "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
+    with pytest.raises(ValueError, match="not listed"):
+        spanning.subgraph_mst(data, 4, block_points=5, listed=True)
