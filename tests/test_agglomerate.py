@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark import TaskContext
 
+from arbora.operators import agglomerate as rounds
 from arbora.operators import kernels
 from arbora.operators.agglomerate import agglomerate
 from arbora.plans import adjacency
@@ -137,3 +139,41 @@ def test_rows_that_are_all_nearest_to_one_take_few_rounds(spark, method):
     got = agglomerate(frame, n, method, final_clusters=8, block_points=20, report=report)
     assert table(got) == greedy(d, method)
     assert len(report) < n // 4
+
+
+@pytest.mark.parametrize("method", kernels.METHODS)
+def test_a_table_that_empties_gives_the_greedy_table(method, monkeypatch):
+    monkeypatch.setattr(kernels, "EMPTIED", 4)
+    d = all_distances(np.random.default_rng(10).normal(size=(40, 3)))
+    a, b = np.triu_indices(40, 1)
+    merges = kernels.merge_matrix(method, np.arange(40), np.ones(40), a, b, d[a, b])
+    assert [(round(float(h), 6), int(s)) for _, _, h, s in merges] == [(h, s) for *_, h, s in greedy(d, method)]
+
+
+def test_tiles_are_solved_once(points, monkeypatch, tmp_path):
+    def noted(*args, **kwargs):
+        found = map_pairs(*args, **kwargs)
+
+        def run(batches):
+            with open(tmp_path / str(TaskContext.get().partitionId()), "a") as file:
+                file.write(".")
+            yield from batches
+
+        return found.mapInArrow(run, found.schema)
+
+    map_pairs = rounds.map_pairs
+    monkeypatch.setattr(rounds, "map_pairs", noted)
+    x = np.random.default_rng(13).normal(size=(40, 3))
+    state, distinct, _ = rounds._start(points(x), ["coords"], 40)
+    found = rounds._nearest(rounds._search(state, distinct, distinct, 4, 3), 4, "average", None)
+    d = all_distances(x) + np.diag([np.inf] * 40)
+    assert [(a, b) for a, _, b, _ in rows(found)] == list(enumerate(d.argmin(axis=1)))
+    assert {f.read_text() for f in tmp_path.iterdir()} == {"."}
+
+
+def test_ward_keeps_one_row_per_cluster(points):
+    x = np.random.default_rng(14).normal(size=(48, 3))
+    report = []
+    got = agglomerate(points(x), 48, "ward", final_clusters=10, block_points=12, report=report)
+    assert table(got) == greedy(all_distances(x), "ward")
+    assert len(report) > 2 and all(r["searching"] <= r["clusters"] for r in report)

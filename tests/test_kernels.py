@@ -203,3 +203,38 @@ def test_few_tiles_without_ties_are_solved_alone(monkeypatch):
     monkeypatch.setattr(kernels, "spanning_tree", lambda *tile: calls.append(1) or one(*tile))
     kernels.spanning_trees(pairs)
     assert len(calls) < len(pairs) // 10
+
+
+def linkage_sides(method, sparse, rows):
+    """Two blocks in 12 dimensions; the last cluster of the first goes on in the second."""
+    rng = np.random.default_rng(rows)
+    cluster = np.sort(rng.integers(0, 60, 2 * rows))
+    counts = np.bincount(cluster)
+    weight = rng.random(2 * rows) + 0.1 if method == "weighted" else np.ones(2 * rows)
+    share = weight / np.bincount(cluster, weight)[cluster]
+    sides = []
+    for part in np.split(np.arange(2 * rows), 2):
+        part = rng.permutation(part)
+        facts = {"cluster": cluster[part], "members": counts[cluster[part]], "size": counts[cluster[part]]}
+        facts |= {"share": share[part], "spread": np.where(facts["size"] > 1, 0.01, 0.0)}
+        entries = np.arange(0, 2 * rows + 1, 2), rng.integers(0, 50, 2 * rows), rng.random(2 * rows) + 1
+        coords = None if sparse else rng.normal(size=(rows, 12))
+        sides.append(tiles.Block(np.sort(part), coords, entries if sparse else None, facts))
+    return sides
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+@pytest.mark.parametrize("method", kernels.METHODS)
+def test_screened_linkages_are_the_best_of_the_whole_table(method, sparse):
+    left, right = linkage_sides(method, sparse, 90)
+    for a, b in ((left, None), (left, right)):
+        a, same = kernels.Members(a), b is None
+        b = a if same else kernels.Members(b)
+        found, whole = kernels._screened_linkages(method, a, b, same), kernels._whole_linkages(method, a, b, same)
+        for got, want in zip(found, whole):
+            rows, cols, value = got[:3]
+            by = rows if not got[4] else cols
+            order = np.lexsort((cols if not got[4] else rows, kernels.steady(value), by))
+            first = order[np.unique(by[order], return_index=True)[1]]
+            assert rows[first].tolist() == want[0].tolist() and cols[first].tolist() == want[1].tolist()
+            assert np.allclose(value[first], want[2], rtol=1e-12)
