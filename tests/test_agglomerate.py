@@ -177,3 +177,16 @@ def test_ward_keeps_one_row_per_cluster(points):
     got = agglomerate(points(x), 48, "ward", final_clusters=10, block_points=12, report=report)
     assert table(got) == greedy(all_distances(x), "ward")
     assert len(report) > 2 and all(r["searching"] <= r["clusters"] for r in report)
+
+
+@pytest.mark.parametrize("method", ["complete", "average", "weighted"])
+def test_few_clusters_of_many_rows_go_on_from_stored_linkages(points, method, monkeypatch):
+    monkeypatch.setattr(rounds, "BAND", 5)
+    x = np.random.default_rng(15).normal(size=(90, 3))
+    x[80:] = x[3]
+    report = []
+    got = agglomerate(points(x), 90, method, final_clusters=4, block_points=20, report=report)
+    assert table(got) == greedy(all_distances(x), method)
+    # All rows are measured once more, then none.
+    stored = [r["pairs"] for r in report if r["clusters"] * rounds.SHRUNK <= 80]
+    assert len(stored) > 2 and stored[0] == 80 * 79 // 2 and not any(stored[1:])
