@@ -607,6 +607,93 @@ def pair_summary(left, right) -> dict[str, np.ndarray]:
     return {name: np.array([value]) for name, value in found.items()}
 
 
+# Bytes of distances that are summed up together.
+SUMMARY_BYTES = 8 << 20
+
+
+def pair_summaries(pairs) -> dict[str, np.ndarray]:
+    """:func:`pair_summary` of all listed pairs of blocks, ``pair`` tells of which.
+
+    In many dimensions one matrix product takes a block with several others. What is nearest
+    or farthest within the error of that, and all near pairs, are measured.
+    """
+    found, at = [], 0
+    sides = {}
+    while at < len(pairs):
+        left, several = pairs[at][0], [at]
+        rows, cols = len(left), 0 if pairs[at][1] is None else len(pairs[at][1])
+        for k in range(at + 1, len(pairs)):
+            if not cols or pairs[k][0] is not left or pairs[k][1] is None:
+                break
+            cols += len(pairs[k][1])
+            if 8 * rows * cols > SUMMARY_BYTES:
+                break
+            several.append(k)
+        got = _summaries_of_products(left, [pairs[k][1] for k in several], sides)
+        if got is None:
+            for k in several:
+                one = pair_summary(*pairs[k])
+                found.append({"pair": np.full(len(one["pairs"]), k), **one})
+        else:
+            found.append({"pair": np.array(several), **got})
+        at = several[-1] + 1
+    return {name: np.concatenate([f[name] for f in found]) for name in ("pair", "pairs", "shortest", "longest", "total")}
+
+
+def _summaries_of_products(left, others, sides: dict):
+    """Facts of the pairs of a block with others; None if they are to be measured one by one.
+    ``sides`` keeps what is known of a block, by its place in memory."""
+    if others[0] is None or left.sparse is not None or left.coords.shape[1] <= MEASURED_DIMENSIONS:
+        return None
+    if not len(left) or not all(map(len, others)):
+        return None
+    if not sides:
+        sides["centre"] = left.coords.mean(axis=0)
+    for block in (left, *others):
+        if id(block) not in sides:
+            a = block.coords - sides["centre"]
+            norm = np.einsum("ij,ij->i", a, a)
+            sides[id(block)] = a, norm, norm.max(), np.abs(block.coords).max()
+    a, norm, *_ = sides[id(left)]
+    known = [sides[id(block)] for block in others]
+    top, far = (max(sides[id(block)][k] for block in (left, *others)) for k in (2, 3))
+    if not 1e-6 * far * far < top < 1e200:
+        return None
+    dim, counts = a.shape[1], np.array([len(block) for block in others])
+    x, y = np.ones((len(a), dim + 2)), np.ones((counts.sum(), dim + 2))
+    np.multiply(a, -2.0, out=x[:, :dim])
+    x[:, dim] = norm
+    np.concatenate([k[0] for k in known], out=y[:, :dim])
+    y[:, dim + 1] = np.concatenate([k[1] for k in known])
+    table = x @ y.T
+    unit = np.finfo("f8").eps
+    error = 16.0 * (dim + 4) * unit * (top + far * np.sqrt(dim * top)) / np.sqrt(FAR_APART * top)
+    coords, near = np.concatenate([block.coords for block in others]), None
+    if table.min() < FAR_APART * top:
+        near = np.nonzero(table < FAR_APART * top)
+        if len(near[0]) > table.size // 4:
+            return None
+        np.maximum(table, 0.0, out=table)
+    np.sqrt(table, out=table)
+    if near is not None:
+        table[near] = measured(left.coords, coords, *near)
+    starts = np.cumsum(counts) - counts
+    of = np.repeat(np.arange(len(counts)), counts)
+    ends = []
+    for fold, sign in ((np.minimum, 1.0), (np.maximum, -1.0)):
+        by_col = fold.reduce(table, axis=0)
+        # Entries that may be the first of their pair of blocks.
+        bound = fold.reduceat(by_col, starts) + sign * 2 * error
+        cols = np.flatnonzero(sign * by_col <= sign * bound[of])
+        i, j = np.nonzero((sign * table[:, cols] <= sign * bound[of[cols]]).T)[::-1]
+        if len(i) > table.size // 4:
+            return None
+        exact = measured(left.coords, coords, i, cols[j])
+        ends.append(fold.reduceat(exact, runs(of[cols[j]])[0]))
+    total = np.add.reduceat(np.add.reduce(table, axis=0), starts)
+    return {"pairs": counts * len(left), "shortest": ends[0], "longest": ends[1], "total": total}
+
+
 def silhouette_sums(left, right) -> dict[str, np.ndarray]:
     """Distance sums of a tile's points to the clusters on the other side.
 

@@ -39,7 +39,8 @@ def complete_graph(blocked: DataFrame, s: int) -> DataFrame:
 
 def _folded(blocked: DataFrame, s: int, wants=None, reach=None) -> DataFrame:
     parts = widened(ragged_parts(blocked))
-    found = map_pairs(parts, s, _kernel, SUMMARY, wants, reach and reach(parts)).drop("whole")
+    reach = reach and reach(parts)
+    found = map_pairs(parts, s, _kernel, SUMMARY, wants, reach, together=kernels.pair_summaries).drop("whole")
     return per_subgraph(found) if parts.split else found
 
 

@@ -238,3 +238,29 @@ def test_screened_linkages_are_the_best_of_the_whole_table(method, sparse):
             first = order[np.unique(by[order], return_index=True)[1]]
             assert rows[first].tolist() == want[0].tolist() and cols[first].tolist() == want[1].tolist()
             assert np.allclose(value[first], want[2], rtol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["distinct", "copies", "tied", "far", "sparse", "narrow"])
+def test_pair_facts_of_several_blocks_are_those_of_each_pair(kind):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 3 if kind == "narrow" else 12)) + (100.0 if kind == "far" else 0.0)
+    if kind == "copies":
+        x[::9] = x[0]
+    elif kind == "tied":
+        x = np.round(x)
+    blocks, at = [], 0
+    for n in (50, 1, 40, 29):
+        entries = np.arange(0, 2 * n + 1, 2), rng.integers(0, 9, 2 * n), rng.random(2 * n) + 1
+        coords, sparse = (None, entries) if kind == "sparse" else (x[at : at + n], None)
+        blocks.append(tiles.Block(np.arange(at, at + n), coords, sparse, {}))
+        at += n
+    pairs = [(a, None if a is b else b) for i, a in enumerate(blocks) for b in blocks[i:]]
+    got = kernels.pair_summaries(pairs)
+    # A block of one has no pair with itself.
+    assert got["pair"].tolist() == [k for k, (a, b) in enumerate(pairs) if b is not None or len(a) > 1]
+    want = [kernels.pair_summary(*pairs[k]) for k in got["pair"]]
+    for name in ("pairs", "shortest", "longest"):
+        assert got[name].tolist() == [w[name][0] for w in want]
+    assert np.allclose(got["total"], [w["total"][0] for w in want], rtol=1e-13)
+    if kind in ("distinct", "copies", "far"):
+        assert kernels._summaries_of_products(blocks[0], blocks[1:], {}) is not None
